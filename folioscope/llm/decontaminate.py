@@ -26,11 +26,15 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import materialize, scratch
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words once A-Z are lower-cased.
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Windows broadcast at once, of some 400 bytes each.
 BLOCK = 100_000
+#: Ids broadcast at once, of 8 bytes each.
+BROADCAST_IDS = 1_000_000
 SENTINEL = -(2**63)
 
 
@@ -106,3 +110,11 @@ def find_contamination(documents: DataFrame, items: DataFrame, key: str = "doc_i
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (covered.hit > 0).alias("contaminated"),
     )
+
+
+def drop_contaminated(documents: DataFrame, items: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+    """documents without those that hold a window of an item; rows that share an id, or have none, go together."""
+    found = find_contamination(documents, items, key, **options).where("contaminated").select(F.col(key).alias("lost")).distinct()
+    found = materialize(found, scratch(documents.sparkSession, "contaminated"))
+    few = found.count() <= BROADCAST_IDS
+    return documents.join(F.broadcast(found) if few else found, F.col(key).eqNullSafe(F.col("lost")) if found.where("lost is null").limit(1).count() else F.col(key) == F.col("lost"), "left_anti")

@@ -151,7 +151,12 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     # Full sets of the classes that share a bucket.
     asked = members.select(F.col("rep").alias("id")).distinct()
     asked = materialize(asked, f"{root}/asked")
-    chosen = docs.join(F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked, "id", "left_semi").dropDuplicates(["id"]) if _repeats(signed) else docs.join(F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked, "id", "left_semi")
+    chosen = docs.join(small(asked), "id", "left_semi")
+    if _repeats(signed):
+        raise_on = signed.join(asked, "id").groupBy("id").agg(F.count_distinct("print").alias("sets")).where("sets > 1")
+        if raise_on.limit(1).count():
+            raise ValueError("an id stands for documents with different texts")
+        chosen = chosen.dropDuplicates(["id"])
     sets = materialize(chosen.mapInPandas(_sets(width), "id long, set binary"), f"{root}/sets")
 
     # Each class with the least of the classes at the head of its buckets.
@@ -188,6 +193,18 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     return found.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), group.alias("component_id"), F.coalesce(group == F.col("id"), F.lit(True)).alias("kept"))
 
 
+def drop_near_duplicates(documents: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+    """documents with one row of each class: that of the least id. Rows without an id stay."""
+    found = near_duplicates(documents, key, **options)
+    lost = materialize(found.where("not kept").select(key).distinct(), scratch(documents.sparkSession, "near-dup-lost"))
+    return documents.join(small(lost), key, "left_anti")
+
+
+def small(ids: DataFrame) -> DataFrame:
+    """A table of ids, to be broadcast if it has few."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _repeats(signed: DataFrame) -> bool:
     """Some id is on more than one row."""
     return bool(signed.groupBy("id").count().where("count > 1 and id is not null").limit(1).count())

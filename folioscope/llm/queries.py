@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dup, sharding, store, url_filter
+from . import decontaminate, html_extract, langid, media_avi, near_dup, pieces, quality, sharding, store, token_store, url_filter
 
 #: Rules of the URL filter: fixed values.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -31,6 +31,44 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def part_of(key: str, parts: int) -> Column:
+    """The rest of crc32(key as text) by parts."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % parts
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(documents, labels, usable=part_of("doc_id", 3) != 1)
+    scored = quality.score_documents(documents.select("doc_id", "text"), model)
+    return scored.select("doc_id", F.coalesce(part_of("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_store.token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_pieces and ids_crc32 of the best segmentation, the scores of the best ones, and whether decoding gives the text."""
+    return pieces.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = langid.fit(documents, usable=part_of("doc_id", 5) != 0)
+    found = langid.identify(documents.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(part_of("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op9_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_avi.media_digests(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules, "page_id")
@@ -38,7 +76,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sharding, op2_decontamination, op3_minhash_near_dedup, op10_url_filter)
+    for f in (op1_sharding, op2_decontamination, op3_minhash_near_dedup, op4_html_extraction, op5_quality_classifier, op6_token_ids, op7_sentencepiece_nbest, op8_language_id, op9_media_avi, op10_url_filter)
 }
 
 _LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
