@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import tune
+from .store import trim, tune
 
 #: Kept of the selected characters by the content element, and deviations that make the threshold.
 SHARE, DEVIATIONS = 0.85, 0.5
@@ -213,6 +213,7 @@ def extract_pages(pages: DataFrame, page: str = "html", text: str = "text", n_ch
         for batch in batches:
             found = [main_text(p) for p in batch.tolist()]
             yield pd.DataFrame({"text": pd.Series(found, dtype=object), "n": pd.Series([len(t) for t in found], dtype="int64")})
+            trim()
 
     out = pages.withColumn("__main", extracted(F.col(page)))
     return out.select(*[c for c in pages.columns if c not in (page, text, n_chars)], F.col("__main.text").alias(text), F.col("__main.n").alias(n_chars))

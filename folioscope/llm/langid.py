@@ -32,12 +32,12 @@ from pyspark.sql import functions as F
 
 from . import lattice
 from .pieces import model_path, text_blocks
-from .store import tune
+from .store import trim, tune
 
 #: Documents learned from for each language, about: those whose ids hash lowest.
 SAMPLE = 250
 #: Log probabilities remembered by a task before it starts afresh.
-CACHE = 1 << 21
+CACHE = 1 << 20
 #: Languages learned, at most (the most frequent): bounds the model and the sample.
 LANGUAGES = 500
 ROUNDS, SMOOTHING, LONGEST, UNDETERMINED = 3, 0.02, 200, "und"
@@ -157,6 +157,7 @@ def identify(documents: DataFrame, model: Model, text: str = "text", lang: str =
         for batch in batches:
             names, scores = model.predict(batch.tolist())
             yield pd.DataFrame({"lang": pd.Series(names, dtype=object), "score": pd.Series(scores, dtype="float64")})
+            trim()
 
     out = documents.withColumn("__found", found(F.col(text)))
     return out.select(*[c for c in documents.columns if c not in (lang, score)], F.col("__found.lang").alias(lang), F.col("__found.score").alias(score))

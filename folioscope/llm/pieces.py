@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lattice
-from .store import tune
+from .store import trim, tune
 
 #: A line feed; spaces with the word after them; a word without a space before it.
 WORDS = re.compile(r"\n| +[^ \n]*|[^ \n]+")
@@ -39,8 +39,8 @@ WORDS = re.compile(r"\n| +[^ \n]*|[^ \n]+")
 HIDDEN = "\U0010ffff"
 N_BEST = 4
 #: Distinct words remembered by a worker.
-CACHE = 1 << 19
-BLOCK_CHARS = 1 << 20
+CACHE = 1 << 18
+BLOCK_CHARS = 1 << 18
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -129,7 +129,7 @@ class Encoder:
             self.clear()
         new = {w for words in split for w in words if w not in self.slot}
         if new:
-            self.learn(sorted(new))
+            self.learn(list(new))
         sizes = [len(w) for w in split]
         flat = np.fromiter(map(self.slot.__getitem__, chain.from_iterable(split)), np.int64, sum(sizes))
         return split, flat, np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
@@ -207,6 +207,7 @@ def encode_documents(documents: DataFrame, model: str | None = None, text: str =
                     row = (len(ids), zlib.crc32(ids.astype("<u4")), own.n_best(words[k], slots, n), own.decode(ids) == t.encode("utf-8", "surrogatepass"))
                     rows.append((*row, ids) if with_ids else row)
             yield pd.DataFrame(rows, columns=[f.split()[0] for f in kind.split(", ")])
+            trim()
 
     names = [f.split()[0] for f in kind.split(", ")]
     out = documents.withColumn("__encoded", encoded(F.col(text)))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytes_np
-from .store import tune
+from .store import trim, tune
 
 BUCKETS, DIM, GRAMS = 1 << 18, 8, (3, 4, 5)
 SHIFT, REPEAT = np.uint64(64 - 18), 1
@@ -151,5 +151,6 @@ def score_documents(documents: DataFrame, model: Model, text: str = "text", out:
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series(model.scores(batch.tolist()))
+            trim()
 
     return documents.withColumn(out, scored(F.col(text)))

@@ -7,6 +7,8 @@ a temporary folder stands in for it.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 _own_dir: dict[str, str] = {}
 
 #: Rows of text handed to a Python worker at once: bounds its memory.
-BATCH_ROWS = 2048
+BATCH_ROWS = 512
 
 
 def tune(spark: SparkSession) -> None:
@@ -23,6 +25,15 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def trim() -> None:
+    """In a worker: give memory that is no longer used back to the system."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
