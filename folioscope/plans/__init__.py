@@ -1,4 +1,4 @@
 """The engine's queries. Importing this package registers them."""
 
-from . import cases, pages  # noqa: F401
+from . import cases, pages, rules  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401

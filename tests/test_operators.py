@@ -1,0 +1,190 @@
+"""Operators on small tables: edges that the derived tables don't have."""
+
+from datetime import datetime
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from folioscope.functions import patterns as P
+from folioscope.functions import scalars as S
+from folioscope.operators import classify as C
+from folioscope.operators import custody, evidence, extract, resolve, rules, segment, validate
+from folioscope.sources import readers
+from folioscope.streaming import watch
+
+
+def values(spark, column, rows, kind="string"):
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], f"i int, x {kind}")
+    return [r[0] for r in df.orderBy("i").select(column(F.col("x"))).collect()]
+
+
+def test_money(spark):
+    got = values(spark, S.money, ["S/ 1,234.50", "S/.10.00", " 7.5 ", "abc", "", None])
+    assert got == [Decimal("1234.50"), Decimal("10.00"), Decimal("7.50"), None, None, None]
+
+
+def test_days(spark):
+    got = values(spark, S.day, ["01/02/2024", "1-2-2024", "1.2.2024", "2024-02-01", "1/2/24", "31/02/2024", "x", None])
+    assert [str(d) if d else None for d in got] == ["2024-02-01"] * 5 + [None] * 3
+
+
+def test_ruc_flags(spark):
+    got = values(spark, S.ruc_flags, ["20131370998", " 10123456789 ", "3012345678", "20a31370998", "", None])
+    assert got == [[], [], ["RUC_LONGITUD_INVALIDA", "RUC_PREFIJO_INVALIDO"], ["RUC_NO_NUMERICO"], ["RUC_VACIO"], ["RUC_VACIO"]]
+
+
+@pytest.mark.parametrize(("value", "kind"), [("F001-468", "FACTURA_ELECTRONICA"), ("b002-1", "BOLETA_ELECTRONICA"), ("EB01-9", "BOLETA_VENTA"), ("0000-12", "DECLARACION_JURADA"), ("F001468", "SERIE_NUMERO_SIN_SEPARADOR"), ("Z1-1", "SERIE_NUMERO_FORMATO_DESCONOCIDO"), (" ", "SERIE_NUMERO_VACIO")])
+def test_series_kinds(spark, value, kind):
+    assert values(spark, S.series_kind, [value]) == [kind]
+
+
+def test_page_classes(spark):
+    pages = ["", None, "CONSULTA DE COMPROBANTE SUNAT\nResultado de la consulta\nEstado: VÁLIDO", "FACTURA ELECTRÓNICA\nF001-000123\nRUC 20131370998\nIMPORTE TOTAL S/ 118.00\nValor venta 100.00", "memorando"]
+    got = values(spark, C.page_class, pages)
+    assert [g["tipo"] for g in got] == ["OTROS", "OTROS", "SUNAT_VALIDACION", "COMPROBANTE", "OTROS"]
+    assert got[0]["senales"] == ["vacio.sin_texto"] and got[3]["pasa"]
+
+
+def test_fields_leave_out_payers(spark):
+    text = "RUC: 20131370998\nRUC: 20999999991\nFECHA DE EMISION: 01/02/2024\nF001-22233\nIMPORTE TOTAL S/ 1,180.00"
+    got = values(spark, lambda x: extract.fields(x, C.voucher_type(x), ("20131370998",)), [text, None])
+    found = {c["campo"]: c["valor"] for c in got[0]}
+    assert found["ruc_emisor"] == "20999999991" and found["importe_total"] == "1180.00" and found["serie_numero"] == "F001-22233"
+
+
+def test_amount_priority(spark):
+    got = values(spark, extract.amount_by_priority, ["TOTAL 1.00\nTOTAL A PAGAR S/ 2,500.10", "IMPORTE TOTAL: 3.00", "SUBTOTAL 9.00\nTOTAL 5.00 7.00", "IGV 1.00", None])
+    assert got == ["2500.10", "3.00", "7.00", None, None]
+
+
+def test_dates_skip_queries(spark):
+    df = spark.createDataFrame([(1, "Fecha consulta 01/01/2024" + " " * 100 + "emitido 2-3-24"), (2, "impresión 5/6/2024"), (3, None)], "id int, t string")
+    assert {r.id: r.fecha for r in extract.dates_with_context(df, "id", "t").collect()} == {1: "02/03/2024", 2: None, 3: None}
+
+
+def test_json_of_answer(spark):
+    got = values(spark, extract.json_of_answer, ['<think>{"a":1}</think> ```json\n{"b": {"c": 2}}\n```', "{bad", "none", None])
+    assert got == ['{"b": {"c": 2}}', None, None, None]
+
+
+def voucher(spark, rows):
+    return spark.createDataFrame(rows, "sinad long, voucher long, items decimal(18,2), subtotal decimal(18,2), igv decimal(18,2), total decimal(18,2), noches int")
+
+
+def test_verdicts_are_three_valued(spark):
+    d = Decimal
+    rows = [(1, 1, d(100), d(100), d(18), d(118), None), (1, 2, d(100), d(100), d(10), d(110), 2), (1, 3, d(100), None, d(18), d(118), 0), (1, 4, None, None, None, None, None), (1, 5, d(100), d(100), d(0), d(100), None), (1, 6, d(100), d("100.02"), d("18.05"), d("118.05"), None)]
+    got = {r.voucher: (r.igv_ok, r.total_ok, r.suma_items_ok, r.noches_ok, r.todo_ok) for r in validate.verdicts(voucher(spark, rows)).collect()}
+    assert got[1] == (True, True, True, None, True) and got[2] == (True, True, True, True, True)
+    assert got[3] == (True, None, None, False, False) and got[4] == (None, None, None, None, True)
+    assert got[5][0] and got[6][:3] == (False, True, True) if got[6][0] is False else got[6][2]
+
+
+def test_router(spark):
+    cols = "sinad int, total long, abstenidos long, con_datos long, degradadas long, problemas long, duplicados int, errores long"
+    rows = [(1, 10, 0, 2, 0, 0, 0, 0), (2, 10, 5, 2, 0, 0, 0, 0), (3, 10, 3, 2, 0, 0, 1, 0), (4, 0, 0, 0, 0, 0, 0, 0), (5, 10, 1, 1, 3, 3, 0, 6), (6, 10, 1, 1, 0, 0, 0, 0)]
+    got = {r.sinad: (r.status, r.confianza, r.accion, r.razon, r.alertas) for r in evidence.routed(spark.createDataFrame(rows, cols)).collect()}
+    assert got[1] == ("OK", "ALTA", "CONTINUAR", None, "")
+    assert got[2] == ("CRITICAL", "BAJA", "DETENER", "abstencion", "abstencion")
+    assert got[3] == ("WARNING", "BAJA", "CONTINUAR_CON_ALERTAS", None, "abstencion,duplicados")
+    assert got[4][3] == "datos_minimos" and got[5][3] == "completitud" and got[6] == ("OK", "MEDIA", "CONTINUAR", None, "")
+
+
+@pytest.mark.parametrize("field", [*P.PREFER_OCR, *P.PREFER_VLM, "otro"])
+def test_every_field_has_its_winner(spark, field):
+    a = spark.createDataFrame([(field, "1", 0.2)], "campo string, valor string, confianza double")
+    b = spark.createDataFrame([(field, "2", 0.9)], "campo string, valor string, confianza double")
+    r = resolve.resolve(a, b, ["campo"]).first()
+    assert (r.ganador, r.revisar) == (("ocr", True) if field in P.PREFER_OCR else ("vlm", False))
+
+
+def test_conflicts_with_missing_values(spark):
+    a = spark.createDataFrame([("a", "x  Y", 0.5), ("b", None, 0.9), ("c", "1", 0.5)], "campo string, valor string, confianza double")
+    b = spark.createDataFrame([("a", " X y", 0.6), ("b", None, 0.1), ("d", "2", 0.1)], "campo string, valor string, confianza double")
+    got = {r.campo: (r.ganador, r.razon, r.conflicto) for r in resolve.resolve(a, b, ["campo"]).collect()}
+    assert got == {"a": ("vlm", "coinciden", False), "b": (None, "sin_valor", False), "c": ("ocr", "solo_ocr", False), "d": ("vlm", "solo_vlm", False)}
+
+
+def test_keep_best(spark):
+    rows = spark.createDataFrame([("k", 1, 1), ("k", 2, 3), ("k", 3, 3), ("SIN_IDENTIFICAR", 4, 0), ("SIN_IDENTIFICAR", 5, 0)], "k string, pos int, r int")
+    assert sorted(x.pos for x in resolve.keep_best(rows, F.col("k"), F.col("r"), ["pos"]).collect()) == [2, 4, 5]
+
+
+def test_regions_of_two_columns(spark):
+    rows = [(1, i, "F001-1234", x, y, x + 100, y + 10) for i, (x, y) in enumerate([(0, 0), (0, 12), (0, 300), (500, 0), (500, 12)])]
+    got = segment.regions(spark.createDataFrame(rows, "page int, line int, texto string, x0 int, y0 int, x1 int, y1 int")).orderBy("line").collect()
+    assert [(r.col, r.reg) for r in got] == [(0, 0), (0, 0), (0, 1), (1, 0), (1, 0)]
+
+
+def test_custody(spark):
+    files = spark.createDataFrame([(1, bytearray(b"a")), (2, bytearray(b"a")), (3, bytearray(b"c"))], "file long, content binary")
+    first = custody.ingest(files)
+    assert {r.file: r.estado for r in first.collect()} == {1: "INGRESADO", 2: "DUPLICADO", 3: "INGRESADO"}
+    now = spark.createDataFrame([(1, bytearray(b"a")), (3, bytearray(b"tampered")), (4, bytearray(b"d"))], "file long, content binary")
+    assert {r.file: r.estado for r in custody.verify(first, custody.ingest(now)).collect()} == {1: "OK", 2: "NO_ENCONTRADO", 3: "ALTERADO", 4: "NO_REGISTRADO"}
+    assert {r.file: r.estado for r in custody.ingest(now, first).collect()} == {1: "YA_REGISTRADO", 3: "INGRESADO", 4: "INGRESADO"}
+
+
+def test_evidence_that_lacks_fields(spark):
+    one = "struct<archivo:string,pagina:int,valor_detectado:string,snippet:string,metodo:string>"
+    df = spark.createDataFrame([("MAYOR", [("f", 1, "v", "s", "m")]), ("MAYOR", [("f", 0, "v", "s", "m")]), ("MAYOR", []), ("MENOR", []), ("CRITICA", None)], f"nivel string, evidencias array<{one}>")
+    assert [r.nivel_final for r in evidence.enforced(df).collect()] == ["MAYOR", "INCIERTO", "INCIERTO", "MENOR", "INCIERTO"]
+
+
+def test_guard(spark):
+    got = values(spark, rules.guarded, [{"RUC": "1", "nota": "ok", "monto_extra": "3"}], "map<string,string>")[0]
+    assert got == {"RUC": "NO_AUTORIZADO", "nota": "ok", "monto_extra": "NO_AUTORIZADO"}
+
+
+def test_log_round_trip_skips_corrupt_lines(spark, tmp_path):
+    entries = spark.createDataFrame([(datetime(2024, 1, 2), "t1", "INFO"), (datetime(2024, 1, 3), "t2", "ERROR")], "timestamp timestamp, trace_id string, level string")
+    readers.append_log(entries, f"{tmp_path}/log")
+    (tmp_path / "log" / "date=2024-01-03" / "x.json").write_text('{"trace_id": "t3", "level": "INFO"}\n{broken\n')
+    log = readers.read_log(spark, f"{tmp_path}/log")
+    assert sorted(r.trace_id for r in log.collect()) == ["t1", "t2", "t3"]
+    assert readers.read_log(spark, f"{tmp_path}/log", trace_id="t2").count() == 1
+
+
+def test_sheets_folder_and_models(spark, tmp_path):
+    readers.write_sheets({"h": spark.createDataFrame([(1, ["a"])], "n int, l array<string>")}, str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/h.parquet").count() == 1
+    (tmp_path / "a.pdf").write_bytes(b"one")
+    (tmp_path / "b.txt").write_bytes(b"two")
+    files = readers.scan_folder(spark, str(tmp_path))
+    assert files.count() == 1
+    pages = readers.page_texts(files, lambda b: b.assign(page=1, texto=b["content"].map(bytes.decode))[["path", "page", "texto"]])
+    assert pages.first().texto == "one"
+
+    def ask(prompt):
+        if prompt == "lost":
+            raise ConnectionError("gone")
+        return "ok {}" if prompt == "fine" else "none"
+
+    got = {r.id: (r.error, r.tries) for r in readers.model_answers(spark.createDataFrame([(1, "fine"), (2, "bad"), (3, "lost")], "id long, prompt string"), ask).collect()}
+    assert got == {1: (None, 1), 2: ("json corrupto", 3), 3: ("connection: gone", 1)}
+
+
+def run(stream, name, mode="append"):
+    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    return stream.sparkSession.table(name)
+
+
+def test_streams(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pdf").write_bytes(b"x")
+    files = run(watch.arriving_files(spark, f"{tmp_path}/in"), "arrived").collect()
+    assert [(r.bytes, len(r.hash)) for r in files] == [(1, 64)]
+    at = lambda h, m=0: datetime(2024, 1, 1, h, m)
+    schema = "k string, at timestamp, fin boolean"
+    for i, rows in enumerate([[("a", at(0), False), ("a", at(0, 5), False), ("b", at(1), True)], [("a", at(5), True), ("a", at(5), True), ("c", at(9), False)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+    batch = spark.read.parquet(f"{tmp_path}/log")
+    stream = lambda: watch.arriving_table(spark, f"{tmp_path}/log", batch.schema)
+    counted = {(r.k, r.desde.hour): r.n for r in watch.counts_by_window(batch, "at", ["k"]).collect()}
+    assert counted == {("a", 0): 2, ("b", 1): 1, ("a", 5): 2, ("c", 9): 1}
+    assert {(r.k, r.n) for r in watch.sessions(batch, "at", "k").collect()} == {("a", 2), ("b", 1), ("c", 1)}
+    assert run(watch.first_of_each(stream(), ["k", "at"], "at"), "firsts").count() == 5
+    ended = run(watch.open_traces(stream(), "k", "at", F.col("fin")), "traces").where("ended").collect()
+    assert {"a", "b"} <= {r.key for r in ended}
