@@ -31,12 +31,13 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import materialize, scratch, tune
+from .store import materialize, scratch, trim, tune
 
 MAGIC, BLOCK, NO_ID = b"FSTK0001", 4096, -(2**63)
 FOOTER = struct.Struct("<4Q8s")
@@ -44,7 +45,13 @@ FOOTER = struct.Struct("<4Q8s")
 READ_BLOCKS = 128
 #: Distinct words a worker remembers.
 CACHE = 1 << 19
-WORDS = re.compile(r"[^ \n]+")
+#: Words encoded in one call: bounds the memory of the library's results.
+RUN = 4096
+#: Letters, and signs after them: the tokenizer cuts such a word into these two parts.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#%&$|]*)")
+#: Byte-level vocabularies show a byte by the character of its number if that prints, else by the next of those from 256 on.
+_PRINTS = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_SIGNS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTS)}
 
 
 def bits_for(vocabulary: int) -> int:
@@ -146,7 +153,7 @@ class Reader:
 
 
 class WordEncoder:
-    """Encodes each distinct word once. For tokenizers that drop white space: a
+    """Encodes each distinct word once, with the tokenizers library. For byte-level tokenizers that drop white space: a
     text's ids are then those of its parts between spaces and line feeds."""
 
     def __init__(self, path: str):
@@ -161,23 +168,45 @@ class WordEncoder:
         self.size, self.flat = np.empty(0, np.int64), np.empty(0, np.uint32)
         self.begin = np.empty(0, np.int64)
 
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        split = [WORDS.findall(t) for t in texts]
+    def _store(self, words: list[str], size: np.ndarray, ids: np.ndarray) -> None:
+        self.slot.update(zip(words, range(len(self.slot), len(self.slot) + len(words)), strict=True))
+        self.begin = np.concatenate((self.begin, np.cumsum(size) - size + len(self.flat)))
+        self.size, self.flat = np.concatenate((self.size, size)), np.concatenate((self.flat, ids))
+
+    def _found(self, words: list[str]) -> list[list[int]]:
+        """Plain words need neither normalising (but for case) nor cutting, so they go to the library's model at once."""
+        tokenize, out, odd = self.tokenizer.model.tokenize, [], []
+        for k, w in enumerate(words):
+            if m := PLAIN.fullmatch(w):
+                head, tail = m[1].lower(), m[2]
+                if not head.isascii():
+                    head = head.encode().decode("latin-1").translate(BYTE_SIGNS)
+                out.append([t.id for t in tokenize(head)] + ([t.id for t in tokenize(tail)] if tail else []))
+            else:
+                odd.append(k)
+                out.append([])
+        if odd:
+            for k, e in zip(odd, self.tokenizer.encode_batch_fast([words[k] for k in odd], add_special_tokens=False), strict=True):
+                out[k] = e.ids
+        return out
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text. Splitting and finding the distinct words of a batch is Arrow's work."""
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        cut = np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False)))).astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
         if len(self.slot) > CACHE:
             self.clear()
-        new = sorted({w for words in split for w in words if w not in self.slot})
-        if new:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            self.slot.update(zip(new, range(len(self.slot), len(self.slot) + len(new)), strict=True))
-            self.begin = np.concatenate((self.begin, np.cumsum(size) - size + len(self.flat)))
-            self.size = np.concatenate((self.size, size))
-            self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))))
-        for words in split:
-            slots = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
-            size = self.size[slots]
+        new = [w for w in words if w not in self.slot]
+        for k in range(0, len(new), RUN):
+            found = self._found(new[k : k + RUN])
+            self._store(new[k : k + RUN], np.fromiter(map(len, found), np.int64, len(found)), np.fromiter(chain.from_iterable(found), np.uint32))
+        slots = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            size = self.size[slots[a:b]]
             ends = np.cumsum(size)
-            yield self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[slots] - (ends - size), size)]
+            yield self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[slots[a:b]] - (ends - size), size)]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -193,43 +222,40 @@ def write_tokens(documents: DataFrame, tokenizer: str, folder: str, key: str = "
     """Encodes all documents into token files. A row per file, in the order of their documents: part, path, docs, ids."""
     tune(documents.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, writer, uri, docs = encoder(tokenizer), None, "", 0
-        part = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, writer, uri, part = encoder(tokenizer), None, "", 0
         end = np.array([end_id], np.uint32)
         for batch in batches:
-            if writer is None and len(batch):
-                part = int(batch["part"].iloc[0])
+            if writer is None and batch.num_rows:
+                part = batch["part"][0].as_py()
                 uri = f"{folder}/{part:08d}-{uuid.uuid4().hex}.tokens"
                 writer = Writer(uri, own.tokenizer.get_vocab_size())
-            ids = [None if pd.isna(i) else int(i) for i in batch["id"].tolist()]
-            for doc, found in zip(ids, own.encode([t or "" for t in batch["text"].tolist()]), strict=True):
+            for doc, found in zip(batch["id"].to_pylist(), own.encode(batch["text"]), strict=True):
                 writer.add(doc, np.concatenate((found, end)))
-                docs += 1
+            trim()
         if writer is not None:
             writer.close()
-            yield pd.DataFrame({"part": [part], "path": [uri], "docs": [docs], "ids": [writer.count]})
+            yield pa.RecordBatch.from_pydict({"part": [part], "path": [uri], "docs": [len(writer.docs)], "ids": [writer.count]}, pa.schema([("part", pa.int64()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
     rows = documents.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     ordered = rows.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select("id", "text", F.spark_partition_id().alias("part"))
-    return materialize(ordered.mapInPandas(run, "part long, path string, docs long, ids long"), f"{folder}/files")
+    return materialize(ordered.mapInArrow(run, "part long, path string, docs long, ids long"), f"{folder}/files")
 
 
 def read_tokens(files: DataFrame, key: str = "doc_id") -> DataFrame:
     """A row per document, from the files: key, start, n_tokens, ids_crc32."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, base in zip(batch["path"], batch["base"], strict=True):
+            for path, base in zip(batch["path"].to_pylist(), batch["base"].to_pylist(), strict=True):
                 reader = Reader(path)
-                rows = []
-                for k, (doc, ids) in enumerate(reader.documents()):
-                    rows.append((doc, int(base) + int(reader.firsts[k]), len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-                yield pd.DataFrame(rows, columns=[key, "start", "n_tokens", "ids_crc32"]).astype({key: "Int64"})
+                sums = [zlib.crc32(ids.astype("<u4").tobytes()) for _, ids in reader.documents()]
+                docs = pa.array([None if d == NO_ID else d for d in reader.docs.tolist()], pa.int64())
+                yield pa.RecordBatch.from_arrays([docs, pa.array(reader.firsts[:-1] + base, pa.int64()), pa.array(np.diff(reader.firsts), pa.int64()), pa.array(sums, pa.int64())], [key, "start", "n_tokens", "ids_crc32"])
 
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     placed = files.select("path", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
-    return placed.repartition(max(1, files.count())).mapInPandas(run, f"{key} long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartition(max(1, files.count())).mapInArrow(run, f"{key} long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_table(documents: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 2) -> DataFrame:
