@@ -41,6 +41,8 @@ CACHE = 1 << 20
 #: Languages learned, at most (the most frequent): bounds the model and the sample.
 LANGUAGES = 500
 ROUNDS, SMOOTHING, LONGEST, UNDETERMINED = 3, 0.02, 200, "und"
+#: Words counted at once: bounds the memory of training.
+STEP = 10_000
 #: Probability of a letter that is no piece, in every language. Factors per letter keep long words within doubles.
 STRANGE, PER_LETTER = 1e-9, 12.0
 LETTERS = re.compile(rf"[^\W\d_]{{1,{LONGEST}}}")
@@ -117,18 +119,19 @@ def train(samples: dict[str, list[str | None]], vocabulary: str) -> Model:
     p = np.full((size, len(languages)), 1.0 / size)
     if not words:
         return Model(vocabulary, [], p)
-    often = np.array([[c[w] for c in counts] for w in words], float)
-    e = lattice.edges(vocab, [" " + w for w in words])
-    owner = np.searchsorted(e.starts, e.source, side="right") - 1
-    ends = e.starts + e.lengths
     for _ in range(ROUNDS):
-        q = _scaled(e, p)
-        alpha, beta = lattice.total(e, q), lattice.total_back(e, q)
-        share = alpha[e.source] * q * beta[e.target] / alpha[ends][owner] * often[owner]
         found = np.zeros_like(p)
-        real = e.piece >= 0
-        for k in range(len(languages)):
-            found[:, k] = np.bincount(e.piece[real], weights=share[real, k], minlength=size)
+        for a in range(0, len(words), STEP):
+            some = words[a : a + STEP]
+            often = np.array([[c[w] for c in counts] for w in some], float)
+            e = lattice.edges(vocab, [" " + w for w in some])
+            owner = np.searchsorted(e.starts, e.source, side="right") - 1
+            q = _scaled(e, p)
+            alpha, beta = lattice.total(e, q), lattice.total_back(e, q)
+            share = alpha[e.source] * q * beta[e.target] / alpha[e.starts + e.lengths][owner] * often[owner]
+            real = e.piece >= 0
+            for k in range(len(languages)):
+                found[:, k] += np.bincount(e.piece[real], weights=share[real, k], minlength=size)
         found += SMOOTHING
         p = found / found.sum(axis=0)
     return Model(vocabulary, languages, p)
