@@ -3,8 +3,8 @@
 Each language has probabilities of the pieces of a fixed public vocabulary. The
 probability of a word is the sum over all its segmentations of the product of
 their pieces' probabilities, which a forward pass over the word's lattice gives
-exactly; a text's is the product over its words, and languages are equally
-likely beforehand. Probabilities are learned by expectation maximisation
+exactly; a text's is the product over its words, each of which may be a foreign
+one with a small chance, and languages are equally likely beforehand. Probabilities are learned by expectation maximisation
 (forward-backward over the same lattices) from a bounded sample of documents.
 
 Words are maximal runs of letters, lower-cased, with the vocabulary's sign for a
@@ -41,6 +41,8 @@ CACHE = 1 << 20
 #: Languages learned, at most (the most frequent): bounds the model and the sample.
 LANGUAGES = 500
 ROUNDS, SMOOTHING, LONGEST, UNDETERMINED = 3, 0.02, 200, "und"
+#: Chance that a word isn't of its text's language.
+FOREIGN = 0.1
 #: Words counted at once: bounds the memory of training.
 STEP = 10_000
 #: Probability of a letter that is no piece, in every language. Factors per letter keep long words within doubles.
@@ -87,7 +89,7 @@ class Model:
             new = sorted({w for words in split for w in words if w not in self.place}) if self.languages else []
             if new:
                 self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-                self.table = np.concatenate((self.table, self.log_words(new)))
+                self.table = np.concatenate((self.table, with_strangers(self.log_words(new))))
             flat = np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), np.int64) if self.languages else np.empty(0, np.int64)
             table = self.table
             cut = np.concatenate(([0], np.cumsum([len(w) for w in split]))).astype(np.int64)
@@ -104,6 +106,13 @@ class Model:
         return names, scores
 
 
+def with_strangers(logs: np.ndarray) -> np.ndarray:
+    """A word of a text is of any language with a chance of FOREIGN, so that no word, and no quoted passage, weighs without bound."""
+    top = logs.max(axis=1, keepdims=True)
+    odds = np.exp(logs - top)
+    return np.log((1 - FOREIGN) * odds + FOREIGN * odds.mean(axis=1, keepdims=True)) + top
+
+
 def _scaled(e: lattice.Edges, p: np.ndarray) -> np.ndarray:
     known = np.where((e.piece >= 0)[:, None], p[e.piece], STRANGE)
     return known * (PER_LETTER ** (e.target - e.source).astype(float))[:, None]
