@@ -36,7 +36,7 @@ from pyspark.sql.types import LongType
 
 from . import bytes_np
 from .graph import components
-from .store import FileStore, materialize, scratch, tune
+from .store import FileStore, materialize, scratch, trim, tune
 
 BANDS, ROWS, SEED = 48, 6, 20240229
 UNIVERSE = 1 << 22
@@ -44,6 +44,8 @@ UNIVERSE = 1 << 22
 BROADCAST_IDS = 1_000_000
 #: Random members of a bucket's largest component that the others are compared with before all are.
 PIVOTS = 3
+#: Pairs still apart in a bucket that are compared as rows; more are compared in tiles of bounded blocks of sets.
+PAIRS, TILE_BYTES = 2000, 2 << 20
 _tables: dict[int, np.ndarray] = {}
 
 
@@ -89,6 +91,7 @@ def _sign(width: int):
                 prints.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 keys.append(band_keys(signature(s)) if len(s) else None)
             yield pd.DataFrame({"id": pd.array(ids, dtype="Int64"), "n": n, "print": prints, "keys": keys})
+            trim()
 
     return run
 
@@ -97,6 +100,7 @@ def _sets(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "set": [s.tobytes() for s in bytes_np.shingles(batch["text"].tolist(), width)]})
+            trim()
 
     return run
 
@@ -130,6 +134,70 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "n", "other_n", inter.alias("c")).where(100 * F.col("c") >= percent * (F.col("n") + F.col("other_n") - F.col("c"))).select("a", "b")
 
 
+def _confirmed_once(pairs: DataFrame, sets: DataFrame, percent: int, path: str) -> DataFrame:
+    """The links among pairs (rep, n, other, other_n) that may come several times, either way around."""
+    swap = F.col("rep") > F.col("other")
+    ways = [F.when(swap, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("rep", "other", "a"), ("other", "rep", "b"), ("n", "other_n", "n"), ("other_n", "n", "other_n"))]
+    once = materialize(pairs.where(_of_size(percent)).select(*ways).distinct(), path)
+    return materialize(confirmed(once, sets, percent), f"{path}-links")
+
+
+def _tiled(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that join different components of large buckets, as (a, b).
+
+    Members go into blocks of bounded bytes, by the least head of their buckets, so
+    that members that share buckets share blocks. A tile is a block of members
+    outside a bucket's largest component, and a block of members of the same bucket.
+    """
+    own = large.groupBy("rep", "n", "comp").agg(F.min("other").alias("home"), F.collect_set("bucket").alias("keys"), F.collect_set(F.when(F.col("comp") != F.col("top"), F.col("bucket"))).alias("minor"))
+    weight = own.groupBy("home").agg(F.ceil(F.sum(F.col("n") * 8) / F.lit(TILE_BYTES)).alias("wholes"), F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.size("minor") > 0, F.col("n") * 8).otherwise(0)) / F.lit(TILE_BYTES))).alias("minors"))
+    own = own.join(weight, "home").select("rep", "n", "comp", "keys", "minor", F.xxhash64("home", F.pmod(F.xxhash64("rep"), F.col("wholes"))).alias("w"), F.when(F.size("minor") > 0, F.xxhash64("home", F.pmod(F.xxhash64("rep"), F.col("minors")))).alias("m"))
+    named = own.join(sets, F.col("rep") == F.col("id")).select("rep", "n", "comp", "keys", "minor", "w", "m", "set")
+    ours = own.where("m is not null").select("m", F.explode("minor").alias("bucket")).distinct()
+    theirs = own.select("w", F.explode("keys").alias("bucket")).distinct()
+    tiles = ours.join(theirs, "bucket").select("m", "w").distinct()
+    left = named.drop("w").join(tiles, "m").select("m", "w", "rep", "n", "comp", F.col("minor").alias("keys"), "set")
+    right = named.drop("m").join(tiles, "w").select("m", "w", "rep", "n", "comp", "keys", "set")
+    right = right.toDF(*right.columns)  # new names for the planner, as both sides come from one table
+    return left.groupBy("m", "w").cogroup(right.groupBy("m", "w")).applyInPandas(_compare(percent), "a long, b long")
+
+
+def _compare(percent: int):
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        whole = [np.frombuffer(s, np.uint64) for s in right["set"]]
+        known, place = np.unique(np.concatenate(whole), return_inverse=True)
+        sizes = np.array([len(s) for s in whole])
+        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        comps, reps = right["comp"].to_numpy(), right["rep"].to_numpy()
+        at: dict[int, list[int]] = {}
+        for i, keys in enumerate(right["keys"]):
+            for k in keys:
+                at.setdefault(int(k), []).append(i)
+        marked, out = np.zeros(len(known), bool), []
+        for rep, comp, keys, raw in zip(left["rep"], left["comp"], left["keys"], left["set"], strict=True):
+            own = np.frombuffer(raw, np.uint64)
+            asked = np.zeros(len(whole), bool)
+            for k in keys:
+                asked[at.get(int(k), [])] = True
+            asked &= (comps != comp) & (100 * np.minimum(sizes, len(own)) >= percent * np.maximum(sizes, len(own)))
+            if not asked.any():
+                continue
+            found = np.searchsorted(known, own)
+            found = found[found < len(known)]
+            found = found[np.isin(known[found], own)]
+            marked[found] = True
+            both = np.add.reduceat(marked[place].astype(np.int64), starts)
+            marked[found] = False
+            linked = np.flatnonzero(asked & (100 * both >= percent * (sizes + len(own) - both)))
+            _, first = np.unique(comps[linked], return_index=True)  # one link to each component
+            out += [(rep, reps[i]) for i in linked[first]]
+        del left, right, whole, known, place, marked
+        trim()
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: key, n_shingles, component_id, kept."""
     spark = documents.sparkSession
@@ -166,22 +234,26 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     roots = components(links, "near-dup-components")
 
     # Then with members of the largest component of each bucket, then with all that stay apart.
-    here = members.select("bucket", "rep", "n")
+    here = members.select("bucket", "rep", "n", "other")
     for step in ("pivots", "rest"):
-        named = here.join(roots, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n", F.coalesce("root", "rep").alias("comp"))
+        named = here.join(roots, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n", "other", F.coalesce("root", "rep").alias("comp"))
         parts = named.groupBy("bucket", "comp").agg(F.count("*").alias("size"), *[F.min(F.struct(F.xxhash64("rep", F.lit(i)), F.col("rep"), F.col("n"))).alias(f"p{i}") for i in range(PIVOTS)])
-        split = parts.groupBy("bucket").agg(F.max(F.struct(F.col("size"), F.col("comp"), *[F.col(f"p{i}") for i in range(PIVOTS)])).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+        split = parts.groupBy("bucket").agg(F.max(F.struct(F.col("size"), F.col("comp"), *[F.col(f"p{i}") for i in range(PIVOTS)])).alias("top"), F.sum("size").alias("size"), F.count("*").alias("parts")).where("parts > 1")
         if step == "pivots":
             apart = named.join(split, "bucket").where(F.col("comp") != F.col("top.comp"))
             apart = apart.select("rep", "n", F.explode(F.array(*[F.struct(F.col(f"top.p{i}.rep").alias("rep"), F.col(f"top.p{i}.n").alias("n")) for i in range(PIVOTS)])).alias("p"))
-            pairs = apart.select("rep", "n", F.col("p.rep").alias("other"), F.col("p.n").alias("other_n"))
+            more = _confirmed_once(apart.select("rep", "n", F.col("p.rep").alias("other"), F.col("p.n").alias("other_n")), sets, percent, f"{root}/{step}")
         else:
-            minor = named.join(split.select("bucket", F.col("top.comp").alias("top")), "bucket").where("comp <> top").select("bucket", "rep", "n", "comp")
-            whole = named.select("bucket", F.col("rep").alias("other"), F.col("n").alias("other_n"), F.col("comp").alias("other_comp"))
+            apart = (F.col("size") - F.col("top.size")) * F.col("size")
+            left = materialize(named.join(split.select("bucket", F.col("top.comp").alias("top"), (apart > PAIRS).alias("large")), "bucket"), f"{root}/left")
+            few = left.where("not large")
+            minor = few.where("comp <> top").select("bucket", "rep", "n", "comp")
+            whole = few.select("bucket", F.col("rep").alias("other"), F.col("n").alias("other_n"), F.col("comp").alias("other_comp"))
             pairs = minor.join(whole, "bucket").where("comp <> other_comp").select("rep", "n", "other", "other_n")
-        swap = F.col("rep") > F.col("other")
-        pairs = pairs.where(_of_size(percent)).select(F.when(swap, F.col("rep")).otherwise(F.col("other")).alias("a"), F.when(swap, F.col("other")).otherwise(F.col("rep")).alias("b"), F.when(swap, F.col("n")).otherwise(F.col("other_n")).alias("n"), F.when(swap, F.col("other_n")).otherwise(F.col("n")).alias("other_n")).distinct()
-        more = materialize(confirmed(materialize(pairs, f"{root}/{step}"), sets, percent), f"{root}/links-{step}")
+            more = _confirmed_once(pairs, sets, percent, f"{root}/{step}")
+            large = left.where("large")
+            if not large.isEmpty():
+                more = more.unionByName(materialize(_tiled(large, sets, percent), f"{root}/tiled"))
         if not more.isEmpty():
             links = links.unionByName(more)
             roots = components(links, "near-dup-components")
@@ -189,7 +261,7 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     files.delete(f"{root}/members")
 
     found = signed.join(classes, "print", "left").join(roots, F.col("rep") == F.col("node"), "left")
-    group = F.when(F.col("n") > 0, F.coalesce("root", "rep", "id")).otherwise(F.col("id"))
+    group = F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.coalesce("root", "rep")).otherwise(F.col("id"))
     return found.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), group.alias("component_id"), F.coalesce(group == F.col("id"), F.lit(True)).alias("kept"))
 
 
