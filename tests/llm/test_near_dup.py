@@ -69,6 +69,12 @@ def test_odd_rows(spark):
     assert near_dup.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_an_id_with_several_texts(spark):
+    rows = [(1, "p q r s t u v w"), (2, "a b c d e f g h i j k l"), (2, "m n o p q r s t u v"), (3, "m n o p q r s t u v x"), (4, "a b c d e f g h i j k l z"), (5, "solo")]
+    got = {(r.doc_id, r.component_id) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()}
+    assert got == {(1, 1), (2, 2), (3, 2), (4, 2), (5, 5)}
+
+
 def test_signature_estimates_similarity():
     a, b = np.arange(0, 1000, dtype=np.uint64), np.arange(200, 1200, dtype=np.uint64)
     x, y = near_dup.signature(bytes_np.mix(a)), near_dup.signature(bytes_np.mix(b))
