@@ -15,6 +15,13 @@ from ..operators import segment as G
 from ..operators import validate as V
 from .registry import Tables, query
 
+
+
+def exact_rate(a: str, b: str) -> str:
+    """a / b to four places, halves up, in whole numbers: doubles would lose some halves."""
+    return f"CAST(CAST((20000 * {a} + {b}) // (2 * {b}) AS DECIMAL(18,0)) * 0.0001 AS DECIMAL(9,4))"
+
+
 IGV_SQL = "CASE WHEN igv = 0 THEN true WHEN coalesce(subtotal, total - igv) IS NOT NULL AND igv IS NOT NULL THEN abs(igv - round(coalesce(subtotal, total - igv) * 0.18, 2)) <= 0.02 OR abs(igv - round(coalesce(subtotal, total - igv) * 0.10, 2)) <= 0.02 END"
 TOTAL_SQL = "abs(total - (subtotal + coalesce(igv, 0))) <= 0.02"
 ITEMS_SQL = "abs(items - subtotal) <= 0.02"
@@ -204,7 +211,7 @@ def _(t: Tables):
     return E.placeholders(expected, t.cells.select("voucher", "campo", "valor", "confianza"), ["voucher", "campo"])
 
 
-@query("RT-5", f", {JUDGED} SELECT razon, count(*) AS n, CAST(round(CAST(count(*) AS DECIMAL(18,0)) / (SELECT count(*) FROM judged), 4) AS DECIMAL(9,4)) AS tasa FROM judged WHERE razon IS NOT NULL GROUP BY razon", "cells")
+@query("RT-5", f", {JUDGED} SELECT razon, count(*) AS n, {exact_rate("count(*)", "(SELECT count(*) FROM judged)")} AS tasa FROM judged WHERE razon IS NOT NULL GROUP BY razon", "cells")
 def _(t: Tables):
     return E.by_reason(t.cells)
 
@@ -217,7 +224,7 @@ def _(t: Tables):
 SUMMARY = "summary AS (SELECT sinad, count(*) AS total, count_if(status = 'LEGIBLE') AS legibles, count_if(status = 'INCOMPLETO') AS incompletos, count_if(razon IS NOT NULL) AS abstenidos FROM judged GROUP BY sinad)"
 
 
-@query("RT-7", f", {JUDGED}, {SUMMARY} SELECT sinad, total, CAST(legibles AS BIGINT) AS legibles, CAST(incompletos AS BIGINT) AS incompletos, CAST(abstenidos AS BIGINT) AS abstenidos, CAST(round(CAST(abstenidos AS DECIMAL(18,0)) / total, 4) AS DECIMAL(9,4)) AS tasa FROM summary", "cells")
+@query("RT-7", f", {JUDGED}, {SUMMARY} SELECT sinad, total, CAST(legibles AS BIGINT) AS legibles, CAST(incompletos AS BIGINT) AS incompletos, CAST(abstenidos AS BIGINT) AS abstenidos, {exact_rate("CAST(abstenidos AS BIGINT)", "total")} AS tasa FROM summary", "cells")
 def _(t: Tables):
     return E.summary(t.cells)
 
@@ -374,7 +381,7 @@ def _(t: Tables):
     return t.vouchers.select("voucher", R.compared(F.lit("total"), got, F.col("total").cast("string")).alias("total"), R.compared(F.lit("serie_numero"), F.when(k % 4 == 0, F.concat(F.lit("X"), series)).otherwise(F.lower(series)), series).alias("serie"))
 
 
-RATES = "CAST(round(CAST({0} AS DECIMAL(18,0)) / nullif(evaluados, 0), 4) AS DECIMAL(9,4))"
+RATES = exact_rate("CAST({0} AS BIGINT)", "nullif(CAST(evaluados AS BIGINT), 0)")
 
 
 @query(
@@ -386,7 +393,16 @@ def _(t: Tables):
     return R.accuracy(t.outcomes)
 
 
-@query("AGG-2", "SELECT CAST(round(100 * CAST(count_if(resultado = 'MATCH') AS DECIMAL(18,0)) / count_if(resultado IN ('MATCH', 'ERROR', 'NO_EXTRAIDO')), 2) AS DECIMAL(9,2)) AS precision, CAST(round(100 * CAST(count_if(resultado IN ('ERROR', 'NO_EXTRAIDO')) AS DECIMAL(18,0)) / count_if(resultado IN ('MATCH', 'ERROR', 'NO_EXTRAIDO')), 2) AS DECIMAL(9,2)) AS falla, min(confianza) AS minima, max(confianza) AS maxima, CAST(round(avg(confianza), 4) AS DECIMAL(9,4)) AS media FROM outcomes", "outcomes")
+EVALUATED = "CAST(count_if(resultado IN ('MATCH', 'ERROR', 'NO_EXTRAIDO')) AS BIGINT)"
+
+
+@query(
+    "AGG-2",
+    f"""SELECT CAST(100 * {exact_rate("CAST(count_if(resultado = 'MATCH') AS BIGINT)", EVALUATED)} AS DECIMAL(9,2)) AS precision,
+        CAST(100 * {exact_rate("CAST(count_if(resultado IN ('ERROR', 'NO_EXTRAIDO')) AS BIGINT)", EVALUATED)} AS DECIMAL(9,2)) AS falla,
+        min(confianza) AS minima, max(confianza) AS maxima, {exact_rate("CAST(sum(confianza) * 100 AS BIGINT)", "100 * count(confianza)")} AS media FROM outcomes""",
+    "outcomes",
+)
 def _(t: Tables):
     return R.global_accuracy(t.outcomes)
 
@@ -491,7 +507,7 @@ def _(t: Tables):
     return G.roi(t.boxes, 1000, 1500)
 
 
-@query("SRC-8", "SELECT o_custkey AS page, line % 3 AS block, 0 AS line, string_agg(texto, ' ' ORDER BY line) AS texto, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, CAST(round(avg(CASE WHEN line % 4 <> 0 THEN line % 100 / 100.0 END), 4) AS DECIMAL(9,4)) AS confianza FROM (SELECT page AS o_custkey, * FROM boxes) GROUP BY o_custkey, line % 3", "boxes")
+@query("SRC-8", "SELECT o_custkey AS page, line % 3 AS block, 0 AS line, string_agg(texto, ' ' ORDER BY line) AS texto, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, " + exact_rate("CAST(sum(line % 100) FILTER (line % 4 <> 0) AS BIGINT)", "100 * count(*) FILTER (line % 4 <> 0)") + " AS confianza FROM (SELECT page AS o_custkey, * FROM boxes) GROUP BY o_custkey, line % 3", "boxes")
 def _(t: Tables):
     words = t.boxes.select("page", (F.col("line") % 3).alias("block"), F.lit(0).alias("l"), F.col("line").alias("ord"), "texto", "x0", "y0", "x1", "y1", F.when(F.col("line") % 4 != 0, (F.col("line") % 100).cast("decimal(6,2)")).otherwise(-1).alias("conf"))
     return G.words_to_lines(words, "page", "block", "l", "ord").withColumnRenamed("l", "line")
