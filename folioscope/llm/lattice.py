@@ -70,7 +70,7 @@ class Vocabulary:
     def _hash(chars: np.ndarray) -> np.uint64:
         h = np.zeros(1, np.uint64)
         for c in chars:
-            h = h * bytes_np.BASE + c
+            h = h * bytes_np.BASE + c + np.uint64(1)  # a character 0 counts too
         return bytes_np.mix(h)[0]
 
     def find(self, keys: np.ndarray) -> np.ndarray:
@@ -132,7 +132,7 @@ def edges(vocab: Vocabulary, strings: list[str]) -> Edges:
         at, h = at[keep], h[keep]
         if not len(at):
             break
-        h = h * bytes_np.BASE + chars[at + n - 1]
+        h = h * bytes_np.BASE + chars[at + n - 1] + np.uint64(1)
         got = vocab.find(bytes_np.mix(h))
         hit = np.flatnonzero(got >= 0) if n > 1 else np.arange(len(at))
         source.append(at[hit])

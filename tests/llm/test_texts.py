@@ -188,7 +188,7 @@ def test_word_probability_sums_over_segmentations():
                 go[j] += go[i] * p
         return np.log(go[-1])
 
-    for word in ["abab", "zoz", "日本", "größe", "q" * 150]:
+    for word in ["abab", "zoz", "日本", "größe", "q" * 30]:
         assert np.allclose(model.log_words([word])[0], [total(word, 0), total(word, 1)])
     assert np.allclose(model.p.sum(axis=0), 1)
 
