@@ -7,10 +7,13 @@ the characters, the punctuation and the characters in links of its blocks are
 added up; the mean length and the punctuation density of a path are fused into
 one score, lowered by the share of links; the scores are smoothed over the blocks
 in page order, and a threshold from their spread selects paths. The content is
-the smallest element that holds nearly all selected text, with all of its blocks
-that weren't set apart: a short heading or paragraph of the article stays, and a
-long notice outside it doesn't. Where nothing smaller than the page's body holds
-it, the selected blocks and what stands between them are the content.
+the smallest element that holds all selected blocks and the heading over them, or
+the article (else the main element) around it, with all of its blocks that weren't
+set apart: a short heading or paragraph of the article stays, and a long notice
+outside it doesn't. An element that is a part of a text (a paragraph, item, cell,
+quotation or section) stands for what holds it. Where nothing smaller than the
+page's body holds the selected blocks, all of its blocks are the content, except
+those before the first and after the last of these that are nothing but links.
 
 Defined cases: null and pages without text give the empty string; a page without
 tags is one block; pages that end early, also inside a tag or a comment, are read
@@ -32,8 +35,8 @@ from pyspark.sql import functions as F
 
 from .store import trim, tune
 
-#: Kept of the selected characters by the content element, and deviations that make the threshold.
-SHARE, DEVIATIONS = 0.85, 0.5
+#: Deviations that make the threshold.
+DEVIATIONS = 0.5
 #: Weights of a block and its neighbours in page order.
 KERNEL = np.array([0.06, 0.24, 0.40, 0.24, 0.06])
 
@@ -52,6 +55,9 @@ ENDS = {
     "tr": (frozenset(("tr", "tbody")), frozenset(("table",))),
     "option": (frozenset(("option", "optgroup")), frozenset(("select",))),
 }
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold a whole text; others are parts of one.
+HOLDERS = frozenset("html body main article div center".split())
 APART_TAGS = frozenset("head nav header footer aside form button menu dialog search fieldset label input output datalist".split())
 APART_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 APART_WORDS = frozenset(
@@ -183,25 +189,32 @@ def main_text(page: str | None) -> str:
     size = np.array([len(b.text) for b in blocks])
     mean = np.average(scores, weights=size)
     chosen = scores >= mean - max(DEVIATIONS * scores.std(), 0.25 * mean)
-    wanted = SHARE * size[chosen].sum()
-    # Elements hold each other along a chain, so the smallest that holds enough is the deepest one.
-    held: dict[int, int] = defaultdict(int)
-    depth: dict[int, int] = {}
-    for b, n, good in zip(blocks, size, chosen, strict=True):
-        for d, element in enumerate(b.chain):
-            depth[element] = d
-            held[element] += int(n) * bool(good)
-    enough = [e for e, n in held.items() if n >= wanted]
-    content = max(enough, key=lambda e: depth[e], default=None)
-    first = next((b for b in blocks if content in b.chain), None)
-    if first is not None and not first.path[-1:] == ("html",):
-        names = [p for p in first.path if p.split(".")[0] in BLOCK]
-        if names[first.chain.index(content)].split(".")[0] == "p" and depth[content]:
-            content = first.chain[depth[content] - 1]  # a single long paragraph: what holds it
-        if names[first.chain.index(content)].split(".")[0] not in ("html", "body"):
-            return "\n".join(b.text for b in blocks if content in b.chain)
     picked = np.flatnonzero(chosen)
-    return "\n".join(b.text for b in blocks[picked[0] : picked[-1] + 1])
+    first, last = int(picked[0]), int(picked[-1])
+    for k in range(first - 1, -1, -1):  # the heading over the first selected block is of the content
+        if blocks[k].linked >= size[k]:
+            break
+        if not HEADINGS.isdisjoint(_tags(blocks[k])):
+            first = k
+            break
+    # The elements that hold all of these blocks are the common beginning of their chains.
+    chain = list(blocks[first].chain)
+    for k in picked:
+        while chain and tuple(chain) != blocks[k].chain[: len(chain)]:
+            chain.pop()
+    tags = [t for t in _tags(blocks[first]) if t in BLOCK][: len(chain)]
+    marked = next((tags.index(t) for t in ("article", "main") if t in tags), None)
+    if marked is not None:
+        return "\n".join(b.text for b in blocks if chain[marked] in b.chain)
+    while tags and tags[-1] not in HOLDERS:
+        tags.pop()
+    if tags and tags[-1] not in ("html", "body"):
+        return "\n".join(b.text for b in blocks if chain[len(tags) - 1] in b.chain)
+    return "\n".join(b.text for k, b in enumerate(blocks) if first <= k <= last or b.linked < size[k])
+
+
+def _tags(block: Block) -> list[str]:
+    return [shown.split(".")[0] for shown in block.path]
 
 
 def extract_pages(pages: DataFrame, page: str = "html", text: str = "text", n_chars: str = "n_chars") -> DataFrame:

@@ -45,6 +45,33 @@ def test_main_text(html, text):
     assert html_extract.main_text(html) == text
 
 
+MUCH = " ".join([LONG] * 12)
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f"<article><h1>Title</h1><p>Lead</p><div class=body><p>{MUCH}</p><p>{MUCH}</p></div><p>End</p></article>",
+        f"<main><h1>Title</h1><p>Lead</p><div><div class=body><p>{MUCH}</p></div><p>{MUCH}</p></div><p>End</p></main>",
+        f"<div><h1>Title</h1><p>Lead</p><div class=body><p>{MUCH}</p><p>{MUCH}</p></div><p>End</p></div>",
+        f"<h1>Title</h1><p>Lead</p><p>{MUCH}</p><p>{MUCH}</p><p>End</p>",
+        *[f"<div><h1>Title</h1><p>Lead</p><{t}>{MUCH}</{t}><{t}>{MUCH}</{t}><p>End</p></div>" for t in ("section", "blockquote", "pre", "p")],
+        *[f"<{t}><h1>Title</h1><p>Lead</p><section><p>{MUCH}</p><p>{MUCH}</p></section><p>End</p></{t}>" for t in ("article", "div", "body")],
+        f"<article><h1>Title</h1><p>Lead</p><ul><li>{MUCH}<li>{MUCH}</ul><p>End</p></article>",
+        f"<div><h1>Title</h1><p>Lead</p><table><tr><td>{MUCH}<td>{MUCH}</table><p>End</p></div>",
+    ],
+)
+def test_the_whole_article_is_kept(body):
+    assert html_extract.main_text(page(body)) == f"Title\nLead\n{MUCH}\n{MUCH}\nEnd"
+
+
+def test_articles_in_body():
+    links = "<ul><li><a href='/a'>Home</a><li><a href='/b'>More</a></ul>"
+    two = f"<article><h2>One</h2><p>{MUCH}</p></article><article><h2>Two</h2><p>{MUCH}</p><p>End</p></article>"
+    assert html_extract.main_text(page(links + two + links)) == f"One\n{MUCH}\nTwo\n{MUCH}\nEnd"
+    assert html_extract.main_text(page(f"<div><p>Hint</p></div><article><h1>One</h1><div><p>{MUCH}</p></div></article>")) == f"One\n{MUCH}"
+
+
 def test_pages_that_end_anywhere():
     whole = page(f"<nav>x</nav><article><h1>T</h1><p>{LONG}</p><p title=\"a>b\">{LONG} &am</p></article>")
     for n in range(0, len(whole), 7):
