@@ -2,7 +2,10 @@
 
 A page is cut into blocks of text, each with its path of tags (and classes) from
 the root. Blocks that HTML itself marks as something else than content (menus,
-forms, asides and the like, by tag, role or class) are set apart. For each path
+forms, asides and the like, by tag, role or a whole class or id) are set apart; a
+part of a class or id only lowers the score. An element with such a class that
+holds an article, or most of the page's text and stands in the article if there is
+one, isn't set apart; where nothing else is left, what was set apart is read. For each path
 the characters, the punctuation and the characters in links of its blocks are
 added up; the mean length and the punctuation density of a path are fused into
 one score, lowered by the share of links; the scores are smoothed over the blocks
@@ -37,6 +40,8 @@ from .store import trim, tune
 
 #: Deviations that make the threshold.
 DEVIATIONS = 0.5
+#: What is left of the score of a block whose elements have one of APART_WORDS as a part of a class or id.
+DOUBT = 0.25
 #: Weights of a block and its neighbours in page order.
 KERNEL = np.array([0.06, 0.24, 0.40, 0.24, 0.06])
 
@@ -76,41 +81,57 @@ class Block:
     path: tuple[str, ...]
     chain: tuple[int, ...]
     apart: bool
-    parts: list[str] = field(default_factory=list)
+    hidden: bool = False
+    worded: bool = False  # set apart by a word of a class or id
+    doubtful: bool = False  # a word is a part of a class or id
+    parts: list[tuple[str, bool, tuple[int, ...]]] = field(default_factory=list)  # text, linked, marked elements that hold it
     linked: int = 0
     text: str = ""
 
 
-def _apart(tag: str, rest: str) -> tuple[bool, str]:
-    """(set apart, what the path shows of the element)."""
-    apart, shown = tag in APART_TAGS, tag
+@dataclass
+class Mark:
+    """An element with one of APART_WORDS in its class or id: as a whole one, or as a part."""
+
+    whole: bool
+    inside: frozenset[str]
+    kept: bool = False  # what holds an article, or most of the page's text, isn't set apart
+    size: int = 0
+
+
+def _apart(tag: str, rest: str) -> tuple[bool, bool, bool | None, str]:
+    """(set apart, hidden, marked by a word (True: whole, False: a part), what the path shows of the element)."""
+    apart, hidden, mark, shown = tag in APART_TAGS, False, None, tag
     if rest:
         for name, value in ATTRIBUTE.findall(rest):
             name, value = name.lower(), value.strip("\"'").lower()
             if name in ("class", "id"):
                 if name == "class":
                     shown += "." + ".".join(value.split())
-                apart |= any(not APART_WORDS.isdisjoint(WORD.findall(word)) for word in value.split()) and tag not in ("html", "body", "article", "main")
+                if tag not in ("html", "body", "article", "main"):
+                    for word in value.split():
+                        if not APART_WORDS.isdisjoint(WORD.findall(word)):
+                            mark = bool(mark) or word in APART_WORDS
             elif name == "role":
                 apart |= value in APART_ROLES
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-                apart = True
-    return apart, shown
+                hidden = True
+    return apart or hidden, hidden, mark, shown
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks of text, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, str, int, bool]] = []  # tag, shown, number of the element, set apart
+    stack: list[tuple[str, str, int, bool, bool]] = []  # tag, shown, number of the element, set apart, hidden
+    marks: dict[int, Mark] = {}
+    held: dict[str, int] = defaultdict(int)  # characters in articles, in main and in all
     current: Block | None = None
     seen = at = 0
 
     def flush() -> None:
         nonlocal current
         if current is not None:
-            current.text = " ".join(html.unescape("".join(current.parts)).split())
-            if current.text:
-                out.append(current)
+            out.append(current)
             current = None
 
     def add(text: str) -> None:
@@ -121,12 +142,18 @@ def blocks_of(page: str) -> list[Block]:
         if current is None:
             if text.isspace():
                 return
-            current = Block(tuple(s[1] for s in stack), tuple(s[2] for s in inner), any(s[3] for s in stack))
+            current = Block(tuple(s[1] for s in stack), tuple(s[2] for s in inner), any(s[3] for s in stack), any(s[4] for s in stack))
         elif not current.apart and any(s[3] for s in stack):
-            return  # a hidden or marked inline element inside a block of content
-        current.parts.append(text)
-        if any(s[0] == "a" for s in stack):
-            current.linked += len(text)
+            return  # a hidden inline element, or a button and the like, inside a block of content
+        inside = tuple(s[2] for s in stack if s[2] in marks) if marks else ()
+        current.parts.append((text, any(s[0] == "a" for s in stack), inside))
+        if not current.apart:
+            n = len(text.strip())
+            for e in inside:
+                marks[e].size += n
+            held[""] += n
+            for name in {s[0] for s in stack if s[0] in ("article", "main")}:
+                held[name] += n
 
     for m in SIGNS.finditer(page):
         add(page[at : m.start()])
@@ -160,12 +187,29 @@ def blocks_of(page: str) -> list[Block]:
         if tag in VOID:
             continue
         seen += 1
-        apart, shown = _apart(tag, m["rest"] or "")
+        apart, hidden, mark, shown = _apart(tag, m["rest"] or "")
+        if tag in ("article", "main"):
+            for s in stack:
+                if s[2] in marks:
+                    marks[s[2]].kept = True
         if not (m["rest"] or "").endswith("/"):
-            stack.append((tag, shown, seen, apart))
+            if mark is not None:
+                marks[seen] = Mark(mark, frozenset(s[0] for s in stack if s[0] in ("article", "main")))
+            stack.append((tag, shown, seen, apart, hidden))
     add(page[at:])
     flush()
-    return out
+    around = next((t for t in ("article", "main") if held[t]), None)  # long comments beside an article aren't the content
+    for mark in marks.values():
+        mark.kept |= 2 * mark.size > held[""] and (around is None or around in mark.inside)
+    for b in out:
+        own = b.parts[0][2]
+        b.worded = any(marks[e].whole and not marks[e].kept for e in own)
+        b.doubtful = any(not marks[e].kept for e in own)
+        if not b.worded:  # marked inline elements inside a block of content
+            b.parts = [p for p in b.parts if not any(marks[e].whole and not marks[e].kept for e in p[2])]
+        b.linked = sum(len(text) for text, linked, _ in b.parts if linked)
+        b.text = " ".join(html.unescape("".join(p[0] for p in b.parts)).split())
+    return [b for b in out if b.text]
 
 
 def path_scores(blocks: list[Block]) -> np.ndarray:
@@ -182,10 +226,11 @@ def path_scores(blocks: list[Block]) -> np.ndarray:
 
 
 def main_text(page: str | None) -> str:
-    blocks = [b for b in blocks_of(page or "") if not b.apart]
+    found = blocks_of(page or "")
+    blocks = next(filter(None, ([b for b in found if not (b.apart or b.worded)], [b for b in found if not b.apart], [b for b in found if not b.hidden], found)), [])
     if not blocks:
         return ""
-    scores = path_scores(blocks)
+    scores = path_scores(blocks) * np.array([DOUBT if b.doubtful else 1.0 for b in blocks])
     size = np.array([len(b.text) for b in blocks])
     mean = np.average(scores, weights=size)
     chosen = scores >= mean - max(DEVIATIONS * scores.std(), 0.25 * mean)

@@ -72,6 +72,22 @@ def test_articles_in_body():
     assert html_extract.main_text(page(f"<div><p>Hint</p></div><article><h1>One</h1><div><p>{MUCH}</p></div></article>")) == f"One\n{MUCH}"
 
 
+@pytest.mark.parametrize("name", ["content no-sidebar", "has-sidebar", "with-ads", "widget-content", "comments-open", "search", "page header"])
+def test_names_of_classes_do_not_lose_the_article(name):
+    whole = f"<h1>Title</h1><p>Lead</p><p>{MUCH}</p><p>{MUCH}</p><p>End</p>"
+    text = f"Title\nLead\n{MUCH}\n{MUCH}\nEnd"
+    for body in (f"<div class='{name}'>{whole}</div>", f"<div id='{name.split()[-1]}'><article>{whole}</article></div>", f"<article><div class='{name}'>{whole}</div></article>", f"<article>{whole.replace('<h1', f'<h1 class=post-{name.split()[0]}')}</article>"):
+        assert html_extract.main_text(page(body)) == text
+        assert html_extract.main_text(page(f"<nav>Home</nav>{body}<div class='cookie'>{LONG}</div><div class='site-footer'>{LONG}</div>")) == text
+
+
+def test_what_is_set_apart_is_read_where_nothing_else_is():
+    assert html_extract.main_text(page(f"<div class=search><p>{LONG}</p></div><div class=widget><p>{LONG}</p></div>")) == f"{LONG}\n{LONG}"
+    assert html_extract.main_text(page(f"<form><p>{LONG}</p></form><p hidden>x</p>")) == LONG
+    assert html_extract.main_text(page(f"<article><p>{LONG}</p><p>a <span class=share>Share</span> b</p></article><section class=comments><p>{MUCH}</p></section>")) == f"{LONG}\na b"
+    assert html_extract.main_text(page(f"<p>Lead <span class=comment>{MUCH}</span></p>")) == f"Lead {MUCH}"
+
+
 def test_pages_that_end_anywhere():
     whole = page(f"<nav>x</nav><article><h1>T</h1><p>{LONG}</p><p title=\"a>b\">{LONG} &am</p></article>")
     for n in range(0, len(whole), 7):
