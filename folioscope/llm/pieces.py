@@ -9,7 +9,8 @@ order of their score.
 No piece goes past the end of a word or holds a line feed, so a text's lattice is
 a chain of its words' lattices. Each distinct word is solved once per worker. A
 text's n-best list differs from its best one in the words whose second-best
-segmentation is least behind, and only those words are searched by A-star.
+segmentation is least behind, and only those words are searched by A-star; their
+ids in each of the text's n best segmentations take the place of those of the best.
 
 Defined cases: null counts as the empty text, whose one segmentation is the sign
 for the space that is put before every text; of segmentations that score the same
@@ -94,7 +95,7 @@ class Encoder:
         self.slot: dict[str, int] = {}
         self.best, self.gap, self.size = np.empty(0), np.empty(0), np.empty(0, np.int64)
         self.begin, self.flat = np.empty(0, np.int64), np.empty(0, np.int32)
-        self.listed: dict[str, list[float]] = {}
+        self.listed: dict[tuple[str, int], list[tuple[float, np.ndarray]]] = {}
 
     def learn(self, words: list[str]) -> None:
         v = self.vocab
@@ -137,24 +138,39 @@ class Encoder:
     def ids(self, slots: np.ndarray) -> np.ndarray:
         return self.flat[_ranges(self.begin[slots], self.size[slots])]
 
-    def gaps(self, word: str, n: int) -> list[float]:
-        """How far the word's n best segmentations are behind its best."""
-        if word not in self.listed:
+    def ways(self, word: str, n: int) -> list[tuple[float, np.ndarray]]:
+        """How far the word's n best segmentations are behind its best, and their ids."""
+        if (word, n) not in self.listed:
             found = a_star(self.vocab, word, n)
-            self.listed[word] = [found[0][0] - s for s, _ in found]
-        return self.listed[word]
+            best = self.ids(np.array([self.slot[word]]))
+            others = [(max(0.0, found[0][0] - s), np.array(ids, np.int32)) for s, ids in found if ids != best.tolist()]
+            self.listed[word, n] = [(0.0, best), *others[: n - 1]]  # of those that score the same, that of best_paths comes first
+        return self.listed[word, n]
 
-    def n_best(self, words: list[str], slots: np.ndarray, n: int) -> list[float]:
-        """Scores of the n best segmentations of a text."""
+    def segmentations(self, words: list[str], slots: np.ndarray, n: int) -> list[tuple[float, np.ndarray]]:
+        """The n best segmentations of a text: (score, ids), best first."""
         behind = self.gap[slots]
         near = np.flatnonzero(np.isfinite(behind))
         if len(near) > n - 1:
             near = near[np.lexsort((near, behind[near]))[: n - 1]]
-        sums = [0.0]
-        for k in near:
-            sums = sorted(a + b for a in sums for b in self.gaps(words[k], n))[:n]
+        found: list[tuple[float, dict[int, np.ndarray]]] = [(0.0, {})]  # the words that differ from their best
+        for k in near.tolist():
+            ways = self.ways(words[k], n)
+            found = sorted(((a + b, {**other, k: ids} if x else other) for a, other in found for x, (b, ids) in enumerate(ways)), key=lambda f: f[0])[:n]
+        best, ends = self.ids(slots), np.cumsum(self.size[slots])
         top = float(self.best[slots].sum())
-        return [top - s for s in sums]
+        out = []
+        for s, other in found:
+            parts, at = [], 0
+            for k in sorted(other):
+                parts += [best[at : ends[k] - self.size[slots[k]]], other[k]]
+                at = ends[k]
+            out.append((top - s, np.concatenate((*parts, best[at:]))))
+        return out
+
+    def n_best(self, words: list[str], slots: np.ndarray, n: int) -> list[float]:
+        """Scores of the n best segmentations of a text."""
+        return [s for s, _ in self.segmentations(words, slots, n)]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text's UTF-8, without the space that was put before it."""
@@ -189,24 +205,28 @@ def text_blocks(texts: list[str]) -> Iterator[list[str]]:
 
 
 def encode_documents(documents: DataFrame, model: str | None = None, text: str = "text", n: int = N_BEST, with_ids: bool = False) -> DataFrame:
-    """documents with n_pieces, ids_crc32, n_best_scores and round_trip, and the ids themselves if asked for."""
+    """documents with the n best segmentations, best first: scores, numbers of pieces, crc32 of the ids and, if asked for, the ids.
+
+    n_pieces, ids_crc32 and ids are of the best one; round_trip: all of them decode to the text.
+    """
     tune(documents.sparkSession)
     path = model or model_path()
-    kind = "n_pieces long, ids_crc32 long, n_best_scores array<double>, round_trip boolean" + ", ids array<int>" * with_ids
+    kind = "n_pieces long, ids_crc32 long, n_best_scores array<double>, n_best_pieces array<long>, n_best_crc32 array<long>, round_trip boolean" + ", ids array<int>, n_best_ids array<array<int>>" * with_ids
 
     @F.pandas_udf(f"struct<{kind.replace(' ', ':').replace(',:', ',')}>")
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = encoder(path)
         for batch in batches:
-            rows = []
             for texts in text_blocks([t or "" for t in batch.tolist()]):
+                rows = []
                 words, flat, at = own.slots(texts)
                 for k, t in enumerate(texts):
-                    slots = flat[at[k] : at[k + 1]]
-                    ids = own.ids(slots)
-                    row = (len(ids), zlib.crc32(ids.astype("<u4")), own.n_best(words[k], slots, n), own.decode(ids) == t.encode("utf-8", "surrogatepass"))
-                    rows.append((*row, ids) if with_ids else row)
-            yield pd.DataFrame(rows, columns=[f.split()[0] for f in kind.split(", ")])
+                    found = own.segmentations(words[k], flat[at[k] : at[k + 1]], n)
+                    scores, ids = [s for s, _ in found], [i for _, i in found]
+                    sizes, sums, raw = [len(i) for i in ids], [zlib.crc32(i.astype("<u4")) for i in ids], t.encode("utf-8", "surrogatepass")
+                    row = (sizes[0], sums[0], scores, sizes, sums, all(own.decode(i) == raw for i in ids))
+                    rows.append((*row, ids[0], ids) if with_ids else row)
+                yield pd.DataFrame(rows, columns=[f.split()[0] for f in kind.split(", ")])
             trim()
 
     names = [f.split()[0] for f in kind.split(", ")]

@@ -54,7 +54,7 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """n_pieces and ids_crc32 of the best segmentation, the scores of the best ones, and whether decoding gives the text."""
+    """Scores, numbers of pieces and crc32 of the ids of the best segmentations, and whether decoding each of them gives the text."""
     return pieces.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 

@@ -207,6 +207,29 @@ def test_n_best_is_that_of_all_segmentations():
         assert np.allclose(own.n_best(words[0], slots, 4), sums[:4])
 
 
+def test_n_best_ids_are_those_of_the_best_segmentations(spark):
+    texts = [*[t for t in TEXTS if len(t or "") < 1000], "the cat", "ab\ncd", "Größe hello hello", "日本x the"]
+    own = pieces.Encoder(pieces.model_path())
+    score = dict(zip(own.vocab.ids.tolist(), own.vocab.scores.tolist(), strict=True))
+    for n in (1, 2, 4, 7):
+        for t in texts:
+            words, slots, _ = own.slots([t or ""])
+            found = own.segmentations(words[0], slots, n)
+            assert len({tuple(ids) for _, ids in found}) == len(found) <= n and (found[0][1] == own.ids(slots)).all()
+            assert all(own.decode(ids) == (t or "").encode() for _, ids in found)
+            for s, ids in found:
+                if not set(ids.tolist()) - set(score):  # without byte pieces
+                    assert np.isclose(s, sum(score[i] for i in ids.tolist()))
+        for t in ["the cat", "ab\ncd"]:
+            words, slots, _ = own.slots([t])
+            sums = sorted((sum(c) for c in itertools.product(*[every_segmentation(own.vocab, w) for w in words[0]])), reverse=True)
+            assert np.allclose([s for s, _ in own.segmentations(words[0], slots, n)], sums[:n])
+    for r in pieces.encode_documents(table(spark, texts), with_ids=True).collect():
+        assert r.round_trip and r.ids == r.n_best_ids[0] and len(r.n_best_scores) == len(r.n_best_ids)
+        assert r.n_best_pieces == [len(i) for i in r.n_best_ids] and r.n_best_pieces[0] == r.n_pieces
+        assert r.n_best_crc32 == [zlib.crc32(np.array(i, "<u4")) for i in r.n_best_ids] and r.n_best_crc32[0] == r.ids_crc32
+
+
 def test_encoding_decodes_to_the_text(spark):
     got = pieces.encode_documents(table(spark), with_ids=True).collect()
     assert len(got) == len(TEXTS) and all(r.round_trip and r.n_pieces == len(r.ids) and r.lang == "q" for r in got)
