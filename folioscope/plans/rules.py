@@ -303,7 +303,7 @@ def _(t: Tables):
 
 @query("SNK-10", "SELECT doc_id, substr(regexp_replace(substr(text, 1, 300), '[^A-Za-z0-9_\\-.]+', '_', 'g'), 1, 120) AS nombre FROM documents")
 def _(t: Tables):
-    return t.documents.select("doc_id", S.slug(F.substring("text", 1, 300)).alias("nombre"))
+    return t.documents.select("doc_id", S.slug(F.col("text")).alias("nombre"))
 
 
 @query("SNK-6", f", {FINDINGS} SELECT regla, nivel, count(*) AS n FROM findings GROUP BY regla, nivel", "vouchers")

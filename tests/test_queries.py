@@ -68,3 +68,8 @@ def test_nothing_else_imports_the_optional_subpackage():
     for p in (ROOT / "folioscope").rglob("*.py"):
         if "llm" not in p.relative_to(ROOT).parts:
             assert "llm" not in p.read_text(), p
+
+
+def test_names_come_from_the_whole_text(spark, tmp_path):
+    spark.createDataFrame([(1, "a" + " " * 400 + "b"), (2, "x" * 400)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.nombre for r in plans.QUERIES["SNK-10"](spark, str(tmp_path)).collect()} == {1: "a_b", 2: "x" * 120}
