@@ -176,7 +176,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     k = F.col("doc_id") % 6
-    message = S.first_of((k == 0, "JSON corrupto en la respuesta"), (k == 1, "Request timed out"), (k == 2, "urlopen error"), (k == 3, "Respuesta vacía"), (k == 4, "model not found"), default=F.substring("text", 1, 40))
+    message = S.first_of((k == 0, "JSON corrupto en la respuesta"), (k == 1, "Request timed out"), (k == 2, "urlopen error"), (k == 3, "Respuesta vacía"), (k == 4, "model not found"), default=F.col("text"))
     return t.documents.select("doc_id", C.model_failure(message).alias("razon"))
 
 

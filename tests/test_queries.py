@@ -73,3 +73,8 @@ def test_nothing_else_imports_the_optional_subpackage():
 def test_names_come_from_the_whole_text(spark, tmp_path):
     spark.createDataFrame([(1, "a" + " " * 400 + "b"), (2, "x" * 400)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.doc_id: r.nombre for r in plans.QUERIES["SNK-10"](spark, str(tmp_path)).collect()} == {1: "a_b", 2: "x" * 120}
+
+
+def test_failures_are_read_in_the_whole_text(spark, tmp_path):
+    spark.createDataFrame([(5, "x" * 50 + " timeout"), (11, "x" * 50)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.razon for r in plans.QUERIES["CLS-19"](spark, str(tmp_path)).collect()} == {5: "timeout", 11: "error_inesperado"}
