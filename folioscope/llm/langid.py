@@ -3,18 +3,23 @@
 Each language has probabilities of the pieces of a fixed public vocabulary. The
 probability of a word is the sum over all its segmentations of the product of
 their pieces' probabilities, which a forward pass over the word's lattice gives
-exactly; a text's is the product over its words, each of which may be a foreign
-one with a small chance, and languages are equally likely beforehand. Probabilities are learned by expectation maximisation
-(forward-backward over the same lattices) from a bounded sample of documents.
-
-Words are maximal runs of letters, lower-cased, with the vocabulary's sign for a
-space in front; runs over LONGEST letters are scored in parts of that length.
-All distinct words of a block are scored together, for all languages at once.
+exactly; a text's is the product over its words, and languages are equally likely
+beforehand. A word may be foreign with a small chance: it is then of any of the
+languages, so its probability is a mixture of these same marginals, and segments
+of a text in another language cannot outweigh it. Probabilities are learned by
+expectation maximisation (forward-backward over the same lattices) from a bounded
+sample of documents, in one task; all languages are learned, at 0.25 MB each.
+
+Words are maximal runs of letters, of any length, lower-cased, with the
+vocabulary's sign for a space in front. All distinct words of a block are scored
+together, some languages at a time; a run over LONG letters is scored by itself in
+steps of bounded memory, and not learned from.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; rows
-without a language are not learned from; with no learned language every text is
-`und`; of languages that tie the first in alphabetical order wins; repeated rows
-give repeated results; other columns are not looked at.
+without a language are not learned from, and of rows that repeat an id and a text
+one is; with no learned language every text is `und`; of languages that tie the
+first in alphabetical order wins; repeated rows give repeated results; other
+columns are not looked at, also if they have the names that are used here.
 """
 
 from __future__ import annotations
@@ -27,27 +32,31 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import lattice
 from .pieces import model_path, text_blocks
-from .store import trim, tune
+from .store import materialize, scratch, trim, tune
 
-#: Documents learned from for each language, about: those whose ids hash lowest.
+#: Documents learned from for each language, at most: those whose ids and texts hash lowest.
 SAMPLE = 250
+#: Languages whose counts are broadcast, at most; more are joined by a shuffle.
+BROADCAST_LANGUAGES = 100_000
 #: Log probabilities remembered by a task before it starts afresh.
 CACHE = 1 << 20
-#: Languages learned, at most (the most frequent): bounds the model and the sample.
-LANGUAGES = 500
-ROUNDS, SMOOTHING, LONGEST, UNDETERMINED = 3, 0.02, 200, "und"
+#: Languages scored at once: bounds the memory of a lattice's sums.
+WIDE = 32
+#: Letters of a word that is scored by itself, and letters of it that are looked up at once.
+LONG, REACH = 200, 1 << 14
+ROUNDS, SMOOTHING, UNDETERMINED = 3, 0.02, "und"
 #: Chance that a word isn't of its text's language.
 FOREIGN = 0.1
 #: Words counted at once: bounds the memory of training.
 STEP = 10_000
 #: Probability of a letter that is no piece, in every language. Factors per letter keep long words within doubles.
 STRANGE, PER_LETTER = 1e-9, 12.0
-LETTERS = re.compile(rf"[^\W\d_]{{1,{LONGEST}}}")
+LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -76,9 +85,41 @@ class Model:
 
     def log_words(self, words: list[str]) -> np.ndarray:
         """log P(word | language), a row for each word."""
-        e = lattice.edges(lattice.vocabulary(self.vocabulary), [" " + w for w in words])
+        out = np.empty((len(words), len(self.languages)))
+        short = np.array([k for k, w in enumerate(words) if len(w) <= LONG], np.int64)
+        e = lattice.edges(lattice.vocabulary(self.vocabulary), [" " + words[k] for k in short])
         ends = e.starts + e.lengths
-        return np.log(lattice.total(e, _scaled(e, self.p))[ends]) - (e.lengths * np.log(PER_LETTER))[:, None]
+        for a in range(0, len(self.languages), WIDE):
+            p = self.p[:, a : a + WIDE]
+            out[short, a : a + WIDE] = np.log(lattice.total(e, _scaled(e, p))[ends]) - (e.lengths * np.log(PER_LETTER))[:, None]
+        for k in set(range(len(words))) - set(short.tolist()):
+            out[k] = self.log_long(words[k])
+        return out
+
+    def log_long(self, word: str) -> np.ndarray:
+        """The same for one long word: the sums of the last places are carried along, scaled to stay within doubles."""
+        vocab, word = lattice.vocabulary(self.vocabulary), " " + word
+        reach, scale = vocab.longest, np.zeros(len(self.languages))
+        sums = np.zeros((reach + 1, len(self.languages)))  # of the places from `at` on
+        sums[0] = 1.0
+        for at in range(0, len(word), REACH):
+            size = min(REACH, len(word) - at)
+            e = lattice.edges(vocab, [word[at : at + size + reach - 1]])
+            local = np.zeros((size + reach + 1, len(self.languages)))
+            local[: reach + 1] = sums
+            for t in range(size):
+                top = local[t]
+                ahead = local[t : t + reach + 1].max(axis=0)
+                small = (ahead > 0) & (ahead < 1e-100)
+                if small.any():
+                    factor = np.where(small, ahead, 1.0)
+                    local[t : t + reach + 1] /= factor
+                    scale += np.log(factor)
+                for k in range(e.groups[t], e.groups[t + 1]):
+                    piece = e.piece[k]
+                    local[e.target[k]] += top * (self.p[piece] if piece >= 0 else STRANGE)
+            sums = local[size : size + reach + 1]
+        return np.log(sums[0]) + scale
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         names, scores = [], []
@@ -123,7 +164,7 @@ def train(samples: dict[str, list[str | None]], vocabulary: str) -> Model:
     languages = sorted(samples)
     vocab = lattice.vocabulary(vocabulary)
     counts = [Counter(chain.from_iterable(map(words_of, samples[name]))) for name in languages]
-    words = sorted(set().union(*counts))
+    words = sorted(w for w in set().union(*counts) if len(w) <= LONG)
     size = len(vocab.pieces)
     p = np.full((size, len(languages)), 1.0 / size)
     if not words:
@@ -146,18 +187,37 @@ def train(samples: dict[str, list[str | None]], vocabulary: str) -> Model:
     return Model(vocabulary, languages, p)
 
 
+def sampled(documents: DataFrame, key: str, text: str, lang: str, usable: Column, size: int) -> DataFrame:
+    """(lang, h, text) of at most `size` documents of each language."""
+    known = documents.where(usable).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.col(text)).alias("h")).where("lang is not null and text is not null")
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = materialize(counts, scratch(documents.sparkSession, "languages"))
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST_LANGUAGES else counts
+    # Hashes below a bound that twice as many rows pass leave few rows to rank, however many a language has.
+    near = known.join(counts, "lang").where(F.pmod("h", F.lit(1 << 40)) / F.lit(float(1 << 40)) < F.lit(2.0 * size) / F.col("n"))
+    near = near.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 40)), "h")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size).select("lang", "h", "text")
+
+
 def fit(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", usable: Column | None = None, size: int = SAMPLE, vocabulary: str | None = None) -> Model:
-    """Learns from about `size` documents of each language: rows are picked by a hash of their ids."""
-    known = documents.where(F.lit(True) if usable is None else usable).select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null and text is not null")
-    number = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    wanted = F.lit(False)
-    for name, n in number.items():
-        wanted = wanted | ((F.col("lang") == name) & (place < min(1.0, size / n)))
-    samples: dict[str, list[str | None]] = {name: [] for name in number}
-    for row in known.where(wanted).orderBy("id").limit(2 * size * max(1, len(number))).collect():
-        samples[row.lang].append(row.text)
-    return train(samples, vocabulary or model_path())
+    """Trains in a task on at most `size` documents of each language."""
+    tune(documents.sparkSession)
+    path = vocabulary or model_path()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        samples: dict[str, list[str | None]] = {}
+        for batch in batches:
+            for name, words in zip(batch["lang"], batch["text"], strict=True):
+                samples.setdefault(name, []).append(words)
+        model = train(samples, path)
+        for k, name in enumerate(model.languages):
+            yield pd.DataFrame({"lang": [name], "p": [model.p[:, k].tobytes()]})
+        trim()
+
+    rows = sampled(documents, key, text, lang, F.lit(True) if usable is None else usable, size)
+    found = sorted(rows.repartition(1).mapInPandas(run, "lang string, p binary").collect())  # a row of 0.25 MB for each language
+    return Model(path, [r.lang for r in found], np.stack([np.frombuffer(r.p) for r in found], axis=1) if found else np.zeros((0, 0)))
 
 
 def identify(documents: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:

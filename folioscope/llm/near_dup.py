@@ -18,9 +18,15 @@ change the result. So nothing is capped: a group of near copies costs pairs in
 proportion to its size, and only what stays apart is compared exhaustively.
 
 Defined cases: null and wordless texts have an empty set and link with nothing;
-null ids form one-row classes with a null component; ids are integers; rows that
-share an id are one document, linked where any of its texts is; other columns
-are not looked at.
+null ids form one-row classes with a null component; ids of another type than
+integers raise a TypeError; rows that share an id are one document, linked where
+any of its texts is; a long text costs a worker some twenty times its bytes;
+other columns are not looked at.
+
+Skew: a bucket with a large share of the rows meets its head in narrow rows of a
+few numbers, which adaptive execution splits; sets are joined by class, and those
+of a class that many others are compared with in as many copies as it has
+thousands of partners.
 """
 
 from __future__ import annotations
@@ -36,8 +42,8 @@ from pyspark.sql.pandas.functions import pandas_udf
 from pyspark.sql.types import LongType
 
 from . import bytes_np
-from .graph import components
-from .store import FileStore, materialize, scratch, trim, tune
+from .graph import components, joined
+from .store import FileStore, integer_key, materialize, release, scratch, trim, tune
 
 BANDS, ROWS, SEED = 48, 6, 20240229
 UNIVERSE = 1 << 22
@@ -47,6 +53,8 @@ BROADCAST_IDS = 1_000_000
 PIVOTS = 3
 #: Pairs still apart in a bucket that are compared as rows; more are compared in tiles of bounded blocks of sets.
 PAIRS, TILE_BYTES = 2000, 2 << 20
+#: Pairs that meet one copy of a set.
+SHARE = 1000
 _tables: dict[int, np.ndarray] = {}
 
 
@@ -127,10 +135,14 @@ def _of_size(percent: int):
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b, n, other_n) whose sets are similar, as (a, b)."""
+    """Those of the pairs (a, b, n, other_n), read twice, whose sets are similar, as (a, b)."""
+    often = pairs.groupBy("b").count().where(F.col("count") > SHARE).select("b", F.ceil(F.col("count") / SHARE).cast("int").alias("copies"))
+    often = small(materialize(often, scratch(pairs.sparkSession, "near-dup-often")))
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
-    both = pairs.join(left, "a").join(right, "b")
+    right = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")).join(often, "b", "left")
+    right = right.select("b", "set_b", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
+    dealt = pairs.join(often, "b", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("a"), F.col("copies")), F.lit(0)).cast("int").alias("copy"))
+    both = dealt.join(right, ["b", "copy"]).join(left, "a")
     size = lambda c: F.octet_length(c) / 8  # noqa: E731  of the sets themselves: an id may have several
     compared = both.select("a", "b", (size("set_a") + size("set_b")).alias("sizes"), _common("set_a", "set_b").alias("c"))
     return compared.where(100 * F.col("c") >= percent * (F.col("sizes") - F.col("c"))).select("a", "b")
@@ -144,20 +156,21 @@ def _confirmed_once(pairs: DataFrame, sets: DataFrame, percent: int, path: str)
     return materialize(confirmed(once, sets, percent), f"{path}-links")
 
 
-def _tiled(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _tiled(large: DataFrame, sets: DataFrame, percent: int, path: str) -> DataFrame:
     """Links that join different components of large buckets, as (a, b).
 
     Members go into blocks of bounded bytes, by the least head of their buckets, so
     that members that share buckets share blocks. A tile is a block of members
     outside a bucket's largest component, and a block of members of the same bucket.
     """
-    own = large.groupBy("rep", "n", "comp").agg(F.min("other").alias("home"), F.collect_set("bucket").alias("keys"), F.collect_set(F.when(F.col("comp") != F.col("top"), F.col("bucket"))).alias("minor"))
+    own = materialize(large.groupBy("rep", "n", "comp").agg(F.min("other").alias("home"), F.collect_set("bucket").alias("keys"), F.collect_set(F.when(F.col("comp") != F.col("top"), F.col("bucket"))).alias("minor")), f"{path}/own")
     weight = own.groupBy("home").agg(F.ceil(F.sum(F.col("n") * 8) / F.lit(TILE_BYTES)).alias("wholes"), F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.size("minor") > 0, F.col("n") * 8).otherwise(0)) / F.lit(TILE_BYTES))).alias("minors"))
     own = own.join(weight, "home").select("rep", "n", "comp", "keys", "minor", F.xxhash64("home", F.pmod(F.xxhash64("rep"), F.col("wholes"))).alias("w"), F.when(F.size("minor") > 0, F.xxhash64("home", F.pmod(F.xxhash64("rep"), F.col("minors")))).alias("m"))
+    own = materialize(own, f"{path}/blocks")
     named = own.join(sets, F.col("rep") == F.col("id")).select("rep", "n", "comp", "keys", "minor", "w", "m", "set")
     ours = own.where("m is not null").select("m", F.explode("minor").alias("bucket")).distinct()
     theirs = own.select("w", F.explode("keys").alias("bucket")).distinct()
-    tiles = ours.join(theirs, "bucket").select("m", "w").distinct()
+    tiles = materialize(ours.join(theirs, "bucket").select("m", "w").distinct(), f"{path}/tiles")
     left = named.drop("w").join(tiles, "m").select("m", "w", "rep", "n", "comp", F.col("minor").alias("keys"), "set")
     right = named.drop("m").join(tiles, "w").select("m", "w", "rep", "n", "comp", "keys", "set")
     right = right.toDF(*right.columns)  # new names for the planner, as both sides come from one table
@@ -203,6 +216,7 @@ def _compare(percent: int):
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: key, n_shingles, component_id, kept."""
     spark = documents.sparkSession
+    integer_key(documents, key)
     tune(spark)
     root = scratch(spark, "near-dup")
     files = FileStore(spark, root)
@@ -217,10 +231,10 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     shared = rows.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1")
     members = materialize(rows.join(shared.select("bucket", "hub"), "bucket").select("bucket", "rep", "n", F.col("hub.rep").alias("other"), F.col("hub.n").alias("other_n")), f"{root}/members")
     files.delete(f"{root}/rows")
+    release(spark)
 
     # Full sets of the classes that share a bucket.
-    asked = members.select(F.col("rep").alias("id")).distinct()
-    asked = materialize(asked, f"{root}/asked")
+    asked = materialize(members.select(F.col("rep").alias("id")).distinct(), f"{root}/asked")
     chosen = docs.join(small(asked), "id", "left_semi")
     if _repeats(signed):
         chosen = chosen.dropDuplicates(["id", "text"])
@@ -228,8 +242,9 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
 
     # Each class with the least of the classes at the head of its buckets.
     first = members.where("other < rep").where(_of_size(percent)).groupBy("rep", "n").agg(F.min(F.struct("other", "other_n")).alias("o"))
-    first = first.select(F.col("rep").alias("a"), F.col("o.other").alias("b"), "n", F.col("o.other_n").alias("other_n"))
+    first = materialize(first.select(F.col("rep").alias("a"), F.col("o.other").alias("b"), "n", F.col("o.other_n").alias("other_n")), f"{root}/first")
     links = materialize(confirmed(first, sets, percent), f"{root}/links-0")
+    release(spark)
     roots = components(links, "near-dup-components")
 
     # Then with members of the largest component of each bucket, then with all that stay apart.
@@ -252,16 +267,19 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
             more = _confirmed_once(pairs, sets, percent, f"{root}/{step}")
             large = left.where("large")
             if not large.isEmpty():
-                more = more.unionByName(materialize(_tiled(large, sets, percent), f"{root}/tiled"))
+                release(spark)
+                more = more.unionByName(materialize(_tiled(large, sets, percent, root), f"{root}/tiled"))
+        release(spark)
         if not more.isEmpty():
-            links = links.unionByName(more)
-            roots = components(links, "near-dup-components")
-    files.delete(f"{root}/sets")
-    files.delete(f"{root}/members")
+            roots = joined(roots, more, "near-dup-components")
 
     found = signed.join(classes, "print", "left").join(roots, F.col("rep") == F.col("node"), "left")
     group = F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.coalesce("root", "rep")).otherwise(F.col("id"))
-    return found.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), group.alias("component_id"), F.coalesce(group == F.col("id"), F.lit(True)).alias("kept"))
+    out = found.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), group.alias("component_id"), F.coalesce(group == F.col("id"), F.lit(True)).alias("kept"))
+    out = materialize(out, scratch(spark, "near-dup-found"))
+    files.delete(root)
+    release(spark)
+    return out
 
 
 def drop_near_duplicates(documents: DataFrame, key: str = "doc_id", **options) -> DataFrame:

@@ -58,6 +58,29 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Free what finished steps left behind.
+
+    Spark drops the shuffles and broadcasts of a finished step, and the driver its
+    plans and task records, when the driver's JVM next collects its garbage; a job
+    of many small steps should not wait until its heap is full.
+    """
+    jvm = spark.sparkContext._jvm
+    jvm.System.gc()
+    with contextlib.suppress(Exception):  # only some JVMs offer it
+        gateway = spark.sparkContext._gateway
+        params, kinds = gateway.new_array(jvm.Object, 1), gateway.new_array(jvm.String, 1)
+        params[0], kinds[0] = gateway.new_array(jvm.String, 0), "[Ljava.lang.String;"
+        jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer().invoke(jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap", params, kinds)
+
+
+def integer_key(table: DataFrame, key: str) -> None:
+    """Refuse keys that aren't integers, which a cast would turn into nulls."""
+    kind = dict(table.dtypes)[key]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{key} is {kind}; ids must be integers")
+
+
 class FileStore:
     """The few Hadoop FileSystem calls needed on the driver, for any scheme Spark knows."""
 
