@@ -16,13 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: dict[str, str] = {}
 
-#: Rows of text handed to a Python worker at once: bounds its memory.
-BATCH_ROWS = 512
+#: Rows and bytes of text handed to a Python worker at once: bounds its memory.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
 def tune(spark: SparkSession) -> None:
     """Keep Arrow batches of whole texts small. Call before building a plan that runs Python."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def trim() -> None:
@@ -52,9 +53,9 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, path: str) -> DataFrame:
+def materialize(df: DataFrame, path: str, compression: str = "snappy") -> DataFrame:
     """Write df once and read it back, which cuts its lineage and survives lost executors."""
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -74,6 +75,14 @@ def release(spark: SparkSession) -> None:
         jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer().invoke(jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap", params, kinds)
 
 
+def unused(table: DataFrame, name: str) -> str:
+    """A column name that the table hasn't."""
+    taken = {c.lower() for c in table.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def integer_key(table: DataFrame, key: str) -> None:
     """Refuse keys that aren't integers, which a cast would turn into nulls."""
     kind = dict(table.dtypes)[key]
@@ -101,6 +110,15 @@ class FileStore:
             return []
         return sorted((str(x.getPath().toString()), int(x.getLen())) for x in self.fs.listStatus(at) if x.isFile())
 
+    def below(self, name: str) -> list[tuple[str, int]]:
+        """(path, milliseconds since 1970 when it was written) of all files below name, at any depth."""
+        at = self.path(name)
+        out, left = [], self.fs.listFiles(at, True) if self.fs.exists(at) else None
+        while left is not None and left.hasNext():
+            x = left.next()
+            out.append((str(x.getPath().toString()), int(x.getModificationTime())))
+        return out
+
     def read(self, name: str) -> str:
         stream = self.fs.open(self.path(name))
         try:
