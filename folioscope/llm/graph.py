@@ -42,10 +42,10 @@ def _state(edges: DataFrame) -> tuple[int, object]:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """edges (a, b), any order, may repeat -> (node, root) for every node that isn't its own root."""
+def components(edges: DataFrame, path: str | None = None) -> DataFrame:
+    """edges (a, b), any order, may repeat -> (node, root) for every node that isn't its own root. path: a folder to work in."""
     spark = edges.sparkSession
-    root = scratch(spark, name)
+    root = path or scratch(spark, "components")
     files = FileStore(spark, root)
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{root}/0")
     k, state = 0, _state(now)
@@ -68,11 +68,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def joined(roots: DataFrame, more: DataFrame, name: str = "components") -> DataFrame:
+def joined(roots: DataFrame, more: DataFrame, path: str | None = None) -> DataFrame:
     """roots (node, root), as components() returns them, after more edges (a, b)."""
+    path = path or scratch(roots.sparkSession, "components")
     ends = more.select("a", "b").distinct()
     for c in ("a", "b"):
         ends = ends.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
-    new = components(ends.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")), name)
+    new = components(ends.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")), path)
     moved = roots.join(new.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-    return materialize(moved.unionByName(new), scratch(roots.sparkSession, f"{name}-joined"))
+    return materialize(moved.unionByName(new), f"{path}/joined")

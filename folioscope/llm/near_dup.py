@@ -134,10 +134,10 @@ def _of_size(percent: int):
     return 100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, path: str) -> DataFrame:
     """Those of the pairs (a, b, n, other_n), read twice, whose sets are similar, as (a, b)."""
     often = pairs.groupBy("b").count().where(F.col("count") > SHARE).select("b", F.ceil(F.col("count") / SHARE).cast("int").alias("copies"))
-    often = small(materialize(often, scratch(pairs.sparkSession, "near-dup-often")))
+    often = small(materialize(often, f"{path}-often"))
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
     right = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")).join(often, "b", "left")
     right = right.select("b", "set_b", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
@@ -153,7 +153,7 @@ def _confirmed_once(pairs: DataFrame, sets: DataFrame, percent: int, path: str)
     swap = F.col("rep") > F.col("other")
     ways = [F.when(swap, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("rep", "other", "a"), ("other", "rep", "b"), ("n", "other_n", "n"), ("other_n", "n", "other_n"))]
     once = materialize(pairs.where(_of_size(percent)).select(*ways).distinct(), path)
-    return materialize(confirmed(once, sets, percent), f"{path}-links")
+    return materialize(confirmed(once, sets, percent, path), f"{path}-links")
 
 
 def _tiled(large: DataFrame, sets: DataFrame, percent: int, path: str) -> DataFrame:
@@ -243,9 +243,9 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     # Each class with the least of the classes at the head of its buckets.
     first = members.where("other < rep").where(_of_size(percent)).groupBy("rep", "n").agg(F.min(F.struct("other", "other_n")).alias("o"))
     first = materialize(first.select(F.col("rep").alias("a"), F.col("o.other").alias("b"), "n", F.col("o.other_n").alias("other_n")), f"{root}/first")
-    links = materialize(confirmed(first, sets, percent), f"{root}/links-0")
+    links = materialize(confirmed(first, sets, percent, f"{root}/first"), f"{root}/links-0")
     release(spark)
-    roots = components(links, "near-dup-components")
+    roots = components(links, f"{root}/components")
 
     # Then with members of the largest component of each bucket, then with all that stay apart.
     here = members.select("bucket", "rep", "n", "other")
@@ -271,7 +271,7 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
                 more = more.unionByName(materialize(_tiled(large, sets, percent, root), f"{root}/tiled"))
         release(spark)
         if not more.isEmpty():
-            roots = joined(roots, more, "near-dup-components")
+            roots = joined(roots, more, f"{root}/components-{step}")
 
     found = signed.join(classes, "print", "left").join(roots, F.col("rep") == F.col("node"), "left")
     group = F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.coalesce("root", "rep")).otherwise(F.col("id"))
