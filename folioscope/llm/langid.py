@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import lattice
 from .pieces import model_path, text_blocks
-from .store import materialize, scratch, trim, tune
+from .store import materialize, scratch, trim, tune, unused
 
 #: Documents learned from for each language, at most: those whose ids and texts hash lowest.
 SAMPLE = 250
@@ -231,5 +231,6 @@ def identify(documents: DataFrame, model: Model, text: str = "text", lang: str =
             yield pd.DataFrame({"lang": pd.Series(names, dtype=object), "score": pd.Series(scores, dtype="float64")})
             trim()
 
-    out = documents.withColumn("__found", found(F.col(text)))
-    return out.select(*[c for c in documents.columns if c not in (lang, score)], F.col("__found.lang").alias(lang), F.col("__found.score").alias(score))
+    name = unused(documents, "found")
+    out = documents.withColumn(name, found(F.col(text)))
+    return out.select(*[c for c in documents.columns if c not in (lang, score)], F.col(f"{name}.lang").alias(lang), F.col(f"{name}.score").alias(score))
