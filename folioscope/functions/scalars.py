@@ -5,6 +5,7 @@ Nulls give null, unless a function's own text says what they give.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -30,6 +31,11 @@ def first_of(*pairs: tuple[Column, object], default: object = None) -> Column:
     return chain if default is None else chain.otherwise(default if isinstance(default, Column) else F.lit(default))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once a row: the planner would write it out anew for every use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def matches(text: Column, pattern: str) -> Column:
     return F.coalesce(F.rlike(text, F.lit(ci(pattern))), F.lit(False))
 
@@ -40,7 +46,7 @@ def any_of(conditions: list[Column]) -> Column:
 
 def extract(text: Column, pattern: str, group: int = 1) -> Column:
     """The first match's group; null if there is none or it is empty."""
-    return F.nullif(F.regexp_extract(text, ci(pattern), group), F.lit(""))
+    return let(F.regexp_extract(text, ci(pattern), group), lambda found: F.when(found != "", found))
 
 
 def money(text: Column) -> Column:

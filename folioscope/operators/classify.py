@@ -37,43 +37,67 @@ def has_total(norm: Column) -> Column:
     return S.matches(norm, P.TOTAL_CONTEXT) | S.any_of([S.matches(norm, p) for p in P.AMOUNT_BY_TOTAL])
 
 
-def portal_score(norm: Column) -> tuple[Column, Column]:
-    """Points for a page of the tax portal. norm: normal_key of its text."""
-    query, result = has(norm, "consulta de comprobante"), has(norm, "resultado de la consulta")
+def page_signs(text: Column) -> Column:
+    """struct of what a page shows, each sign looked for once; in blank all are false but that one."""
+
+    def signs(norm: Column) -> Column:
+        n_lines = F.size(S.lines(text))
+        return F.struct(
+            (norm == "").alias("blank"),
+            has(norm, "consulta de comprobante").alias("query"),
+            (has(norm, "consulta") & has(norm, "comprobante")).alias("both_words"),
+            has(norm, "resultado de la consulta").alias("result"),
+            has(norm, "sunat").alias("portal"),
+            S.matches(norm, P.VALID_STATE).alias("valid"),
+            has_structure(norm).alias("structure"),
+            has_total(norm).alias("total"),
+            S.matches(norm, P.VALID_SERIES).alias("series"),
+            S.matches(text, P.RUC_MARK).alias("ruc"),
+            ((n_lines >= 3) & (n_lines <= 28)).alias("few_lines"),
+        )
+
+    return S.let(S.normal_key(text), signs)
+
+
+def portal_score(seen: Column) -> tuple[Column, Column]:
+    """Points for a page of the tax portal. seen: its page_signs."""
     return points(
-        (query, 2, "sunat.consulta_de_comprobante(+2)"),
-        (~query & has(norm, "consulta") & has(norm, "comprobante"), 1, "sunat.consulta_y_comprobante_separados(+1)"),
-        (result, 2, "sunat.resultado_de_la_consulta(+2)"),
-        (has(norm, "sunat") & S.matches(norm, P.VALID_STATE), 2, "sunat.sunat_y_estado_valido(+2)"),
-        (~has_structure(norm), 1, "sunat.ausencia_estructura_comprobante(+1)"),
-        (has(norm, "sunat") & (result | query), 1, "sunat.presencia_portal(+1)"),
+        (seen.query, 2, "sunat.consulta_de_comprobante(+2)"),
+        (~seen.query & seen.both_words, 1, "sunat.consulta_y_comprobante_separados(+1)"),
+        (seen.result, 2, "sunat.resultado_de_la_consulta(+2)"),
+        (seen.portal & seen.valid, 2, "sunat.sunat_y_estado_valido(+2)"),
+        (~seen.structure, 1, "sunat.ausencia_estructura_comprobante(+1)"),
+        (seen.portal & (seen.result | seen.query), 1, "sunat.presencia_portal(+1)"),
     )
 
 
-def voucher_score(text: Column, norm: Column) -> tuple[Column, Column]:
-    count = F.size(S.lines(text))
-    series = S.matches(norm, P.VALID_SERIES)
+def voucher_score(seen: Column) -> tuple[Column, Column]:
     return points(
-        (series, 2, "comprobante.serie_valida(+2)"),
-        (S.matches(text, P.RUC_MARK) & has_total(norm), 1, "comprobante.ruc_y_total(+1)"),
-        (has_structure(norm), 1, "comprobante.estructura_items_totales(+1)"),
-        (count.between(3, 28) & series & has_total(norm), 1, "comprobante.ticket_termico(+1)"),
+        (seen.series, 2, "comprobante.serie_valida(+2)"),
+        (seen.ruc & seen.total, 1, "comprobante.ruc_y_total(+1)"),
+        (seen.structure, 1, "comprobante.estructura_items_totales(+1)"),
+        (seen.few_lines & seen.series & seen.total, 1, "comprobante.ticket_termico(+1)"),
     )
 
 
 def page_class(text: Column) -> Column:
     """struct(tipo, pasa, score_sunat, score_comprobante, senales). Blank pages are OTROS, with a sign of their own."""
-    norm = S.normal_key(text)
-    (portal, portal_signs), (voucher, voucher_signs) = portal_score(norm), voucher_score(text, norm)
-    blank = norm == ""
-    kind = S.first_of((blank, "OTROS"), (portal >= 3, "SUNAT_VALIDACION"), ((voucher >= 2) & (portal < 2), "COMPROBANTE"), default="OTROS")
-    return F.struct(
-        kind.alias("tipo"),
-        (kind == "COMPROBANTE").alias("pasa"),
-        F.when(blank, 0).otherwise(portal).alias("score_sunat"),
-        F.when(blank, 0).otherwise(voucher).alias("score_comprobante"),
-        F.when(blank, F.array(F.lit("vacio.sin_texto"))).otherwise(F.concat(portal_signs, voucher_signs)).alias("senales"),
-    )
+
+    def scored(seen: Column) -> Column:
+        (portal, portal_signs), (voucher, voucher_signs) = portal_score(seen), voucher_score(seen)
+        return F.struct(seen.blank.alias("blank"), portal.alias("portal"), voucher.alias("voucher"), F.concat(portal_signs, voucher_signs).alias("signs"))
+
+    def classed(s: Column) -> Column:
+        kind = S.first_of((s.blank, "OTROS"), (s.portal >= 3, "SUNAT_VALIDACION"), ((s.voucher >= 2) & (s.portal < 2), "COMPROBANTE"), default="OTROS")
+        return F.struct(
+            kind.alias("tipo"),
+            (kind == "COMPROBANTE").alias("pasa"),
+            F.when(s.blank, 0).otherwise(s.portal).alias("score_sunat"),
+            F.when(s.blank, 0).otherwise(s.voucher).alias("score_comprobante"),
+            F.when(s.blank, F.array(F.lit("vacio.sin_texto"))).otherwise(s.signs).alias("senales"),
+        )
+
+    return S.let(S.let(page_signs(text), scored), classed)
 
 
 def series_number(text: Column) -> Column:

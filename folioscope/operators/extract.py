@@ -22,9 +22,12 @@ CELL = "struct<campo:string,valor:string,confianza:decimal(4,2),snippet:string>"
 
 def snippet(text: Column, value: Column, around: int = 30) -> Column:
     """The text around the first place of value."""
-    at = F.position(value, text)
-    start = F.greatest(at - around, F.lit(1))
-    return F.when(at > 0, F.substring(text, start, at - start + F.length(value) + around))
+
+    def cut(at: Column) -> Column:
+        start = F.greatest(at - around, F.lit(1))
+        return F.when(at > 0, F.substring(text, start, at - start + F.length(value) + around))
+
+    return S.let(F.position(value, text), cut)
 
 
 def fields(text: Column, kind: Column, payers: tuple[str, ...] = ()) -> Column:
@@ -40,7 +43,11 @@ def fields(text: Column, kind: Column, payers: tuple[str, ...] = ()) -> Column:
 
     def cell(name: str, value: Column, confidence: Column | float, shown: Column | None = None) -> Column:
         conf = confidence if isinstance(confidence, Column) else F.lit(confidence)
-        return F.when(value.isNotNull(), F.struct(F.lit(name).alias("campo"), value.alias("valor"), conf.cast("decimal(4,2)").alias("confianza"), F.coalesce(snippet(text, value) if shown is None else shown, F.lit("")).alias("snippet")))
+
+        def made_of(v: Column) -> Column:
+            return F.when(v.isNotNull(), F.struct(F.lit(name).alias("campo"), v.alias("valor"), conf.cast("decimal(4,2)").alias("confianza"), F.coalesce(snippet(text, v) if shown is None else shown, F.lit("")).alias("snippet")))
+
+        return S.let(value, made_of)
 
     made = [
         cell("ruc_emisor", ruc, P.CONFIDENCE["ruc_emisor"]),
@@ -56,10 +63,13 @@ def fields(text: Column, kind: Column, payers: tuple[str, ...] = ()) -> Column:
 
 def sufficiency(kind: Column, found: Column) -> Column:
     """struct(score, faltantes, decision) of the found field names against those that a type should have."""
-    expected = S.first_of(*[(kind == k, F.array(*map(F.lit, names))) for k, names in P.EXPECTED_FIELDS.items()], default=F.array(F.lit("fecha_emision")))
-    missing = F.array_except(expected, found)
-    score = ((F.size(expected) - F.size(missing)) / F.size(expected)).cast("decimal(6,4)")
-    return F.struct(score.alias("score"), missing.alias("faltantes"), S.first_of((score >= P.ENOUGH, "alta"), (score >= P.HALF_ENOUGH, "media"), default="escalar").alias("decision"))
+    expected = S.let(kind, lambda k: S.first_of(*[(k == name, F.array(*map(F.lit, fields))) for name, fields in P.EXPECTED_FIELDS.items()], default=F.array(F.lit("fecha_emision"))))
+    both = S.let(expected, lambda e: F.struct(F.array_except(e, found).alias("missing"), F.size(e).alias("n")))
+
+    def scored(s: Column) -> Column:
+        return F.struct(((s.n - F.size(s.missing)) / s.n).cast("decimal(6,4)").alias("score"), s.missing.alias("missing"))
+
+    return S.let(S.let(both, scored), lambda s: F.struct(s.score.alias("score"), s.missing.alias("faltantes"), S.first_of((s.score >= P.ENOUGH, "alta"), (s.score >= P.HALF_ENOUGH, "media"), default="escalar").alias("decision")))
 
 
 def header_ruc(text: Column) -> Column:

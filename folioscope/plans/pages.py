@@ -60,16 +60,19 @@ def _(t: Tables):
     return t.pages.select("page", S.normal_key(F.col("texto")).alias("clave"))
 
 
+def _scored(t: Tables, of):
+    score, signs = of(F.col("seen"))
+    return t.pages.select("page", C.page_signs(F.col("texto")).alias("seen")).where("not seen.blank").select("page", score.alias("score"), signs.alias("senales"))
+
+
 @query("CLS-2", f", {SCORED} SELECT page, portal AS score, list_filter(signs, lambda s: starts_with(s, 'sunat')) AS senales FROM classed WHERE n <> ''", "pages")
 def _(t: Tables):
-    score, signs = C.portal_score(S.normal_key(F.col("texto")))
-    return t.pages.where(S.normal_key(F.col("texto")) != "").select("page", score.alias("score"), signs.alias("senales"))
+    return _scored(t, C.portal_score)
 
 
 @query("CLS-3", f", {SCORED} SELECT page, voucher_points AS score, list_filter(signs, lambda s: starts_with(s, 'comprobante')) AS senales FROM classed WHERE n <> ''", "pages")
 def _(t: Tables):
-    score, signs = C.voucher_score(F.col("texto"), S.normal_key(F.col("texto")))
-    return t.pages.where(S.normal_key(F.col("texto")) != "").select("page", score.alias("score"), signs.alias("senales"))
+    return _scored(t, C.voucher_score)
 
 
 @query("CLS-4", f", {SCORED} SELECT page, tipo, tipo = 'COMPROBANTE' AS pasa, portal AS score_sunat, voucher_points AS score_comprobante, signs AS senales FROM classed", "pages")

@@ -87,7 +87,7 @@ def _(t: Tables):
 
 @query("EXT-4")
 def _(t: Tables):
-    points = C.voucher_score(F.col("texto"), S.normal_key(F.col("texto")))[0]
+    points = S.let(C.page_signs(F.col("texto")), lambda seen: C.voucher_score(seen)[0])
     return t.pages.select("page", F.explode(R.minimal_voucher(F.col("texto"), points)).alias("c")).select("page", "c.campo", "c.valor")
 
 

@@ -37,7 +37,8 @@ SQL["vouchers"] = f"""
            CASE WHEN o_orderkey % 19 = 0 THEN NULL WHEN o_orderkey % 6 = 0 THEN CAST(0 AS DECIMAL(18,2)) WHEN o_orderkey % 7 = 0 THEN CAST(round(items * 0.10, 2) AS DECIMAL(18,2))
                 WHEN o_orderkey % 8 = 0 THEN CAST(round(items * 0.18, 2) + 3 AS DECIMAL(18,2)) ELSE CAST(round(items * 0.18, 2) AS DECIMAL(18,2)) END AS igv,
            CASE WHEN o_orderkey % 23 = 0 THEN NULL WHEN o_orderkey % 9 = 0 THEN CAST(round(items * 1.18, 2) + 1 AS DECIMAL(18,2)) ELSE CAST(round(items * 1.18, 2) AS DECIMAL(18,2)) END AS total,
-           CASE WHEN o_orderkey % 10 = 0 THEN CAST(o_orderkey % 4 AS INT) END AS noches, o_orderpriority AS prioridad
+           CASE WHEN o_orderkey % 10 = 0 THEN CAST(o_orderkey % 4 AS INT) END AS noches, o_orderpriority AS prioridad,
+           o_orderkey, o_custkey, o_orderdate
     FROM {{orders}} LEFT JOIN {{sums}} ON voucher = o_orderkey"""
 
 SQL["pages"] = f"""
@@ -52,9 +53,7 @@ SQL["pages"] = f"""
              WHEN 6 THEN concat('CONSULTA RUC', chr(10), 'ESTADO DEL CONTRIBUYENTE: ACTIVO', chr(10), {RUC}, chr(10), 'Fecha consulta: 1')
              WHEN 7 THEN concat('RECIBO POR HONORARIOS', chr(10), 'E001-', concat(o_orderkey), chr(10), 'Ruc: ', {RUC}, chr(10), 'almuerzo menú y vino', chr(10), 'Valor venta ', coalesce(concat(items), ''), chr(10), 'Total: ', coalesce(concat(total), ''))
              ELSE concat('Memorando ', concat(o_orderkey), ' sobre viáticos', chr(10), 'correo: area', concat(o_orderkey % 50), '@example.org', chr(10), 'www.example.org/', concat(o_orderkey)) END AS texto
-    FROM {{vouchers_of_orders}}"""
-SQL["vouchers_of_orders"] = "SELECT o_orderkey, o_custkey, o_orderdate, items, igv, total FROM {orders} JOIN {vouchers} ON o_orderkey = voucher"
-
+    FROM {{vouchers}}"""
 SQL["cells"] = """
     SELECT voucher, sinad, 'ruc_emisor' AS campo, 'ruc' AS tipo_campo, ruc AS valor, CAST((70 + voucher % 31) / 100.0 AS DECIMAL(4,2)) AS confianza, ruc AS snippet, CAST(voucher % 12 AS INT) AS pagina FROM {vouchers}
     UNION ALL SELECT voucher, sinad, 'importe_total', ' Monto ', CAST(total AS VARCHAR(30)), CAST((85 + voucher % 16) / 100.0 AS DECIMAL(4,2)), CASE WHEN voucher % 14 = 0 THEN ' ' ELSE 'IMPORTE TOTAL' END, CAST(1 + voucher % 12 AS INT) FROM {vouchers}
