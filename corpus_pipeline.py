@@ -18,13 +18,15 @@ LEAST_LIKELY = 0.5
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality is predicted to be 1."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score_documents(docs, model, out="__score").where("__score >= 0.5").drop("__score")
+    score = store.unused(docs, "score")
+    return quality.score_documents(docs, model, out=score).where(F.col(score) >= 0.5).drop(score)
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters whose language is clear."""
-    found = langid.identify(docs, langid.fit(docs), lang="__lang", score="__likely")
-    return found.where((F.col("__lang") != langid.UNDETERMINED) & (F.col("__likely") >= LEAST_LIKELY)).drop("__lang", "__likely")
+    lang, score = store.unused(docs, "predicted"), store.unused(docs, "score")
+    found = langid.identify(docs, langid.fit(docs), lang=lang, score=score)
+    return found.where((F.col(lang) != langid.UNDETERMINED) & (F.col(score) >= LEAST_LIKELY)).drop(lang, score)
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages; what a stage wrote goes when the next one has read it."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = store.materialize(stage(spark, docs, sf_dir), store.scratch(spark, f"pipeline-{name}"))
+        path = store.scratch(spark, f"pipeline-{name}")
+        docs = store.materialize(stage(spark, docs, sf_dir), path)
+        if before:
+            store.FileStore(spark, before).delete(before)
+        before = path
     return docs
