@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from .patterns import DEFAULT_THRESHOLD, RUC_PREFIXES, SERIES_FORMATS, ci
 
 MONEY = "decimal(18,2)"
-#: Accents that matter in Spanish; Spark has no general Unicode normalisation.
-ACCENTED, PLAIN = "áéíóúüñàèìòùâêîôûäëïöç", "aeiouunaeiouaeiouaeioc"
 
 
 def flags(*pairs: tuple[Column, str]) -> Column:
@@ -67,9 +65,21 @@ def lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def folded(text: Column) -> Column:
+    """Compatibility composition (NFKC) and full case folding, by the ICU classes that Spark brings; ASCII needs neither."""
+    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), composed, F.lit(True)))
+
+
+def without_marks(text: Column) -> Column:
+    """Without accents and other combining marks."""
+    apart = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), text, F.lit(False))
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.regexp_replace(apart, r"\p{Mn}", ""))
+
+
 def normal_key(text: Column) -> Column:
-    """Lower case, single spaces, no accents."""
-    return F.translate(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " ")), ACCENTED, PLAIN)
+    """Compatible signs as one, case folded, single spaces, no accents."""
+    return let(F.coalesce(text, F.lit("")), lambda t: let(F.trim(F.regexp_replace(folded(t), r"(?U)\s+", " ")), without_marks))
 
 
 def one_line(text: Column) -> Column:

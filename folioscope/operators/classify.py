@@ -144,14 +144,7 @@ def is_candidate(text: Column, least: int = 2) -> Column:
 def expense_kind(text: Column) -> Column:
     """The one category whose words occur; null if none or several do."""
     found = S.flags((S.matches(text, P.P2_FOOD), "ALIMENTACION"), (S.matches(text, P.P2_TRANSPORT), "TRANSPORTE"), (S.matches(text, P.P2_LODGING), "HOSPEDAJE"))
-    return F.when(F.size(found) == 1, F.element_at(found, 1))
-
-
-def middle_lines(text: Column) -> Column:
-    """Lines from a fifth to four fifths of the way."""
-    every = S.lines(text)
-    a, b = F.floor(F.size(every) * 0.2).cast("int"), F.ceil(F.size(every) * 0.8).cast("int")
-    return F.array_join(F.slice(every, a + 1, F.greatest(b - a, F.lit(0))), "\n")
+    return S.let(found, lambda kinds: F.when(F.size(kinds) == 1, F.get(kinds, F.lit(0))))
 
 
 def row_state(ruc: Column, series: Column, amount: Column, date: Column, source: Column) -> Column:

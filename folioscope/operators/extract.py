@@ -1,22 +1,20 @@
 """Extraction of fields from the text of pages and blocks. Columns in, columns out.
 
-Offsets of all matches aren't available to built-in expressions; extractors that
-need them are Arrow functions at the end of this module.
+The block extractor's rules about lines are in `blocks`; extractors that need the
+offsets of all matches, which built-in expressions don't give, are in `hits`.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import scalars as S
+from . import blocks as B
 from . import classify as C
 
+ROW_FIELDS = ("ruc", "serie_numero", "monto_total", "fecha", "tipo", "moneda", "proveedor", "detalle", "montos", "cargos", "forma_pago", "gasto")
 CELL = "struct<campo:string,valor:string,confianza:decimal(4,2),snippet:string>"
 
 
@@ -87,65 +85,39 @@ def normal_number(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"[.,](?=.*[.,])", ""), ",", ".")
 
 
-def amount_by_priority(text: Column) -> Column:
-    """TOTAL A PAGAR, else IMPORTE TOTAL, else the last amount of the first line that says TOTAL."""
-    flat = S.one_line(text)
-    line_total = F.filter(
-        F.split(text, "\n"),
-        lambda x: F.rlike(F.upper(x), F.lit(r"\bTOTAL\b")) & ~F.contains(F.upper(x), F.lit("SUBTOTAL")) & ~F.rlike(F.upper(x), F.lit(r"\bI\.?G\.?V\b")) & F.rlike(x, F.lit(r"\d[.,]\d{2}\b")),
-    )
-    last = F.element_at(F.regexp_extract_all(F.get(line_total, 0), F.lit(P.P2_MONEY), F.lit(1)), -1)
-    return normal_number(F.coalesce(S.extract(flat, P.P2_TO_PAY), S.extract(flat, P.P2_TOTAL), last))
-
-
 def inferred_type(text: Column) -> Column:
     return S.first_of((F.contains(F.upper(text), F.lit("BOLETA")), "BOLETA"), (F.contains(F.upper(text), F.lit("FACTURA")), "FACTURA"))
 
 
 def inferred_currency(text: Column) -> Column:
-    u = F.upper(text)
-    return S.first_of((F.rlike(u, F.lit(r"US\$|\bUSD\b|DOLARES|DÓLARES")), "USD"), (F.rlike(u, F.lit(r"S/|\bPEN\b|SOLES")), "PEN"))
+    """Soles win where both are named."""
+    return S.let(F.upper(text), lambda u: S.first_of((F.rlike(u, F.lit(r"S/|SOLES|PEN")), "PEN"), (F.rlike(u, F.lit(r"USD|DOLAR")), "USD")))
 
 
-def labelled_amount(text: Column, label: str) -> Column:
-    """The last amount of the first line with the label."""
-    line = F.get(F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(P.ci(label))) & F.rlike(x, F.lit(r"\d[.,]\d{2}\b"))), 0)
-    return normal_number(F.element_at(F.regexp_extract_all(line, F.lit(P.P2_MONEY), F.lit(1)), -1))
+def block_row(text: Column, source: Column, date: Column) -> Column:
+    """All that the block extractor takes from a block, with its state and confidence. date: its issue_date."""
 
+    def fields_of(ruc: Column) -> Column:
+        return F.struct(
+            ruc.alias("ruc"),
+            C.series_number(text).alias("serie_numero"),
+            B.amount_by_priority(text).alias("monto_total"),
+            date.alias("fecha"),
+            inferred_type(text).alias("tipo"),
+            inferred_currency(text).alias("moneda"),
+            B.supplier(text, ruc).alias("proveedor"),
+            B.item_block(text).alias("detalle"),
+            B.sale_value_and_tax(text).alias("montos"),
+            B.extra_charges(text).alias("cargos"),
+            B.payment_method(text).alias("forma_pago"),
+            B.expense(text, C.expense_kind).alias("gasto"),
+        )
 
-def item_block(text: Column, longest: int = 45, chars: int = 5000) -> Column:
-    """Lines after the header of the items up to the totals, joined by bars."""
-    every = S.lines(text)
-    first = F.array_position(F.transform(every, lambda x: F.rlike(F.upper(x), F.lit(r"CANT|DESCRIPCI"))), True)
-    rest = F.slice(every, first.cast("int") + 1, longest)
-    stop = F.array_position(F.transform(rest, lambda x: F.rlike(F.upper(x), F.lit(r"OP\.|SUBTOTAL|IGV|TOTAL"))), True)
-    kept = F.when(stop > 0, F.slice(rest, 1, F.greatest(stop.cast("int") - 1, F.lit(0)))).otherwise(rest)
-    return F.when(first > 0, F.substring(F.array_join(kept, " | "), 1, chars))
-
-
-def payment_method(text: Column) -> Column:
-    u = F.upper(text)
-    return S.first_of(*[(F.contains(u, F.lit(w)), w) for w in ("CREDITO", "TARJETA", "TRANSFERENCIA", "DEPOSITO", "YAPE", "EFECTIVO", "CONTADO")])
-
-
-def block_row(text: Column, source: Column) -> Column:
-    """All that the block extractor takes from a block, with its state and confidence."""
-    ruc, series, amount = header_ruc(text), C.series_number(text), amount_by_priority(text)
-    date = F.coalesce(S.extract(text, P.ISSUE_DATE), S.extract(text, r"\b(\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4})\b"))
-    state = C.row_state(ruc, series, amount, date, source)
-    return F.struct(
-        ruc.alias("ruc"),
-        series.alias("serie_numero"),
-        amount.alias("monto_total"),
-        date.alias("fecha"),
-        inferred_type(text).alias("tipo"),
-        inferred_currency(text).alias("moneda"),
-        S.extract(text, P.P2_EMAIL, 0).alias("email"),
-        S.extract(text, P.P2_URL, 0).alias("url"),
-        C.expense_kind(text).alias("tipo_gasto"),
-        state.alias("estado"),
-        C.row_confidence(ruc, series, amount, date, source, state).alias("confianza"),
-    )
+    def judged(r: Column) -> Column:
+        state = C.row_state(r.ruc, r.serie_numero, r.monto_total, r.fecha, source)
+        return S.let(state, lambda e: F.struct(*[r[c].alias(c) for c in ROW_FIELDS], e.alias("estado"), C.row_confidence(r.ruc, r.serie_numero, r.monto_total, r.fecha, source, e).alias("confianza")))
+
+    return S.let(S.let(header_ruc(text), fields_of), judged)
 
 
 def json_of_answer(answer: Column) -> Column:
@@ -162,45 +134,3 @@ def gated_method(direct: Column, ocr_confidence: Column, ocr_words: Column, char
     method = S.first_of(((n_chars >= chars) & (n_words >= words), "direct_text"), ((ocr_confidence >= 0.60) & (ocr_words >= 20), "ocr"), default="manual_review")
     reason = F.concat_ws(" | ", F.when(n_chars < chars, F.concat(F.lit("chars "), n_chars)), F.when(n_words < words, F.concat(F.lit("palabras "), n_words)))
     return F.struct(method.alias("metodo"), reason.alias("razon"))
-
-
-def dates_with_context(table: DataFrame, key: str, text: str) -> DataFrame:
-    """The first date whose surroundings (90 characters before, 50 after) don't speak of a query or a print."""
-    find = re.compile(r"\b(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{2,4})\b")
-    avoid = re.compile(r"consulta|impres", re.I)
-
-    @F.pandas_udf("string")
-    def chosen(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            out = []
-            for t in batch:
-                got = next((m for m in find.finditer(t or "") if not avoid.search(t[max(0, m.start() - 90) : m.end() + 50])), None)
-                out.append(None if got is None else f"{int(got[1]):02d}/{int(got[2]):02d}/{got[3] if len(got[3]) > 2 else '20' + got[3]}")
-            yield pd.Series(out, dtype=object)
-
-    return table.select(key, chosen(text).alias("fecha"))
-
-
-def blocks_of_text(table: DataFrame, key: str, text: str, least: int = 15) -> DataFrame:
-    """Texts cut before each anchor word, or at the first place of each series if that gives more blocks."""
-    anchor = re.compile(r"(?im)^\s*(?:factura|boleta|recibo\s+por\s+honorarios|ticket)\b")
-    series = re.compile(P.P2_SERIES, re.I)
-
-    def cut(t: str, places: list[int]) -> list[str]:
-        edges = sorted({0, *places}) + [len(t)]
-        return [t[a:b].strip() for a, b in zip(edges[:-1], edges[1:], strict=True) if len(t[a:b].strip()) >= least]
-
-    @F.pandas_udf("array<string>")
-    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            out = []
-            for t in batch:
-                t = t or ""
-                seen: dict[str, int] = {}
-                for m in series.finditer(t):
-                    seen.setdefault(m[0].upper(), m.start())
-                a, b = cut(t, [m.start() for m in anchor.finditer(t)]), cut(t, list(seen.values()))
-                out.append(b if len(b) > len(a) else a)
-            yield pd.Series(out, dtype=object)
-
-    return table.select(key, F.posexplode(split(text)).alias("bloque", "texto"))

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import scalars as S
+from ..operators import blocks as B
 from ..operators import classify as C
 from ..operators import extract as X
+from ..operators import hits as H
 from .registry import Tables, query
 
 
@@ -112,12 +114,32 @@ def _(t: Tables):
     return t.pages.where(C.is_candidate(F.col("texto"))).select("page", C.keyword_hits(F.col("texto")).alias("aciertos"))
 
 
-KINDS_SQL = names((m("texto", P.P2_FOOD), "ALIMENTACION"), (m("texto", P.P2_TRANSPORT), "TRANSPORTE"), (m("texto", P.P2_LODGING), "HOSPEDAJE"))
+# The SQL of the block extractor's rules, over a list L of trimmed lines.
+TRIMMED = "list_transform(string_split(coalesce(texto, ''), chr(10)), lambda l: trim(l))"
+AMOUNT = lambda l: f"regexp_extract_all({l}, '{P.P2_LINE_MONEY}', 1)[-1]"
 
 
-@query("CLS-9", f"SELECT page, CASE WHEN len({KINDS_SQL}) = 1 THEN ({KINDS_SQL})[1] END AS tipo_gasto, {m('texto', P.P2_ALCOHOL)} AS alcohol FROM pages", "pages")
+def number(v: str) -> str:
+    """The last . or , is the decimal sign."""
+    digits, decimals = f"regexp_replace({v}, '[.,]', '', 'g')", f"length(regexp_extract({v}, '[.,](\\d+)$', 1))"
+    return f"CASE WHEN regexp_matches({v}, '[.,]') THEN left({digits}, length({digits}) - {decimals}) || '.' || right({digits}, {decimals}) ELSE {v} END"
+
+
+IS_ITEM = r"length(l) >= 3 AND NOT regexp_matches(upper(l), '\\bTOTAL\\b|\\bSUBTOTAL\\b|\\bIGV\\b|\\bI\\.?\\s*G\\.?\\s*V\\.?\\b') AND NOT regexp_matches(l, '^[\\d\\s.,\\-]+$')".replace("\\\\", "\\")
+ITEMS = f"""lined AS (SELECT page, texto, {TRIMMED} AS L FROM pages),
+    headed AS (SELECT *, coalesce(list_position(list_transform(L, lambda l: {m('l', P.ITEM_HEADER)}), true), 0) AS h FROM lined),
+    windowed AS (SELECT *, CASE WHEN h > 0 THEN L[h + 1 : h + 45] ELSE [] END AS w FROM headed),
+    stopped AS (SELECT *, coalesce(nullif(list_position(list_transform(w, lambda l: {m('l', P.ITEM_STOP)}), true), 0), 46) AS s FROM windowed),
+    kept AS (SELECT *, list_filter(w[1 : s - 1], lambda l: l <> '' AND NOT regexp_matches(l, '{P.RULED_LINE}')) AS k FROM stopped),
+    cleaned AS (SELECT *, list_filter(k, lambda l: {IS_ITEM}) AS c FROM kept),
+    itemized AS (SELECT *, CASE WHEN len(k) > 0 THEN array_to_string(CASE WHEN len(c) > 0 THEN c ELSE k END, ' | ') END AS items, len(k) > 0 AND len(c) = 0 AS crudo FROM cleaned)"""
+KINDS_SQL = names(*[(m("blob", p), kind) for p, kind in ((P.P2_FOOD, "ALIMENTACION"), (P.P2_TRANSPORT, "TRANSPORTE"), (P.P2_LODGING, "HOSPEDAJE"))])
+MIDDLE = "CASE WHEN len(L) < 10 THEN texto ELSE array_to_string(L[greatest(CAST(floor(len(L) * 0.2) AS INT), 1) + 1 : least(CAST(floor(len(L) * 0.8) AS INT), len(L))], chr(10)) END"
+
+
+@query("CLS-9", f", {ITEMS} SELECT page, CASE WHEN len({KINDS_SQL}) = 1 THEN ({KINDS_SQL})[1] END AS tipo_gasto, items IS NOT NULL AND {m('coalesce(items, chr(1))', P.P2_ALCOHOL)} AS alcohol FROM (SELECT page, items, coalesce(items, {MIDDLE}) AS blob FROM itemized)", "pages")
 def _(t: Tables):
-    return t.pages.select("page", C.expense_kind(F.col("texto")).alias("tipo_gasto"), S.matches(F.col("texto"), P.P2_ALCOHOL).alias("alcohol"))
+    return t.pages.select("page", B.expense(F.col("texto"), C.expense_kind).alias("g")).select("page", "g.*")
 
 
 SOURCE_SQL = "CASE voucher % 3 WHEN 0 THEN 'pymupdf' WHEN 1 THEN 'ocr' ELSE 'otro' END"
@@ -175,7 +197,7 @@ def _(t: Tables):
 
 @query(
     "CLS-19",
-    "SELECT doc_id, CASE WHEN contains(m, 'json') THEN 'json_corrupto' WHEN contains(m, 'timeout') OR contains(m, 'timed out') THEN 'timeout' WHEN contains(m, 'connection') OR contains(m, 'conexion') OR contains(m, 'urlopen') THEN 'conexion' WHEN contains(m, 'empty') OR contains(m, 'vacía') OR contains(m, 'vacia') THEN 'respuesta_vacia' WHEN contains(m, 'not found') OR contains(m, 'no disponible') THEN 'modelo_no_disponible' ELSE 'error_inesperado' END AS razon FROM (SELECT doc_id, lower(CASE doc_id % 6 WHEN 0 THEN 'JSON corrupto en la respuesta' WHEN 1 THEN 'Request timed out' WHEN 2 THEN 'urlopen error' WHEN 3 THEN 'Respuesta vacía' WHEN 4 THEN 'model not found' ELSE substr(text, 1, 40) END) AS m FROM documents)",
+    "SELECT doc_id, CASE WHEN contains(m, 'json') THEN 'json_corrupto' WHEN contains(m, 'timeout') OR contains(m, 'timed out') THEN 'timeout' WHEN contains(m, 'connection') OR contains(m, 'conexion') OR contains(m, 'urlopen') THEN 'conexion' WHEN contains(m, 'empty') OR contains(m, 'vacía') OR contains(m, 'vacia') THEN 'respuesta_vacia' WHEN contains(m, 'not found') OR contains(m, 'no disponible') THEN 'modelo_no_disponible' ELSE 'error_inesperado' END AS razon FROM (SELECT doc_id, lower(CASE doc_id % 6 WHEN 0 THEN 'JSON corrupto en la respuesta' WHEN 1 THEN 'Request timed out' WHEN 2 THEN 'urlopen error' WHEN 3 THEN 'Respuesta vacía' WHEN 4 THEN 'model not found' ELSE text END) AS m FROM documents)",
 )
 def _(t: Tables):
     k = F.col("doc_id") % 6
@@ -285,7 +307,12 @@ def _(t: Tables):
 
 @query("EXT-5")
 def _(t: Tables):
-    return t.pages.select("page", X.block_row(F.col("texto"), F.lit("pymupdf")).alias("r")).select("page", "r.*")
+    return block_rows(t).select("page", "r.*")
+
+
+def block_rows(t: Tables):
+    dated = t.pages.select("page", "texto", H.issue_date(F.col("texto")).alias("fecha"))
+    return dated.select("page", "texto", X.block_row(F.col("texto"), F.lit("pymupdf"), F.col("fecha")).alias("r"))
 
 
 @query(
@@ -300,39 +327,71 @@ def _(t: Tables):
     return t.pages.select("page", X.header_ruc(F.col("texto")).alias("ruc"))
 
 
-@query("EXT-8")
+FLAT = "regexp_replace(coalesce(texto, ''), '\\s+', ' ', 'g')"
+TOTAL_LINE = f"list_filter(list_transform({TRIMMED}, lambda l: CASE WHEN regexp_matches(upper(l), '\\bTOTAL\\b') AND NOT contains(upper(l), 'SUBTOTAL') AND NOT regexp_matches(upper(l), '^\\s*IGV\\b') THEN {AMOUNT('l')} END), lambda v: v IS NOT NULL)[1]"
+ALONE = x(FLAT, P.P2_TOTAL_ALONE.replace("(?<!SUB)", ""), 2)  # (a sign that is no letter stands before it anyway)
+
+
+@query("EXT-8", f"SELECT page, {number('v')} AS monto FROM (SELECT page, coalesce({x(FLAT, P.P2_TO_PAY)}, {x(FLAT, P.P2_TOTAL)}, {TOTAL_LINE}, {ALONE}) AS v FROM pages)", "pages")
 def _(t: Tables):
-    return t.pages.select("page", X.amount_by_priority(F.col("texto")).alias("monto"))
+    return t.pages.select("page", B.amount_by_priority(F.col("texto")).alias("monto"))
 
 
 @query("EXT-9")
 def _(t: Tables):
-    return X.dates_with_context(t.pages, "page", "texto")
+    return t.pages.select("page", H.issue_date(F.col("texto")).alias("fecha"))
 
 
-@query("EXT-10", "SELECT page, CASE WHEN contains(upper(texto), 'BOLETA') THEN 'BOLETA' WHEN contains(upper(texto), 'FACTURA') THEN 'FACTURA' END AS tipo, CASE WHEN regexp_matches(upper(texto), 'US\\$|\\bUSD\\b|DOLARES|DÓLARES') THEN 'USD' WHEN regexp_matches(upper(texto), 'S/|\\bPEN\\b|SOLES') THEN 'PEN' END AS moneda FROM pages", "pages")
+@query("EXT-10", "SELECT page, CASE WHEN contains(upper(texto), 'BOLETA') THEN 'BOLETA' WHEN contains(upper(texto), 'FACTURA') THEN 'FACTURA' END AS tipo, CASE WHEN regexp_matches(upper(texto), 'S/|SOLES|PEN') THEN 'PEN' WHEN regexp_matches(upper(texto), 'USD|DOLAR') THEN 'USD' END AS moneda FROM pages", "pages")
 def _(t: Tables):
     return t.pages.select("page", X.inferred_type(F.col("texto")).alias("tipo"), X.inferred_currency(F.col("texto")).alias("moneda"))
 
 
-@query("EXT-11", f"SELECT doc_id, {x('text', P.P2_EMAIL, 0)} AS email, {x('text', P.P2_URL, 0)} AS url FROM documents")
+ADDRESS_VALUE = r"\s*:\s*(.+)$"
+NAMED = rf"""length(b) >= 4 AND NOT {m('b', P.STREET)} AND NOT {m('b', P.NUMBERS_APART)} AND NOT contains(left(upper(b), 8), 'RUC') AND upper(trim(b)) NOT IN {P.DOCUMENT_HEADS} AND NOT {m('b', P.P2_SERIES)} AND NOT {m('b', P.P2_SERIES_LOOSE)}
+    AND ((upper(b) = b AND lower(b) <> b) OR (regexp_matches(b, '\pL') AND NOT regexp_matches(b, '(^|\s)\p{{Ll}}')))"""
+
+
+@query(
+    "EXT-11",
+    f"""SELECT page, CASE WHEN {NAMED} THEN b END AS nombre, list_filter(list_transform(L, lambda l: {x('l', P.ADDRESS_LABEL + ADDRESS_VALUE)}), lambda a: a IS NOT NULL)[1] AS direccion,
+        list_filter(list_transform(L, lambda l: CASE WHEN {m('l', P.PHONE_LABEL)} THEN {x('l', P.PHONE, 0)} END), lambda a: a IS NOT NULL)[1] AS telefono, {x('texto', P.P2_URL, 0)} AS web, {x('texto', P.P2_EMAIL, 0)} AS email
+        FROM (SELECT page, texto, L, CASE WHEN i > 1 THEN L[i - 1] END AS b FROM (SELECT page, texto, L, list_position(list_transform(L, lambda l: regexp_matches(l, '{P.P2_RUC}') AND {m('l', r"\bR\.?U\.?C\.?\b")}), true) AS i FROM (SELECT page, texto, {LINES} AS L FROM pages)))""",
+    "pages",
+)
 def _(t: Tables):
-    return t.documents.select("doc_id", S.extract(F.col("text"), P.P2_EMAIL, 0).alias("email"), S.extract(F.col("text"), P.P2_URL, 0).alias("url"))
+    return t.pages.select("page", B.supplier(F.col("texto"), F.lit(None).cast("string")).alias("p")).select("page", "p.*")
 
 
-@query("EXT-14")
+@query("EXT-13", f", {ITEMS} SELECT page, items, crudo FROM itemized", "pages")
 def _(t: Tables):
-    return t.pages.select("page", X.labelled_amount(F.col("texto"), r"VALOR\s+(?:DE\s+)?VENTA|OP\.?\s*GRAV").alias("valor_venta"), X.labelled_amount(F.col("texto"), r"\bI\.?G\.?V\b").alias("igv"))
+    return t.pages.select("page", B.item_block(F.col("texto")).alias("i")).select("page", "i.*")
+
+
+LABELLED = lambda cond: f"list_filter(list_transform(L, lambda l: CASE WHEN {cond} THEN {AMOUNT('l')} END), lambda v: v IS NOT NULL)[1]"
 
 
-@query("EXT-13")
+@query(
+    "EXT-14",
+    f"""SELECT page, {number('v')} AS valor_venta, {number('g')} AS igv FROM (SELECT page, coalesce({LABELLED(m('l', P.SALE_VALUE))}, {x(FLAT, P.SALE_VALUE_FLAT)}) AS v,
+        {LABELLED(m('l', P.TAX_LINE) + " AND NOT contains(upper(l), 'SUBTOTAL')")} AS g FROM (SELECT page, texto, {TRIMMED} AS L FROM pages))""",
+    "pages",
+)
 def _(t: Tables):
-    return t.pages.select("page", X.item_block(F.col("texto")).alias("items"))
+    return t.pages.select("page", B.sale_value_and_tax(F.col("texto")).alias("m")).select("page", "m.*")
+
 
+PAID = "CASE " + " ".join(f"WHEN regexp_matches(b, '\\b{w}\\b') THEN '{w}'" for w in P.PAYMENTS) + " END"
 
-@query("EXT-16", "SELECT page, CASE WHEN contains(u, 'CREDITO') THEN 'CREDITO' WHEN contains(u, 'TARJETA') THEN 'TARJETA' WHEN contains(u, 'TRANSFERENCIA') THEN 'TRANSFERENCIA' WHEN contains(u, 'DEPOSITO') THEN 'DEPOSITO' WHEN contains(u, 'YAPE') THEN 'YAPE' WHEN contains(u, 'EFECTIVO') THEN 'EFECTIVO' WHEN contains(u, 'CONTADO') THEN 'CONTADO' END AS forma_pago FROM (SELECT page, upper(texto) AS u FROM pages)", "pages")
+
+@query(
+    "EXT-16",
+    f"""SELECT page, list_filter(list_transform(list_transform(range(1, len(L) + 1), lambda i: CASE WHEN {m('L[i]', P.PAYMENT_LABEL)} THEN upper(array_to_string(L[i : i + 2], ' ')) END), lambda b: {PAID}), lambda v: v IS NOT NULL)[1] AS forma_pago
+        FROM (SELECT page, {TRIMMED} AS L FROM pages)""",
+    "pages",
+)
 def _(t: Tables):
-    return t.pages.select("page", X.payment_method(F.col("texto")).alias("forma_pago"))
+    return t.pages.select("page", B.payment_method(F.col("texto")).alias("forma_pago"))
 
 
 @query("EXT-18", "SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE props END AS json FROM events")
@@ -343,14 +402,17 @@ def _(t: Tables):
 
 @query("WIN-3")
 def _(t: Tables):
-    return X.blocks_of_text(t.pages, "page", "texto")
+    return H.blocks_of_text(t.pages, "page", "texto")
+
 
+SPOT_PAGES = ", spot AS (SELECT page, texto || CASE WHEN page % 3 = 0 THEN ' Operación sujeta al SPOT, cuenta de detracciones; cuenta de detracciones' WHEN page % 5 = 0 THEN ' depósito de detracción' ELSE '' END AS t FROM pages) "
 
-@query("EXT-20", " UNION ALL ".join(f"SELECT page, {i} AS regla, {x('t', p, 0)} AS indicio FROM spot WHERE {m('t', p)}" for i, p in enumerate(P.SPOT_APPLIES)).join((", spot AS (SELECT page, texto || CASE WHEN page % 3 = 0 THEN ' Operación sujeta al SPOT, cuenta de detracciones' WHEN page % 5 = 0 THEN ' depósito de detracción' ELSE '' END AS t FROM pages) ", "")), "pages")
+
+@query("EXT-20", SPOT_PAGES + "SELECT page, indicio, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT page, unnest(regexp_extract_all(lower(t), '(?i){quoted(p)}')) AS indicio FROM spot" for p in P.SPOT_APPLIES) + ") GROUP BY page, indicio", "pages")
 def _(t: Tables):
-    text = F.concat("texto", F.when(F.col("page") % 3 == 0, " Operación sujeta al SPOT, cuenta de detracciones").when(F.col("page") % 5 == 0, " depósito de detracción").otherwise(""))
-    hits = F.filter(F.array(*[F.when(S.matches(F.col("t"), p), F.struct(F.lit(i).alias("regla"), S.extract(F.col("t"), p, 0).alias("indicio"))) for i, p in enumerate(P.SPOT_APPLIES)]), lambda h: h.isNotNull())
-    return t.pages.select("page", text.alias("t")).select("page", F.explode(hits).alias("h")).select("page", "h.*")
+    text = F.concat("texto", F.when(F.col("page") % 3 == 0, " Operación sujeta al SPOT, cuenta de detracciones; cuenta de detracciones").when(F.col("page") % 5 == 0, " depósito de detracción").otherwise(""))
+    hits = t.pages.select("page", F.explode(H.spot_hits(text)).alias("h")).select("page", "h.*")
+    return hits.where("metodo = 'REGEX'").groupBy("page", "indicio").agg(F.count("*").alias("n"))
 
 
 @query("EXT-23", "SELECT voucher, CASE WHEN total IS NULL THEN 'SIN_MONTO' WHEN total >= 700 THEN 'SOBRE_MINIMO' ELSE 'BAJO_MINIMO' END AS spot FROM vouchers", "vouchers")
@@ -361,12 +423,19 @@ def _(t: Tables):
 REQUIRED_TEXT = "concat(text, CASE doc_id % 5 WHEN 0 THEN ' Debe adjuntar currículum vitae documentado y copia de DNI' WHEN 1 THEN ' deseable: 3 años de experiencia' WHEN 2 THEN ' título profesional, colegiado y habilitado' ELSE '' END)"
 
 
-@query("EXT-24", "WITH r AS (SELECT doc_id, " + REQUIRED_TEXT + " AS t FROM documents) " + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS tipo, NOT regexp_matches(t, '(?i)deseable|preferible|opcional') AS obligatorio FROM r WHERE {' OR '.join(m('t', p) for p in ps)}" for k, ps in P.REQUIREMENTS.items()))
+def _needed(p: str) -> str:
+    return f"regexp_matches(lower(t), '(?i){quoted(p)}')"
+
+
+OPTIONAL_SQL = "NOT regexp_matches(t, '(?is)(" + "|".join(P.OPTIONAL_WORDS) + ").{0,140}$')"  # the requirements stand at the texts' ends
+
+
+@query("EXT-24", "WITH r AS (SELECT doc_id, " + REQUIRED_TEXT + " AS t FROM documents) " + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS tipo, {OPTIONAL_SQL} AS obligatorio FROM r WHERE {' OR '.join(_needed(p) for p in ps)}" for k, ps in P.REQUIREMENTS.items()))
 def _(t: Tables):
     k = F.col("doc_id") % 5
     text = F.concat("text", S.first_of((k == 0, " Debe adjuntar currículum vitae documentado y copia de DNI"), (k == 1, " deseable: 3 años de experiencia"), (k == 2, " título profesional, colegiado y habilitado"), default=""))
-    kinds = S.flags(*[(S.any_of([S.matches(F.col("t"), p) for p in ps]), name) for name, ps in P.REQUIREMENTS.items()])
-    return t.documents.select("doc_id", text.alias("t")).select("doc_id", F.explode(kinds).alias("tipo"), (~S.matches(F.col("t"), "deseable|preferible|opcional")).alias("obligatorio"))
+    found = t.documents.select("doc_id", F.explode(H.requirements(text)).alias("r")).select("doc_id", "r.*")
+    return found.groupBy("doc_id", "tipo").agg(F.bool_and("obligatorio").alias("obligatorio"))
 
 
 # -- scalars ------------------------------------------------------------------

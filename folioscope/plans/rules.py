@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import scalars as S
 from ..operators import classify as C
+from ..operators import blocks as B
 from ..operators import extract as X
+from ..operators import hits as H
 from ..operators import rules as R
 from ..operators import validate as V
 from ..sources import readers
 from ..streaming import watch
 from .cases import FINDINGS
-from .pages import SERIES_LIST, SERIES_SQL, TYPE_SQL, m, names, x
+from .pages import AMOUNT, SERIES_LIST, SERIES_SQL, TRIMMED, TYPE_SQL, block_rows, m, names, x
 from .registry import Tables, query
 
 
@@ -54,13 +56,12 @@ def _(t: Tables):
 
 @query("CLS-15")
 def _(t: Tables):
-    row = X.block_row(F.col("texto"), F.lit("pymupdf"))
-    return t.pages.select("page", R.visibility(F.col("texto"), F.lit("pymupdf"), row).alias("v")).select("page", "v.*")
+    return block_rows(t).select("page", R.visibility(F.col("texto"), F.lit("pymupdf"), F.col("r")).alias("v")).select("page", "v.*")
 
 
 @query("CLS-17")
 def _(t: Tables):
-    return t.pages.select("page", R.tags(F.col("texto"), X.block_row(F.col("texto"), F.lit("pymupdf"))).alias("observaciones"))
+    return block_rows(t).select("page", R.tags(F.col("texto"), F.col("r")).alias("observaciones"))
 
 
 @query("CLS-22", f"SELECT page, {names(*[(' OR '.join(m('texto', p) for p in ps), k) for k, ps in P.DOCUMENT_KINDS.items()])} AS tipos FROM pages", "pages")
@@ -97,10 +98,18 @@ def _(t: Tables):
     return R.customer_section(t.vouchers.select("voucher", text.alias("t")), "voucher", "t")
 
 
-@query("EXT-15")
+FIRST_OF = lambda p: f"list_filter(list_transform(L, lambda l: CASE WHEN {m('l', p)} THEN {AMOUNT('l')} END), lambda v: v IS NOT NULL)[1]"
+OTHER_LINE = " AND ".join(["length(l) >= 4", f"regexp_matches(l, '{P.P2_LINE_MONEY}')", *[f"NOT {m('l', p)}" for p in (P.SALE_VALUE, P.TAX_LINE, P.CONSUMPTION_CHARGE, P.SERVICE_CHARGE, P.BAG_TAX)], "NOT contains(upper(l), 'SUBTOTAL')", "NOT regexp_matches(upper(l), '\\bTOTAL\\b')"])
+
+
+@query(
+    "EXT-15",
+    f"""SELECT page, {FIRST_OF(P.CONSUMPTION_CHARGE)} AS recargo_consumo, {FIRST_OF(P.SERVICE_CHARGE)} AS cargo_servicio, {FIRST_OF(P.BAG_TAX)} AS icbper,
+        nullif(array_to_string(list_filter(L, lambda l: {OTHER_LINE})[1:10], ' | '), '') AS otros_cargos FROM (SELECT page, {TRIMMED} AS L FROM pages)""",
+    "pages",
+)
 def _(t: Tables):
-    other = F.slice(F.filter(S.lines(F.col("texto")), lambda l: F.rlike(l, F.lit(P.P2_MONEY)) & ~F.rlike(F.upper(l), F.lit(r"TOTAL|IGV|VENTA|GRAVADA"))), 1, 10)
-    return t.pages.select("page", X.labelled_amount(F.col("texto"), r"RECARGO(\s+AL)?\s+CONSUMO").alias("recargo"), X.labelled_amount(F.col("texto"), r"\bICBPER\b").alias("icbper"), F.array_join(F.transform(other, lambda l: F.substring(l, 1, 200)), " | ").alias("otros"))
+    return t.pages.select("page", B.extra_charges(F.col("texto")).alias("c")).select("page", "c.*")
 
 
 @query("EXT-19", "SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(CASE event_id % 3 WHEN 0 THEN 0.95 WHEN 1 THEN 0.75 ELSE 0.45 END AS DECIMAL(4,2)) AS confianza FROM events")
@@ -128,7 +137,7 @@ def _(t: Tables):
 def _spot(t: Tables):
     text = F.expr(SPOT_TEXT)
     applies = S.any_of([S.matches(text, p) for p in P.SPOT_APPLIES])
-    account = S.matches(text, r"00[\-\s]?\d{3}[\-\s]?\d{6}[\-\s]?\d{3}")
+    account = S.any_of([S.matches(text, p) for p in P.SPOT_ACCOUNT])
     receipt = S.any_of([S.matches(text, p) for p in P.SPOT_RECEIPT])
     return t.documents.select("doc_id", R.withholding(applies, account, receipt).alias("hallazgos"))
 
@@ -248,8 +257,7 @@ def _(t: Tables):
 
 @query("WIN-4")
 def _(t: Tables):
-    blocks = X.blocks_of_text(t.pages, "page", "texto").withColumnRenamed("texto", "bloque_texto")
-    return t.pages.join(blocks, "page", "left").select("page", F.coalesce("bloque", F.lit(0)).alias("bloque"), F.coalesce("bloque_texto", "texto").alias("texto"))
+    return H.blocks_of_text(t.pages, "page", "texto", whole=True)
 
 
 @query("GOV-2", "SELECT voucher FROM vouchers WHERE NOT (voucher % 3 = 0 AND voucher % 5 <> 0)", "vouchers")
@@ -301,7 +309,7 @@ def _(t: Tables):
     return readers.latest_state(t.vouchers.select("voucher"), events, "voucher", "orden", ["estado"]).select("voucher", "estado")
 
 
-@query("SNK-10", "SELECT doc_id, substr(regexp_replace(substr(text, 1, 300), '[^A-Za-z0-9_\\-.]+', '_', 'g'), 1, 120) AS nombre FROM documents")
+@query("SNK-10", "SELECT doc_id, substr(regexp_replace(text, '[^A-Za-z0-9_\\-.]+', '_', 'g'), 1, 120) AS nombre FROM documents")
 def _(t: Tables):
     return t.documents.select("doc_id", S.slug(F.col("text")).alias("nombre"))
 

@@ -45,8 +45,8 @@ SQL["pages"] = f"""
     SELECT o_orderkey AS page,
            CASE o_orderkey % 9
              WHEN 0 THEN concat('CONSULTA DE COMPROBANTE', chr(10), 'SUNAT', chr(10), 'Resultado de la consulta', chr(10), 'Estado: VALIDO')
-             WHEN 1 THEN concat('FACTURA ELECTRÓNICA', chr(10), {SERIE}, '-', lpad(concat(o_orderkey), 6, '0'), chr(10), 'R.U.C.: ', {RUC}, chr(10), 'FECHA DE EMISION: ', {DAY}, chr(10), 'CANT UNID DESCRIPCION', chr(10), 'OP. GRAVADA S/ ', coalesce(concat(items), ''), chr(10), 'IGV (18%): S/ ', coalesce(concat(igv), ''), chr(10), 'IMPORTE TOTAL: S/ ', coalesce(concat(total), ''))
-             WHEN 2 THEN concat('BOLETA DE VENTA', chr(10), 'Serie: B00', concat(o_orderkey % 7), ' - ', lpad(concat(o_orderkey), 7, '0'), chr(10), 'RUC ', {RUC}, chr(10), 'Fecha: ', {DAY}, chr(10), 'hotel dos noches', chr(10), 'TOTAL A PAGAR S/ ', coalesce(concat(total), ''), chr(10), 'EFECTIVO')
+             WHEN 1 THEN concat('FACTURA ELECTRÓNICA', chr(10), {SERIE}, '-', lpad(concat(o_orderkey), 6, '0'), chr(10), CASE WHEN o_orderkey % 2 = 0 THEN 'COMERCIAL LOS ANDES S.A.C.' ELSE 'Av. Lima 123' END, chr(10), 'R.U.C.: ', {RUC}, chr(10), 'FECHA DE EMISION: ', {DAY}, chr(10), 'CANT UNID DESCRIPCION', chr(10), CASE WHEN o_orderkey % 2 = 0 THEN '2 UND almuerzo ejecutivo 25.00' ELSE concat('1 UND taxi y vino 10.50', chr(10), '-----', chr(10), '2 UND IGV 1.00') END, chr(10), 'OP. GRAVADA S/ ', coalesce(concat(items), ''), chr(10), 'IGV (18%): S/ ', coalesce(concat(igv), ''), chr(10), 'IMPORTE TOTAL: S/ ', coalesce(concat(total), ''), chr(10), 'DIRECCION: Jr. Puno 45', chr(10), 'TEL 987654321', chr(10), 'CONDICION DE PAGO', chr(10), CASE o_orderkey % 4 WHEN 0 THEN 'credito a 30 dias' WHEN 1 THEN 'contado, YAPE' ELSE 'otra' END)
+             WHEN 2 THEN concat('BOLETA DE VENTA', chr(10), 'Serie: B00', concat(o_orderkey % 7), ' - ', lpad(concat(o_orderkey), 7, '0'), chr(10), 'RUC ', {RUC}, chr(10), 'Fecha: ', {DAY}, chr(10), 'hotel dos noches', chr(10), 'RECARGO AL CONSUMO 10% 5.00', chr(10), 'propina 3.00', chr(10), 'ICBPER 0.50', chr(10), 'TOTAL A PAGAR S/ ', coalesce(concat(total), ''), chr(10), CASE WHEN o_orderkey % 2 = 0 THEN 'FORMA DE PAGO: EFECTIVO' ELSE 'EFECTIVO' END)
              WHEN 3 THEN concat('DECLARACION JURADA', chr(10), 'Yo declaro bajo juramento, DJ-', concat(o_orderkey), chr(10), 'movilidad local taxi ', {DAY})
              WHEN 4 THEN concat('  ', chr(10), ' ')
              WHEN 5 THEN concat('ANEXO N 3', chr(10), 'LISTADO', chr(10), 'F001-', lpad(concat(o_orderkey), 6, '0'), chr(10), 'B002-', lpad(concat(o_orderkey + 1), 6, '0'), chr(10), 'TOTAL ', coalesce(concat(total), ''))

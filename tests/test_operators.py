@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import patterns as P
 from folioscope.functions import scalars as S
+from folioscope.operators import blocks, custody, evidence, extract, hits, resolve, rules, segment, validate
 from folioscope.operators import classify as C
-from folioscope.operators import custody, evidence, extract, resolve, rules, segment, validate
 from folioscope.sources import readers
 from folioscope.streaming import watch
 
@@ -54,13 +54,132 @@ def test_fields_leave_out_payers(spark):
 
 
 def test_amount_priority(spark):
-    got = values(spark, extract.amount_by_priority, ["TOTAL 1.00\nTOTAL A PAGAR S/ 2,500.10", "IMPORTE TOTAL: 3.00", "SUBTOTAL 9.00\nTOTAL 5.00 7.00", "IGV 1.00", None])
+    got = values(spark, blocks.amount_by_priority, ["TOTAL 1.00\nTOTAL A PAGAR S/ 2,500.10", "IMPORTE TOTAL: 3.00", "SUBTOTAL 9.00\nTOTAL 5.00 7.00", "IGV 1.00", None])
     assert got == ["2500.10", "3.00", "7.00", None, None]
 
 
 def test_dates_skip_queries(spark):
-    df = spark.createDataFrame([(1, "Fecha consulta 01/01/2024" + " " * 100 + "emitido 2-3-24"), (2, "impresión 5/6/2024"), (3, None)], "id int, t string")
-    assert {r.id: r.fecha for r in extract.dates_with_context(df, "id", "t").collect()} == {1: "02/03/2024", 2: None, 3: None}
+    df = spark.createDataFrame([(1, "Fecha consulta 01/01/2024" + " " * 100 + "emitido 2-3-24"), (2, "impresion 5/6/2024"), (3, None)], "id int, t string")
+    assert {r.id: r.fecha for r in df.select("id", hits.issue_date(df.t).alias("fecha")).collect()} == {1: "02/03/2024", 2: None, 3: None}
+
+
+def test_dates_prefer_the_label(spark):
+    texts = [
+        "Vence 01/01/2024\nFECHA DE EMISION: 5/2/24",
+        "Vence 1.1.2024\nF. EMISIÓN 06-02-2024",
+        "FECHA DE EMISIÓN:" + " " * 170 + "07/02/2024",  # too far from the label: the first date at all
+        "FECHA DE EMISION\nFECHA CONSULTA 01/01/2024" + " " * 95 + "08/02/2024",
+        "consulta del 1/1/2024 y las impresoras 2/1/2024",  # neither phrase is one that rules dates out
+        "Hora de impresión: 3/1/2024",
+    ]
+    assert values(spark, hits.issue_date, texts) == ["05/02/2024", "06/02/2024", "07/02/2024", "08/02/2024", "01/01/2024", None]
+
+
+def test_normal_key_folds_compatible_signs(spark):
+    got = values(spark, S.normal_key, ["ＦＡＣＴＵＲＡ  ﬁnal\n Nº", "Straße ÁÉÍ Ñandú", "e\u0301", "K\u00a0m", None])
+    assert got == ["factura final no", "strasse aei nandu", "e", "k m", ""]
+
+
+def test_payment_needs_its_label(spark):
+    texts = ["FORMA DE PAGO: EFECTIVO", "Condición de pago\n30 dias\ncredito", "CONDICION DE VENTA\n\n\nCONTADO", "venta al CREDITO en efectivo", "forma de pago: yape o tarjeta", "forma de pago: acreditado", "forma de pago\nx\nForma de pago PLIN", None]
+    assert values(spark, blocks.payment_method, texts) == ["EFECTIVO", "CREDITO", None, None, "TARJETA", None, "PLIN", None]
+
+
+def test_item_blocks(spark):
+    texts = [
+        "F001-1\nCANT. DESCRIPCION\n 2 lapices 3.00 \n----\n1 IGV 2.00\n12.00\nSUBTOTAL 1\n9 fuera",
+        "DETALLE\n12.00\n3,00\nSUBTOTAL",
+        "DETALLE\nTOTAL A PAGAR 3.00",
+        "sin cabecera",
+        "ITEMS\n" + "\n".join(f"cosa {k}" for k in range(14)) + "\n\nfuera",
+        "ITEM\na bc\n\nd ef",
+        "Descripción del servicio\nservicio de taxi",
+        None,
+    ]
+    got = values(spark, blocks.item_block, texts)
+    assert [g["items"] for g in got] == ["2 lapices 3.00", "12.00 | 3,00", None, None, " | ".join(f"cosa {k}" for k in range(14)), "a bc | d ef", "servicio de taxi", None]
+    assert [g["crudo"] for g in got] == [False, True, False, False, False, False, False, False]
+    many = values(spark, blocks.item_block, ["ITEM\n" + "\n".join(f"linea {k}" for k in range(60))])[0]["items"]
+    assert many.split(" | ") == [f"linea {k}" for k in range(45)]
+
+
+def test_expense_looks_at_items_first(spark):
+    body = "\n".join(["taxi"] * 2 + ["nada"] * 7 + ["hotel"])
+    texts = ["DETALLE\nalmuerzo y cerveza\nTOTAL A PAGAR 1.00\ntaxi", "almuerzo", "almuerzo y taxi", body, body.replace("nada", "cena"), "vino", None]
+    got = values(spark, lambda x: blocks.expense(x, C.expense_kind), texts)
+    assert [(g["tipo_gasto"], g["alcohol"]) for g in got] == [("ALIMENTACION", True), ("ALIMENTACION", False), (None, False), (None, False), ("ALIMENTACION", False), (None, False), (None, False)]
+
+
+def test_sale_value_and_tax(spark):
+    texts = ["VALOR VENTA S/ 100.00\nIGV 18% 18.00", "OP. GRAVADA\n84.75\nSUBTOTAL IGV 9.00\nI.G.V. 15.25", "Valor de venta: ninguno\nop. gravadas 7.50 8.50", "IGV", None]
+    assert [tuple(r) for r in values(spark, blocks.sale_value_and_tax, texts)] == [("100.00", "18.00"), (None, "15.25"), ("8.50", None), (None, None), (None, None)]
+
+
+def test_extra_charges(spark):
+    text = "RECARGO AL CONSUMO 10% 5.00\nRECARGO CONSUMO 6.00 SERVICIO 7.00\nICBPER 0.50\npropina 2.00\nTOTAL 9.00\nIGV 1.00\nOP. GRAVADA 3.00\n1.0"
+    assert [tuple(r) for r in values(spark, blocks.extra_charges, [text, "", None])] == [("5.00", "7.00", "0.50", "propina 2.00"), (None,) * 4, (None,) * 4]
+    many = values(spark, blocks.extra_charges, ["\n".join(f"extra {k} 1.00" for k in range(12))])[0]["otros_cargos"]
+    assert many == " | ".join(f"extra {k} 1.00" for k in range(10))
+
+
+def test_supplier(spark):
+    texts = [
+        "FACTURA\nCOMERCIAL ANDES S.A.C.\nRUC 20131370998\nDIRECCION FISCAL: Jr. Puno 45\nTEL. 987654321\nVentas@Andes.pe www.andes.pe/x",
+        "Av. Lima 123\nRUC: 20131370998\nRazón Social: Los Pinos Eirl\nDIRECCIÓN\nCalle 1\nCel 12",
+        "BOLETA\nRUC 20131370998\nDENOMINACION COMERCIAL\nTiendas Sur",
+        "nombre en minusculas\nR.U.C. 20131370998",
+        "Hotel Sol\n20131370998\nRUC de otro",
+        None,
+    ]
+    got = values(spark, lambda x: blocks.supplier(x, F.lit(None).cast("string")), texts)
+    assert tuple(got[0]) == ("COMERCIAL ANDES S.A.C.", "Jr. Puno 45", "987654321", "www.andes.pe/x", "Ventas@Andes.pe")
+    assert tuple(got[1])[:3] == ("Los Pinos Eirl", "Calle 1", None) and got[2]["nombre"] == "Tiendas Sur"
+    assert [g["nombre"] for g in got[3:]] == [None, None, None]
+    assert values(spark, lambda x: blocks.supplier(x, F.lit("20131370998")), texts[4:5])[0]["nombre"] == "Hotel Sol"
+
+
+def test_currency_and_type(spark):
+    assert values(spark, extract.inferred_currency, ["US$ 5 y S/ 3", "5 USD", "dolares", "soles", "x", None]) == ["PEN", "USD", "USD", "PEN", None, None]
+
+
+def test_block_rows(spark):
+    text = "FACTURA\nANDES S.A.C.\nRUC 20131370998\nF001 - 000123\nFECHA DE EMISION 1/2/24\nDETALLE\nalmuerzo 118.00\nVALOR VENTA 100.00\nIGV 18.00\nIMPORTE TOTAL S/ 118.00\nFORMA DE PAGO: CONTADO"
+    df = spark.createDataFrame([(1, text), (2, "F001-1234"), (3, None)], "i int, t string").withColumn("d", hits.issue_date(F.col("t")))
+    got = {r.i: r.r for r in df.select("i", extract.block_row(F.col("t"), F.lit("pymupdf"), F.col("d")).alias("r")).collect()}
+    one = got[1]
+    assert (one["ruc"], one["serie_numero"], one["monto_total"], one["fecha"], one["tipo"], one["moneda"], one["forma_pago"]) == ("20131370998", "F001-123", "118.00", "01/02/2024", "FACTURA", "PEN", "CONTADO")
+    assert (one["proveedor"]["nombre"], one["detalle"]["items"], tuple(one["montos"]), one["gasto"]["tipo_gasto"]) == ("ANDES S.A.C.", "almuerzo 118.00 | VALOR VENTA 100.00", ("100.00", "18.00"), "ALIMENTACION")
+    assert (one["estado"], one["confianza"]) == ("COMPLETO", Decimal("1.000")) and got[2]["estado"] == "DESCARTADO" and got[3]["estado"] == "PARCIAL"
+    seen = df.select("i", extract.block_row(F.col("t"), F.lit("pymupdf"), F.col("d")).alias("r"), "t").select("i", rules.visibility(F.col("t"), F.lit("pymupdf"), F.col("r")).alias("v"), rules.tags(F.col("t"), F.col("r")).alias("tags")).collect()
+    assert [r.tags for r in sorted(seen)] == ["", "", ""]
+
+
+def test_blocks_of_text(spark):
+    df = spark.createDataFrame([(1, "FACTURA uno dos tres\nBoleta de venta cuatro"), (2, "F001-12345 y otros\nF002-12345 y mas cosas aqui"), (3, "corto"), (4, None)], "i int, t string")
+    cut = lambda whole: {(r.i, r.bloque): r.texto for r in hits.blocks_of_text(df, "i", "t", whole=whole).collect()}
+    two = {(1, 0): "FACTURA uno dos tres", (1, 1): "Boleta de venta cuatro", (2, 0): "F001-12345 y otros", (2, 1): "F002-12345 y mas cosas aqui"}
+    assert cut(False) == two and cut(True) == two | {(3, 0): "corto", (4, 0): ""}
+
+
+def test_withholding_hits(spark):
+    text = "Sujeto a Detracción. cuenta de detracciones 00-123-456789-012; cuenta de detracciones. Cuenta BN 1"
+    got = values(spark, hits.spot_hits, [text, "nada", None])
+    assert got[1:] == [[], []]
+    assert [(h["indicio"], h["metodo"], str(h["confianza"])) for h in got[0]] == [("sujeto a detracción", "REGEX", "0.95"), ("cuenta de detracciones", "REGEX", "0.95"), ("cuenta de detracciones", "REGEX", "0.95"), ("cuenta bn", "HEURISTICA", "0.85")]
+    assert got[0][0]["snippet"] == text[:69].strip() and got[0][0]["inicio"] == 0
+    find = lambda patterns: (lambda x: S.any_of([S.matches(x, p) for p in patterns]))
+    accounts = ["cuenta de detracciones: 00-123456-789", "cta. BN 00 123456789", "Banco de la Nación 00123456789", "00-123-456789-012", "cuenta 5", "00-12"]
+    assert values(spark, find(P.SPOT_ACCOUNT), accounts) == [True, True, True, True, False, False]
+
+
+def test_requirements(spark):
+    text = "Presentar curriculum vitae. " + "x" * 200 + " De preferencia, experiencia profesional de 3 años; " + "y" * 200 + " bachiller, estudios superiores, constancia de habilitación, curso de actualización, inscripción en el RNP, DNI del consultor"
+    got = values(spark, hits.requirements, [text, "vida", None])
+    assert got[1:] == [[], []]
+    kinds = [(r["tipo"], r["obligatorio"]) for r in got[0]]
+    assert kinds == [("CV", True), ("EXPERIENCIA", False), ("TITULO", True), ("COLEGIATURA", True), ("CAPACITACION", True), ("REGISTRO_RNP", True), ("DOCUMENTO_IDENTIDAD", True)]
+    assert got[0][1]["indicio"] == "experiencia profesional de 3 años" and str(got[0][1]["confianza"]) == "0.75" and len(got[0][1]["contexto"]) <= 233
+    assert sum(len(p) for p in P.REQUIREMENTS.values()) == 28
 
 
 def test_json_of_answer(spark):
