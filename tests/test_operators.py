@@ -179,7 +179,7 @@ def test_requirements(spark):
     kinds = [(r["tipo"], r["obligatorio"]) for r in got[0]]
     assert kinds == [("CV", True), ("EXPERIENCIA", False), ("TITULO", True), ("COLEGIATURA", True), ("CAPACITACION", True), ("REGISTRO_RNP", True), ("DOCUMENTO_IDENTIDAD", True)]
     assert got[0][1]["indicio"] == "experiencia profesional de 3 años" and str(got[0][1]["confianza"]) == "0.75" and len(got[0][1]["contexto"]) <= 233
-    assert sum(len(p) for p in P.REQUIREMENTS.values()) == 28
+    assert sum(len(p) for p in P.REQUIREMENTS.values()) == 27
 
 
 def test_json_of_answer(spark):
