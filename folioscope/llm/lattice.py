@@ -31,6 +31,7 @@ class Vocabulary:
         self.ids = np.array(usable, np.int32)
         self.pieces = [sp.id_to_piece(i) for i in usable]
         self.scores = np.array([sp.get_score(i) for i in usable])
+        self.cost = self.scores.tolist()
         self.unknown = float(self.scores[self.scores > -1e8].min()) - 10.0  # of a character that no piece has alone
         self.longest = max(map(len, self.pieces))
         self.index = {p: k for k, p in enumerate(self.pieces)}

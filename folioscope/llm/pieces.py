@@ -4,7 +4,10 @@ The score of a segmentation is the sum of its pieces' scores; a character that i
 no piece costs `unknown` and is written as its UTF-8 byte pieces, so decoding is
 exact for every text. The forward Viterbi scores of a lattice's nodes are exact
 costs to go for a search from its end, so backward A-star pops segmentations in
-order of their score.
+order of their score, the best one straight along the Viterbi path. A node is
+expanded n times at most: the n best segmentations pass it by n best ways. Of
+equal scores the one nearer to the beginning goes first, so ties, as in a run of
+spaces, cost no more than other words.
 
 No piece goes past the end of a word or holds a line feed, so a text's lattice is
 a chain of its words' lattices. Each distinct word is solved once per worker. A
@@ -12,6 +15,8 @@ text's n-best list differs from its best one in the words whose second-best
 segmentation is least behind, and only those words are searched by A-star; their
 ids in each of the text's n best segmentations take the place of those of the best.
 
+A word over LONG characters is solved by itself in memory in proportion to it.
+
 Defined cases: null counts as the empty text, whose one segmentation is the sign
 for the space that is put before every text; of segmentations that score the same
 any order may come; repeated rows give repeated results; other columns pass
@@ -32,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lattice
-from .store import trim, tune
+from .store import trim, tune, unused
 
 #: A line feed; spaces with the word after them; a word without a space before it.
 WORDS = re.compile(r"\n| +[^ \n]*|[^ \n]+")
@@ -41,6 +46,8 @@ HIDDEN = "\U0010ffff"
 N_BEST = 4
 #: Distinct words remembered by a worker.
 CACHE = 1 << 18
+#: Ids remembered by a worker, and characters of a word that isn't solved together with others.
+CACHE_IDS, LONG = 1 << 23, 1024
 BLOCK_CHARS = 1 << 18
 
 
@@ -50,33 +57,68 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def _shown(word: str) -> str:
+    return word.replace("▁", HIDDEN).replace(" ", "▁")
+
+
+def _into(vocab: lattice.Vocabulary, shown: str, target: int) -> list[tuple[int, int, float]]:
+    """The edges that end at a place: (place they start from, piece, score)."""
+    known, out = vocab.index, []
+    for source in range(max(0, target - vocab.longest), target):
+        piece = known.get(shown[source:target], -1)
+        if piece >= 0:
+            out.append((source, piece, vocab.cost[piece]))
+        elif target - source == 1:
+            out.append((source, -1, vocab.unknown))
+    return out
+
+
+def _forward(vocab: lattice.Vocabulary, shown: str) -> tuple[list[float], list[float], list[tuple[int, int]]]:
+    """Viterbi scores of all places, second-best ones, and the last edge (source, piece) of each best path."""
+    one, two, back = [0.0], [-float("inf")], [(-1, -1)]
+    for target in range(1, len(shown) + 1):
+        best = second = -float("inf")
+        edge = (-1, -1)
+        for source, piece, cost in _into(vocab, shown, target):
+            score = one[source] + cost
+            if score > best:
+                best, second, edge = score, max(best, two[source] + cost), (source, piece)
+            else:
+                second = max(second, score)
+        one.append(best)
+        two.append(second)
+        back.append(edge)
+    return one, two, back
+
+
+def _spelled(vocab: lattice.Vocabulary, word: str, place: int, piece: int) -> list[int]:
+    return [int(vocab.ids[piece])] if piece >= 0 else [int(vocab.byte_ids[b]) for b in word[place].encode("utf-8", "surrogatepass")]
+
+
 def a_star(vocab: lattice.Vocabulary, word: str, n: int) -> list[tuple[float, list[int]]]:
     """The n best segmentations of a word (a leading space is part of it): (score, ids), best first."""
-    shown = word.replace("▁", HIDDEN).replace(" ", "▁")
-    end, known, scores = len(word), vocab.index, vocab.scores
-    into: list[list[tuple[int, int, float]]] = [[] for _ in range(end + 1)]
-    ahead = [0.0] + [-float("inf")] * end  # forward Viterbi: the cost to go of the backward search
-    for target in range(1, end + 1):
-        for source in range(max(0, target - vocab.longest), target):
-            piece = known.get(shown[source:target], -1)
-            if piece >= 0 or target - source == 1:
-                cost = float(scores[piece]) if piece >= 0 else vocab.unknown
-                into[target].append((source, piece, cost))
-                ahead[target] = max(ahead[target], ahead[source] + cost)
-    order = count()
-    heap = [(-ahead[end], next(order), 0.0, end, None)]
+    shown, end = _shown(word), len(word)
+    ahead, _, _ = _forward(vocab, shown)  # the cost to go of the backward search
+    order, popped, edges = count(), [0] * (end + 1), {}
+    heap = [(-ahead[end], end, next(order), 0.0, None)]
     out = []
     while heap and len(out) < n:
-        _, _, done, node, path = heapq.heappop(heap)
+        _, node, _, done, path = heapq.heappop(heap)
         if node == 0:
             ids = []
             while path:
                 source, piece, path = path
-                ids += [int(vocab.ids[piece])] if piece >= 0 else [int(vocab.byte_ids[b]) for b in word[source].encode("utf-8", "surrogatepass")]
+                ids += _spelled(vocab, word, source, piece)
             out.append((done, ids))
             continue
-        for source, piece, cost in into[node]:
-            heapq.heappush(heap, (-(done + cost + ahead[source]), next(order), done + cost, source, (source, piece, path)))
+        if popped[node] == n:
+            continue
+        popped[node] += 1
+        if node not in edges:
+            edges[node] = _into(vocab, shown, node)
+        for source, piece, cost in edges[node]:
+            if popped[source] < n:
+                heapq.heappush(heap, (-(done + cost + ahead[source]), source, next(order), done + cost, (source, piece, path)))
     return out
 
 
@@ -98,7 +140,10 @@ class Encoder:
         self.listed: dict[tuple[str, int], list[tuple[float, np.ndarray]]] = {}
 
     def learn(self, words: list[str]) -> None:
-        v = self.vocab
+        for w in words:
+            if len(w) > LONG:
+                self._learn_long(w)
+        v, words = self.vocab, [w for w in words if len(w) <= LONG]
         e = lattice.edges(v, words)
         score = np.where(e.piece >= 0, v.scores[e.piece], v.unknown)
         one, two, back = lattice.best_two(e, score)
@@ -123,10 +168,21 @@ class Encoder:
         self.size, self.begin = np.concatenate((self.size, np.diff(spent))), np.concatenate((self.begin, spent[:-1] + len(self.flat)))
         self.flat = np.concatenate((self.flat, ids.astype(np.int32)))
 
+    def _learn_long(self, word: str) -> None:
+        one, two, back = _forward(self.vocab, _shown(word))
+        path, at = [], len(word)
+        while at:
+            path.append(back[at])
+            at = back[at][0]
+        ids = np.fromiter(chain.from_iterable(_spelled(self.vocab, word, *edge) for edge in reversed(path)), np.int32)
+        self.slot[word] = len(self.best)
+        self.best, self.gap = np.append(self.best, one[-1]), np.append(self.gap, one[-1] - two[-1])
+        self.size, self.begin, self.flat = np.append(self.size, len(ids)), np.append(self.begin, len(self.flat)), np.concatenate((self.flat, ids))
+
     def slots(self, texts: list[str]) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
         """Words of the texts (a space is put before each), the slots of all, and where each text's begin."""
         split = [WORDS.findall(" " + t) for t in texts]
-        if len(self.slot) > CACHE:
+        if len(self.slot) > CACHE or len(self.flat) > CACHE_IDS:
             self.clear()
         new = {w for words in split for w in words if w not in self.slot}
         if new:
@@ -139,43 +195,82 @@ class Encoder:
         return self.flat[_ranges(self.begin[slots], self.size[slots])]
 
     def ways(self, word: str, n: int) -> list[tuple[float, np.ndarray]]:
-        """How far the word's n best segmentations are behind its best, and their ids."""
+        """How far the word's n best segmentations are behind its best, and their ids, all of which decode to the word."""
         if (word, n) not in self.listed:
             found = a_star(self.vocab, word, n)
-            best = self.ids(np.array([self.slot[word]]))
+            best, raw = self.ids(np.array([self.slot[word]])), word.encode("utf-8", "surrogatepass")
             others = [(max(0.0, found[0][0] - s), np.array(ids, np.int32)) for s, ids in found if ids != best.tolist()]
             self.listed[word, n] = [(0.0, best), *others[: n - 1]]  # of those that score the same, that of best_paths comes first
+            if any(self._bytes(ids) != raw for _, ids in self.listed[word, n]):
+                raise ValueError("a segmentation does not decode to its word")
         return self.listed[word, n]
 
-    def segmentations(self, words: list[str], slots: np.ndarray, n: int) -> list[tuple[float, np.ndarray]]:
-        """The n best segmentations of a text: (score, ids), best first."""
+    def nearest(self, words: list[str], slots: np.ndarray, n: int) -> list[tuple[float, list[tuple[int, np.ndarray]]]]:
+        """How far the n best segmentations of a text are behind its best, and the (place, ids) of the words that differ, in page order."""
         behind = self.gap[slots]
-        near = np.flatnonzero(np.isfinite(behind))
-        if len(near) > n - 1:
-            near = near[np.lexsort((near, behind[near]))[: n - 1]]
-        found: list[tuple[float, dict[int, np.ndarray]]] = [(0.0, {})]  # the words that differ from their best
-        for k in near.tolist():
+        if len(behind) > n - 1:
+            near = np.argpartition(behind, n - 2)[: n - 1] if n > 1 else np.empty(0, np.int64)
+            near = near[np.lexsort((near, behind[near]))]
+        else:
+            near = np.argsort(behind, kind="stable")
+        found: list[tuple[float, list[tuple[int, np.ndarray]]]] = [(0.0, [])]
+        for k in near[np.isfinite(behind[near])].tolist():
             ways = self.ways(words[k], n)
-            found = sorted(((a + b, {**other, k: ids} if x else other) for a, other in found for x, (b, ids) in enumerate(ways)), key=lambda f: f[0])[:n]
-        best, ends = self.ids(slots), np.cumsum(self.size[slots])
-        top = float(self.best[slots].sum())
-        out = []
-        for s, other in found:
-            parts, at = [], 0
-            for k in sorted(other):
-                parts += [best[at : ends[k] - self.size[slots[k]]], other[k]]
-                at = ends[k]
-            out.append((top - s, np.concatenate((*parts, best[at:]))))
-        return out
+            found = sorted(((a + b, [*other, (k, ids)] if x else other) for a, other in found for x, (b, ids) in enumerate(ways)), key=lambda f: f[0])[:n]
+        return [(a, sorted(other, key=lambda o: o[0])) for a, other in found]
+
+    def parts(self, best: np.ndarray, ends: np.ndarray, sizes: np.ndarray, other: list[tuple[int, np.ndarray]]) -> list[np.ndarray]:
+        """The ids of a segmentation, in parts: those of the best one but for the words that differ. ends, sizes: of the words' ids in best."""
+        out, at = [], 0
+        for k, ids in other:
+            out += [best[at : int(ends[k] - sizes[k])], ids]
+            at = int(ends[k])
+        return [*out, best[at:]]
+
+    def segmentations(self, words: list[str], slots: np.ndarray, n: int) -> list[tuple[float, np.ndarray]]:
+        """The n best segmentations of a text: (score, ids), best first."""
+        best, sizes, top = self.ids(slots), self.size[slots], float(self.best[slots].sum())
+        ends = np.cumsum(sizes)
+        return [(top - s, np.concatenate(self.parts(best, ends, sizes, other))) for s, other in self.nearest(words, slots, n)]
 
     def n_best(self, words: list[str], slots: np.ndarray, n: int) -> list[float]:
         """Scores of the n best segmentations of a text."""
-        return [s for s, _ in self.segmentations(words, slots, n)]
+        top = float(self.best[slots].sum())
+        return [top - s for s, _ in self.nearest(words, slots, n)]
+
+    def rows(self, texts: list[str], n: int, with_ids: bool) -> Iterator[tuple]:
+        """For each text n_pieces, ids_crc32, n_best_scores, n_best_pieces, n_best_crc32, round_trip and, if asked for, ids and n_best_ids."""
+        for some in text_blocks(texts):
+            words, flat, at = self.slots(some)
+            sizes, all_ids = self.size[flat], self.ids(flat)
+            ends = np.concatenate(([0], np.cumsum(sizes)))
+            raw, place = self._bytes(all_ids), 0
+            for k, t in enumerate(some):
+                a, b = int(at[k]), int(at[k + 1])
+                best, own_ends, own = all_ids[ends[a] : ends[b]], ends[a + 1 : b + 1] - ends[a], b" " + t.encode("utf-8", "surrogatepass")
+                # The words' other segmentations decode to the words, so a text's decode to it if its best one does.
+                same = raw[place : place + len(own)] == own
+                place += len(own)
+                top, scores, counts, sums, lists = float(self.best[flat[a:b]].sum()), [], [], [], []
+                for behind, other in self.nearest(words[k], flat[a:b], n):
+                    parts, sum_ = self.parts(best, own_ends, sizes[a:b], other), 0
+                    for part in parts:
+                        sum_ = zlib.crc32(part, sum_)
+                    scores.append(top - behind)
+                    counts.append(sum(map(len, parts)))
+                    sums.append(sum_)
+                    if with_ids:
+                        lists.append(np.concatenate(parts))
+                row = (counts[0], sums[0], scores, counts, sums, same)
+                yield (*row, best, lists) if with_ids else row
+
+    def _bytes(self, ids: np.ndarray) -> bytes:
+        v = self.vocab
+        return v.flat[_ranges(v.begin[ids], v.size[ids])].tobytes()
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text's UTF-8, without the space that was put before it."""
-        v = self.vocab
-        return v.flat[_ranges(v.begin[ids], v.size[ids])].tobytes()[1:]
+        return self._bytes(ids)[1:]
 
 
 def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -212,23 +307,15 @@ def encode_documents(documents: DataFrame, model: str | None = None, text: str =
     tune(documents.sparkSession)
     path = model or model_path()
     kind = "n_pieces long, ids_crc32 long, n_best_scores array<double>, n_best_pieces array<long>, n_best_crc32 array<long>, round_trip boolean" + ", ids array<int>, n_best_ids array<array<int>>" * with_ids
+    names = [f.split()[0] for f in kind.split(", ")]
 
     @F.pandas_udf(f"struct<{kind.replace(' ', ':').replace(',:', ',')}>")
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = encoder(path)
         for batch in batches:
-            for texts in text_blocks([t or "" for t in batch.tolist()]):
-                rows = []
-                words, flat, at = own.slots(texts)
-                for k, t in enumerate(texts):
-                    found = own.segmentations(words[k], flat[at[k] : at[k + 1]], n)
-                    scores, ids = [s for s, _ in found], [i for _, i in found]
-                    sizes, sums, raw = [len(i) for i in ids], [zlib.crc32(i.astype("<u4")) for i in ids], t.encode("utf-8", "surrogatepass")
-                    row = (sizes[0], sums[0], scores, sizes, sums, all(own.decode(i) == raw for i in ids))
-                    rows.append((*row, ids[0], ids) if with_ids else row)
-                yield pd.DataFrame(rows, columns=[f.split()[0] for f in kind.split(", ")])
+            yield pd.DataFrame(own.rows([t or "" for t in batch.tolist()], n, with_ids), columns=names)
             trim()
 
-    names = [f.split()[0] for f in kind.split(", ")]
-    out = documents.withColumn("__encoded", encoded(F.col(text)))
-    return out.select(*[c for c in documents.columns if c not in names], *[F.col(f"__encoded.{c}").alias(c) for c in names])
+    name = unused(documents, "encoded")
+    out = documents.withColumn(name, encoded(F.col(text)))
+    return out.select(*[c for c in documents.columns if c not in names], *[F.col(f"{name}.{c}").alias(c) for c in names])
