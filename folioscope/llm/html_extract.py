@@ -1,33 +1,38 @@
 """Main text of web pages by tag-path ratios.
 
-A page is cut into blocks of text, each with its path of tags (and classes) from
-the root. Blocks that HTML itself marks as something else than content (menus,
-forms, asides and the like, by tag, role or a whole class or id) are set apart; a
-part of a class or id only lowers the score. An element with such a class that
-holds an article, or most of the page's text and stands in the article if there is
-one, isn't set apart; where nothing else is left, what was set apart is read. For each path
-the characters, the punctuation and the characters in links of its blocks are
-added up; the mean length and the punctuation density of a path are fused into
-one score, lowered by the share of links; the scores are smoothed over the blocks
-in page order, and a threshold from their spread selects paths. The content is
-the smallest element that holds all selected blocks and the heading over them, or
-the article (else the main element) around it, with all of its blocks that weren't
-set apart: a short heading or paragraph of the article stays, and a long notice
-outside it doesn't. An element that is a part of a text (a paragraph, item, cell,
-quotation or section) stands for what holds it. Where nothing smaller than the
-page's body holds the selected blocks, all of its blocks are the content, except
-those before the first and after the last of these that are nothing but links.
+A page is cut into blocks of text; the path of a block is that of its tags and
+classes from the root. For each path the characters, the punctuation and the
+characters in links of its blocks are added up; the mean length of a block, the
+punctuation density and the share of links are fused into one score of the path.
+Scores are smoothed over the blocks in page order, and a threshold from their
+spread selects the blocks that make up the content.
+
+What the names of elements say is a weight of the score, no verdict: text in an
+article or main element counts more, and less where a class or id has one of
+NOISE_WORDS, unless that element holds most of the page's text. Only elements that
+HTML itself gives another purpose (menus, forms, asides, page headers and footers)
+are left out beforehand, and read after all where nothing else is there.
+
+The content is the smallest element that holds the selected blocks and the heading
+over them; an element that is a part of a text (a paragraph, item, cell, quotation
+or section) stands for what holds it. Short blocks inside it belong to it. Of its
+branches without a selected block those go that are mostly links, those with a
+noise word (but for a strong one between selected blocks) and, where nothing
+smaller than the page's body holds the selection, weak ones before or after it.
+
+Elements are numbered, and know their parent and the number of their path, so time
+and memory grow in proportion to the page, however deeply it is nested.
 
 Defined cases: null and pages without text give the empty string; a page without
 tags is one block; pages that end early, also inside a tag or a comment, are read
-up to there; repeated rows give repeated results; other columns are not looked at.
+up to there; repeated rows give repeated results; other columns pass through unless
+the output has a column of that name.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,19 +41,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import trim, tune
+from .store import trim, tune, unused
 
-#: Deviations that make the threshold.
-DEVIATIONS = 0.5
-#: What is left of the score of a block whose elements have one of APART_WORDS as a part of a class or id.
-DOUBT = 0.25
+#: The threshold lies below the mean by so many deviations, or this share of the mean if that is more.
+DEVIATIONS, SLACK = 0.5, 0.25
+#: Weights: of text in an article or main element; of a noise word that is a whole class or id, or a part of one.
+ARTICLE, WHOLE, PART = 1.5, 0.4, 0.6
 #: Weights of a block and its neighbours in page order.
 KERNEL = np.array([0.06, 0.24, 0.40, 0.24, 0.06])
 
 # Names from the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
-RAW = "script|style|noscript|template|textarea|title|iframe|svg|math|select|object|audio|video|canvas"
+#: Their content is no markup. The first two run to the end of the page where they aren't closed.
+RAW = ("script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes")
 #: Elements that end when one of the named begins, up to the nearest of the last set.
 ENDS = {
     "p": (BLOCK - {"body", "html"}, frozenset(("td", "th", "li", "dd", "div", "article", "section", "blockquote", "body"))),
@@ -60,206 +66,258 @@ ENDS = {
     "tr": (frozenset(("tr", "tbody")), frozenset(("table",))),
     "option": (frozenset(("option", "optgroup")), frozenset(("select",))),
 }
+OPEN_ENDED = frozenset("p dt dd li td th tr tbody".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that hold a whole text; others are parts of one.
 HOLDERS = frozenset("html body main article div center".split())
-APART_TAGS = frozenset("head nav header footer aside form button menu dialog search fieldset label input output datalist".split())
+#: Elements that stand in the flow of a text; other blocks are branches of their own.
+FLOW = HEADINGS | frozenset("p pre blockquote li dt dd td th tr tbody caption figcaption address summary hgroup".split())
+APART_TAGS = frozenset("head nav header footer aside form button menu dialog search fieldset label input output datalist select object audio video canvas svg math noscript template script style textarea title iframe xmp noembed noframes".split())
 APART_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-APART_WORDS = frozenset(
+NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted banner cookie cookies consent gdpr notice notices notification alert popup modal overlay"
     " nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager sidebar sidenav aside footer header masthead topbar toolbar comment comments reply replies respond discussion disqus"
     " share sharing social related recommended newsletter subscribe subscription signup login search widget skip copyright disclaimer".split()
 )
-SIGNS = re.compile(rf"<!--.*?(?:--!?>|\Z)|<(?P<raw>{RAW})\b[^>]*?(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))|<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
-ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+SIGNS = re.compile(r"<!--.*?(?:--!?>|\Z)|<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+ENDINGS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in RAW}
+ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role|style|hidden|aria-hidden)(?![^\s=/>])\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、]")
 WORD = re.compile(r"[a-z]+")
 
 
 @dataclass
 class Block:
-    path: tuple[str, ...]
-    chain: tuple[int, ...]
-    apart: bool
-    hidden: bool = False
-    worded: bool = False  # set apart by a word of a class or id
-    doubtful: bool = False  # a word is a part of a class or id
-    parts: list[tuple[str, bool, tuple[int, ...]]] = field(default_factory=list)  # text, linked, marked elements that hold it
-    linked: int = 0
+    """A run of text inside one block element."""
+
+    element: int
+    path: int
+    parts: list[tuple[str, int]] = field(default_factory=list)  # text and the innermost element that holds it
     text: str = ""
+    linked: int = 0
+    weight: float = 1.0
+    noisy: bool = False
 
 
-@dataclass
-class Mark:
-    """An element with one of APART_WORDS in its class or id: as a whole one, or as a part."""
+class Page:
+    """The elements of a page, numbered from the root (0) in page order, and its blocks of text."""
 
-    whole: bool
-    inside: frozenset[str]
-    kept: bool = False  # what holds an article, or most of the page's text, isn't set apart
-    size: int = 0
+    def __init__(self, page: str):
+        self.parent, self.tag, self.path = [-1], [""], [0]
+        self.apart, self.hidden, self.link, self.article = [False], [False], [False], [False]
+        self.noise: dict[int, float] = {}
+        self.paths: dict[tuple[int, str], int] = {}
+        self.blocks: list[Block] = []
+        self.stack = [0]  # numbers of open elements
+        self.outer = [0]  # for each of them the place in the stack of the nearest block element, itself included
+        self.places: dict[str, list[int]] = {}  # of each open tag, its places in the stack
+        self.current: Block | None = None
+        self._parse(page)
+        self._weigh()
 
+    # -- parsing ----------------------------------------------------------
 
-def _apart(tag: str, rest: str) -> tuple[bool, bool, bool | None, str]:
-    """(set apart, hidden, marked by a word (True: whole, False: a part), what the path shows of the element)."""
-    apart, hidden, mark, shown = tag in APART_TAGS, False, None, tag
-    if rest:
-        for name, value in ATTRIBUTE.findall(rest):
+    def _open(self, tag: str, rest: str) -> None:
+        above = self.stack[-1]
+        apart, hidden, noise, shown = tag in APART_TAGS, False, None, tag
+        if tag == "header" and self.article[above]:
+            apart = False
+        for name, value in ATTRIBUTE.findall(rest) if rest else ():
             name, value = name.lower(), value.strip("\"'").lower()
             if name in ("class", "id"):
                 if name == "class":
                     shown += "." + ".".join(value.split())
-                if tag not in ("html", "body", "article", "main"):
-                    for word in value.split():
-                        if not APART_WORDS.isdisjoint(WORD.findall(word)):
-                            mark = bool(mark) or word in APART_WORDS
+                for word in value.split() if tag not in ("html", "body", "article", "main") else ():
+                    if not NOISE_WORDS.isdisjoint(WORD.findall(word)):
+                        noise = WHOLE if word in NOISE_WORDS else noise or PART
             elif name == "role":
                 apart |= value in APART_ROLES
-            elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-                hidden = True
-    return apart or hidden, hidden, mark, shown
-
-
-def blocks_of(page: str) -> list[Block]:
-    """The page's blocks of text, in order."""
-    out: list[Block] = []
-    stack: list[tuple[str, str, int, bool, bool]] = []  # tag, shown, number of the element, set apart, hidden
-    marks: dict[int, Mark] = {}
-    held: dict[str, int] = defaultdict(int)  # characters in articles, in main and in all
-    current: Block | None = None
-    seen = at = 0
-
-    def flush() -> None:
-        nonlocal current
-        if current is not None:
-            out.append(current)
-            current = None
-
-    def add(text: str) -> None:
-        nonlocal current
+            else:
+                hidden |= name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value) is not None)
+        number = len(self.tag)
+        if noise is not None:
+            self.noise[number] = noise
+        self.parent.append(above)
+        self.tag.append(tag)
+        self.path.append(self.paths.setdefault((self.path[above], shown), len(self.paths) + 1) if tag in BLOCK else self.path[above])
+        self.apart.append(self.apart[above] or apart or hidden)
+        self.hidden.append(self.hidden[above] or hidden)
+        self.link.append(self.link[above] or tag == "a")
+        self.article.append(self.article[above] or tag in ("article", "main"))
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.outer.append(len(self.stack) if tag in BLOCK else self.outer[-1])
+        self.stack.append(number)
+
+    def _cut(self, place: int) -> None:
+        """Close the elements from a place of the stack on."""
+        for number in self.stack[place:]:
+            self.places[self.tag[number]].pop()
+        del self.stack[place:], self.outer[place:]
+
+    def _close(self, tag: str) -> None:
+        if tag in BLOCK:
+            self._flush()
+        if self.places.get(tag):
+            place = self.places[tag][-1]
+            if tag in BLOCK or self.outer[-1] < place:  # an inline element's end tag doesn't end blocks inside it
+                self._cut(place)
+
+    def _make_way(self, tag: str) -> None:
+        """A block element that begins ends some that are open."""
+        place = self.outer[-1]
+        while place > 0:
+            own = self.tag[self.stack[place]]
+            ends = ENDS.get(own)
+            if ends and tag in ends[0]:
+                self._cut(place)
+                return
+            if own not in OPEN_ENDED:
+                return
+            place = self.outer[place - 1]
+
+    def _flush(self) -> None:
+        if self.current is not None:
+            self.blocks.append(self.current)
+            self.current = None
+
+    def _add(self, text: str) -> None:
         if not text:
             return
-        inner = [s for s in stack if s[0] in BLOCK] if current is None else None
-        if current is None:
+        number = self.stack[-1]
+        if self.current is None:
             if text.isspace():
                 return
-            current = Block(tuple(s[1] for s in stack), tuple(s[2] for s in inner), any(s[3] for s in stack), any(s[4] for s in stack))
-        elif not current.apart and any(s[3] for s in stack):
-            return  # a hidden inline element, or a button and the like, inside a block of content
-        inside = tuple(s[2] for s in stack if s[2] in marks) if marks else ()
-        current.parts.append((text, any(s[0] == "a" for s in stack), inside))
-        if not current.apart:
-            n = len(text.strip())
-            for e in inside:
-                marks[e].size += n
-            held[""] += n
-            for name in {s[0] for s in stack if s[0] in ("article", "main")}:
-                held[name] += n
-
-    for m in SIGNS.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if m["close"]:
+            self.current = Block(self.stack[self.outer[-1]], self.path[number])
+            self.current.parts.append((text, number))
+        elif self.apart[self.current.parts[0][1]] or not self.apart[number]:  # or a hidden inline element, a button and the like inside a block of content
+            self.current.parts.append((text, number))
+
+    def _parse(self, page: str) -> None:
+        at, unclosed = 0, set()
+        while m := SIGNS.search(page, at):
+            self._add(page[at : m.start()])
+            at = m.end()
+            if m["tag"] is None:
+                continue
+            tag, rest = m["tag"].lower(), m["rest"]
+            if m["close"]:
+                self._close(tag)
+                continue
+            if tag in ENDINGS:
+                end = None if tag in unclosed else ENDINGS[tag].search(page, at)
+                if end:
+                    at = end.end()
+                elif tag in RAW[:2]:
+                    at = len(page)
+                else:
+                    unclosed.add(tag)
+                continue
+            if tag == "br":
+                self._add(" ")
+                continue
             if tag in BLOCK:
-                flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if tag not in BLOCK and any(s[0] in BLOCK for s in stack[k + 1 :]):
-                        break  # an inline element's end tag doesn't end blocks inside it
-                    del stack[k:]
-                    break
-            continue
-        if tag == "br":
-            add(" ")
-            continue
-        if tag in BLOCK:
-            flush()
-            for k in range(len(stack) - 1, -1, -1):
-                ends = ENDS.get(stack[k][0])
-                if ends and tag in ends[0]:
-                    del stack[k:]
-                    break
-                if stack[k][0] in BLOCK and not (ends and tag not in ends[1] and stack[k][0] not in ends[1]) and stack[k][0] not in ("p", "dt", "dd", "li", "td", "th", "tr", "tbody"):
-                    break
-        if tag in VOID:
-            continue
-        seen += 1
-        apart, hidden, mark, shown = _apart(tag, m["rest"] or "")
-        if tag in ("article", "main"):
-            for s in stack:
-                if s[2] in marks:
-                    marks[s[2]].kept = True
-        if not (m["rest"] or "").endswith("/"):
-            if mark is not None:
-                marks[seen] = Mark(mark, frozenset(s[0] for s in stack if s[0] in ("article", "main")))
-            stack.append((tag, shown, seen, apart, hidden))
-    add(page[at:])
-    flush()
-    around = next((t for t in ("article", "main") if held[t]), None)  # long comments beside an article aren't the content
-    for mark in marks.values():
-        mark.kept |= 2 * mark.size > held[""] and (around is None or around in mark.inside)
-    for b in out:
-        own = b.parts[0][2]
-        b.worded = any(marks[e].whole and not marks[e].kept for e in own)
-        b.doubtful = any(not marks[e].kept for e in own)
-        if not b.worded:  # marked inline elements inside a block of content
-            b.parts = [p for p in b.parts if not any(marks[e].whole and not marks[e].kept for e in p[2])]
-        b.linked = sum(len(text) for text, linked, _ in b.parts if linked)
-        b.text = " ".join(html.unescape("".join(p[0] for p in b.parts)).split())
-    return [b for b in out if b.text]
+                self._flush()
+                self._make_way(tag)
+            if tag not in VOID and not rest.endswith("/"):
+                self._open(tag, rest)
+        self._add(page[at:])
+        self._flush()
+
+    # -- texts and weights --------------------------------------------------
+
+    def _weigh(self) -> None:
+        """Texts of the blocks, and the weights that names give them."""
+        size, articles = [0] * len(self.tag), [0] * len(self.tag)
+        for b in self.blocks:
+            for text, number in b.parts:
+                if not self.apart[number]:
+                    size[number] += len(text.strip())
+                    articles[number] += len(text.strip()) * self.article[number]
+        for k in range(len(self.tag) - 1, 0, -1):
+            size[self.parent[k]] += size[k]
+            articles[self.parent[k]] += articles[k]
+        # An element that holds most of the page's text, or of its articles, isn't noise.
+        mostly = [2 * n > size[0] and (not articles[0] or 2 * n > articles[0] > 0 and articles[k] > 0) for k, n in enumerate(size)]
+        weight = [1.0] * len(self.tag)
+        for k in range(1, len(self.tag)):
+            weight[k] = min(weight[self.parent[k]], 1.0 if mostly[k] or 2 * articles[k] > articles[0] > 0 else self.noise.get(k, 1.0))
+        for b in self.blocks:
+            if len(b.parts) > 1:  # marked inline elements without punctuation: buttons and labels inside a block
+                b.parts = [(t, k) for t, k in b.parts if weight[k] >= weight[b.element] or PUNCTUATION.search(t)] or b.parts
+            b.weight = weight[b.element] * (ARTICLE if self.article[b.element] else 1.0)
+            b.linked = sum(len(t) for t, k in b.parts if self.link[k])
+            b.text = " ".join(html.unescape("".join(t for t, _ in b.parts)).split())
+            b.noisy = weight[b.element] < (PART if self.tag[b.element] in FLOW and weight[self.parent[b.element]] == 1.0 else 1.0)
+        self.blocks = [b for b in self.blocks if b.text]
 
 
 def path_scores(blocks: list[Block]) -> np.ndarray:
-    """For each block the fused ratio of its path, smoothed in page order."""
-    sums: dict[tuple[str, ...], np.ndarray] = defaultdict(lambda: np.zeros(4))
-    for b in blocks:
-        sums[b.path] += (1, len(b.text), len(PUNCTUATION.findall(b.text)), min(b.linked, len(b.text)))
-    fused = {}
-    for path, (number, chars, signs, linked) in sums.items():
-        fused[path] = np.log1p(chars / number) * (1 + min(2.0, 20 * signs / chars)) * (1 - linked / chars)
-    raw = np.array([fused[b.path] for b in blocks])
-    weight = np.convolve(np.ones(len(raw)), KERNEL, mode="full")[2 : 2 + len(raw)]
-    return np.convolve(raw, KERNEL, mode="full")[2 : 2 + len(raw)] / weight
-
-
-def main_text(page: str | None) -> str:
-    found = blocks_of(page or "")
-    blocks = next(filter(None, ([b for b in found if not (b.apart or b.worded)], [b for b in found if not b.apart], [b for b in found if not b.hidden], found)), [])
+    """For each block the fused ratio of its path, smoothed in page order, times the weight of its names."""
+    paths, of = np.unique([b.path for b in blocks], return_inverse=True)
+    chars = np.array([len(b.text) for b in blocks], float)
+    signs = np.array([len(PUNCTUATION.findall(b.text)) for b in blocks], float)
+    linked = np.minimum([b.linked for b in blocks], chars)
+    number, chars, signs, linked = (np.bincount(of, x, len(paths)) for x in (np.ones(len(blocks)), chars, signs, linked))
+    fused = np.log1p(chars / number) * (1 + np.minimum(2.0, 20 * signs / chars)) * (1 - linked / chars)
+    weight = np.convolve(np.ones(len(blocks)), KERNEL)[2 : 2 + len(blocks)]
+    return np.convolve(fused[of], KERNEL)[2 : 2 + len(blocks)] / weight * [b.weight for b in blocks]
+
+
+def main_text(text: str | None) -> str:
+    page = Page(text or "")
+    found = page.blocks
+    blocks = next(filter(None, ([b for b in found if not page.apart[b.element]], [b for b in found if not page.hidden[b.element]], found)), [])
     if not blocks:
         return ""
-    scores = path_scores(blocks) * np.array([DOUBT if b.doubtful else 1.0 for b in blocks])
     size = np.array([len(b.text) for b in blocks])
-    mean = np.average(scores, weights=size)
-    chosen = scores >= mean - max(DEVIATIONS * scores.std(), 0.25 * mean)
-    picked = np.flatnonzero(chosen)
-    first, last = int(picked[0]), int(picked[-1])
+    scores = path_scores(blocks)
+    mean = np.average(scores, weights=size * [b.weight for b in blocks])
+    least = mean - max(DEVIATIONS * scores.std(), SLACK * mean)
+    chosen = scores >= least
+    if not chosen.any():
+        chosen[:] = True
+    first, last = int(chosen.argmax()), len(blocks) - 1 - int(chosen[::-1].argmax())
     for k in range(first - 1, -1, -1):  # the heading over the first selected block is of the content
-        if blocks[k].linked >= size[k]:
+        if blocks[k].linked >= size[k] or blocks[k].noisy > blocks[first].noisy:
             break
-        if not HEADINGS.isdisjoint(_tags(blocks[k])):
+        if page.tag[blocks[k].element] in HEADINGS:
             first = k
             break
-    # The elements that hold all of these blocks are the common beginning of their chains.
-    chain = list(blocks[first].chain)
-    for k in picked:
-        while chain and tuple(chain) != blocks[k].chain[: len(chain)]:
-            chain.pop()
-    tags = [t for t in _tags(blocks[first]) if t in BLOCK][: len(chain)]
-    marked = next((tags.index(t) for t in ("article", "main") if t in tags), None)
-    if marked is not None:
-        return "\n".join(b.text for b in blocks if chain[marked] in b.chain)
-    while tags and tags[-1] not in HOLDERS:
-        tags.pop()
-    if tags and tags[-1] not in ("html", "body"):
-        return "\n".join(b.text for b in blocks if chain[len(tags) - 1] in b.chain)
-    return "\n".join(b.text for k, b in enumerate(blocks) if first <= k <= last or b.linked < size[k])
-
-
-def _tags(block: Block) -> list[str]:
-    return [shown.split(".")[0] for shown in block.path]
+
+    # Selected blocks in each element; the last element that holds all of them is the smallest.
+    inside = [0] * len(page.tag)
+    for k in {first, *np.flatnonzero(chosen).tolist()}:
+        inside[blocks[k].element] += 1
+    for k in range(len(inside) - 1, 0, -1):
+        inside[page.parent[k]] += inside[k]
+    top = max(k for k, n in enumerate(inside) if n == inside[0])
+    while top > 0 and page.tag[top] not in HOLDERS:
+        top = page.parent[top]
+    whole = page.tag[top] in ("", "html", "body")
+    held, branch = [top == 0] * len(inside), [0] * len(inside)  # branch: the highest element around without a selected block
+    for k in range(1, len(inside)):
+        held[k] = k == top or held[page.parent[k]]
+        branch[k] = branch[page.parent[k]] or (k if not inside[k] else 0)
+
+    out = []
+    for k, b in enumerate(blocks):
+        if not held[b.element]:
+            continue
+        around = branch[b.element]
+        between = first <= k <= last
+        if k != first and not chosen[k] and around:
+            if page.tag[around] in FLOW and not b.noisy:
+                keep = between or b.linked < size[k]
+            elif 2 * b.linked >= size[k]:
+                keep = False
+            elif b.noisy:
+                keep = between and scores[k] >= least * WHOLE
+            else:
+                keep = between or not whole
+            if not keep:
+                continue
+        out.append(b.text)
+    return "\n".join(out)
 
 
 def extract_pages(pages: DataFrame, page: str = "html", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
@@ -273,5 +331,6 @@ def extract_pages(pages: DataFrame, page: str = "html", text: str = "text", n_ch
             yield pd.DataFrame({"text": pd.Series(found, dtype=object), "n": pd.Series([len(t) for t in found], dtype="int64")})
             trim()
 
-    out = pages.withColumn("__main", extracted(F.col(page)))
-    return out.select(*[c for c in pages.columns if c not in (page, text, n_chars)], F.col("__main.text").alias(text), F.col("__main.n").alias(n_chars))
+    name = unused(pages, "main")
+    out = pages.withColumn(name, extracted(F.col(page)))
+    return out.select(*[c for c in pages.columns if c not in (page, text, n_chars)], F.col(f"{name}.text").alias(text), F.col(f"{name}.n").alias(n_chars))
