@@ -5,27 +5,37 @@ shards of similar size (the same tier: powers of ``fan_in`` above ``base_bytes``
 into files of about ``target_bytes``; a shard of half the target or more is full
 and never rewritten, so a row is rewritten at most once per tier. A version of
 the table is a manifest file that lists its shards; it appears by one rename
-that fails if another writer took the number first.
+that fails if another writer took the number first. HDFS, local file systems and
+stores with a hierarchical namespace rename in one step; plain object stores do
+not, and need a commit service in place of `FileStore.publish`.
 
 No step shuffles: an append writes the partitions it is given, and a merge reads
 small shards and coalesces them. Only file names and sizes reach the driver.
+`vacuum` removes what no kept version lists, also what appends, merges and drafts
+left behind that died before their commit, once it is older than any that runs.
 
-Defined cases: nulls, repeated rows, ties and any column names are stored as
-they are (the store adds no column); an empty arrival commits nothing; an empty
-store reads as an empty table of the first schema that was appended or given.
+Defined cases: nulls, repeated rows, ties, very long texts and any column names
+are stored as they are (the store adds no column); an empty arrival commits
+nothing; an empty store reads as an empty table of the first schema that was
+appended or given, and without one as a table without columns.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .store import FileStore
+from .store import FileStore, unused
+
+#: Versions that stay readable, and hours after which an uncommitted file is left over.
+KEEP, LEFT_OVER_HOURS = 2, 24.0
 
 
 class CommitConflict(RuntimeError):
@@ -114,12 +124,18 @@ class ShardStore:
             merges += 1
         return merges
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Delete shards that none of the newest ``keep`` versions lists, and older manifests."""
+    def vacuum(self, keep: int = KEEP, left_over_hours: float = LEFT_OVER_HOURS) -> int:
+        """Delete the files that none of the newest ``keep`` versions lists, and older manifests. The number of shards deleted.
+
+        Files that no version lists may belong to a write that runs, so they go only when they are old.
+        """
         found = self.versions()
         live = {s["path"] for v in found[-keep:] for s in self.manifest(v)["shards"]}
         known = {s["path"] for v in found for s in self.manifest(v)["shards"]}
-        for path in sorted(known - live):
+        before = (time.time() - 3600 * left_over_hours) * 1000
+        lost = [path for path, changed in self.files.below("data") if path not in known and changed < before]
+        lost += [path for path, changed in self.files.below("manifests") if "/.draft-" in path and changed < before]
+        for path in sorted(known - live) + lost:
             self.files.delete(path)
         for version in found[:-keep]:
             self.files.delete(f"manifests/{version:012d}.json")
@@ -128,7 +144,8 @@ class ShardStore:
     # -- reading ----------------------------------------------------------
 
     def _read(self, shards: list[dict]) -> DataFrame:
-        schema = self.schema or StructType.fromJson(self.manifest()["schema"])
+        known = self.schema or self.manifest()["schema"] or StructType()
+        schema = known if isinstance(known, StructType) else StructType.fromJson(known)
         if not shards:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[s["path"] for s in shards])
@@ -138,17 +155,33 @@ class ShardStore:
 
 
 def ingest(table: DataFrame, root: str, arrivals: int = 8, **options) -> ShardStore:
-    """Replay a table's files as arrivals, in name order, compacting after each.
+    """Store a table as ``arrivals`` successive arrivals, compacting after each.
 
-    A table of one file is one arrival. Old shards go as soon as a merge is
-    committed, so the store never holds more than the table and one merge.
+    One pass lays the table out by arrival; then each is appended as it would come.
+    Old shards go as soon as a merge is committed, but for those of the version before.
     """
-    spark = table.sparkSession
-    store = ShardStore(spark, root, schema=table.schema, **options)
-    files = sorted(table.inputFiles())
+    store = ShardStore(table.sparkSession, root, schema=table.schema, **options)
+    name = unused(table, "arrival")
+    table.withColumn(name, F.monotonically_increasing_id() % arrivals).write.partitionBy(name).parquet(f"{store.root}/landing")
+    for k in range(arrivals):
+        path = f"landing/{name}={k}"
+        if store.files.below(path):
+            _arrive(store, table.sparkSession.read.schema(table.schema).parquet(f"{store.root}/{path}"))
+            store.files.delete(path)
+    store.files.delete("landing")
+    return store
+
+
+def ingest_files(spark: SparkSession, files: list[str], schema: StructType, root: str, arrivals: int = 8, **options) -> ShardStore:
+    """The same for parquet files that are there already: they arrive in name order."""
+    store = ShardStore(spark, root, schema=schema, **options)
     size = max(1, math.ceil(len(files) / arrivals))
     for k in range(0, len(files), size):
-        store.append(spark.read.schema(table.schema).parquet(*files[k : k + size]))
-        if store.compact():
-            store.vacuum()
+        _arrive(store, spark.read.schema(schema).parquet(*sorted(files)[k : k + size]))
     return store
+
+
+def _arrive(store: ShardStore, rows: DataFrame) -> None:
+    store.append(rows)
+    if store.compact():
+        store.vacuum()
