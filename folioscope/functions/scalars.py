@@ -131,6 +131,11 @@ def equivalent(a: Column, b: Column) -> Column:
     return clean(a).eqNullSafe(clean(b))
 
 
+def text_hash(text: Column) -> Column:
+    """The same for a text with either kind of line ends."""
+    return F.sha2(F.replace(text, F.lit("\r\n"), F.lit("\n")), 256)
+
+
 def slug(text: Column, longest: int = 120) -> Column:
     return F.substring(F.regexp_replace(text, r"[^A-Za-z0-9_\-.]+", "_"), 1, longest)
 

@@ -212,6 +212,11 @@ def confidence_colour(confidence: Column) -> Column:
     return S.first_of((confidence >= 0.70, "verde"), (confidence >= 0.40, "amarillo"), default="rojo")
 
 
+def preprocessor_outcome(code: Column) -> Column:
+    """What the exit code of the scan preprocessor means; none means that it didn't run."""
+    return S.first_of((code == 0, "ESCANEADO_PROCESADO"), (code == 6, "NATIVO_DIGITAL"), default="FALLO_OCR")
+
+
 def unsafe_path(path: Column, extensions: tuple[str, ...]) -> Column:
     """Why a path isn't accepted; null if it is."""
     extension = F.lower(F.regexp_extract(path, r"\.[^./\\]+$", 0))

@@ -22,6 +22,14 @@ def ingest(arrivals: DataFrame, registry: DataFrame | None = None, content: str
     return out.select(key, "bytes", "hash", status.alias("estado"))
 
 
+def with_copies(ingested: DataFrame, copies: DataFrame, content: str = "content", key: str = "file") -> DataFrame:
+    """Files that were taken in, against their copies hashed anew: a copy that differs or is missing isn't taken in."""
+    again = copies.select(key, F.sha2(F.col(content), 256).alias("copied"))
+    both = ingested.join(again, key, "left")
+    bad = (F.col("estado") == "INGRESADO") & ~F.col("hash").eqNullSafe(F.col("copied"))
+    return both.withColumn("estado", F.when(bad, "COPIA_ALTERADA").otherwise(F.col("estado"))).drop("copied")
+
+
 def verify(registry: DataFrame, now: DataFrame, key: str = "file") -> DataFrame:
     """Registered hashes against today's: OK, ALTERADO, NO_ENCONTRADO or NO_REGISTRADO."""
     a, b = registry.select(key, F.col("hash").alias("expected")), now.select(key, F.col("hash").alias("actual"))
@@ -60,6 +68,20 @@ def inherited(log: DataFrame, field: str) -> DataFrame:
     return log.withColumn("heredado", F.last(F.nullif(F.col(field), F.lit("")), ignorenulls=True).over(w))
 
 
+def lifecycle(log: DataFrame) -> DataFrame:
+    """Each entry's phase in its trace: the first starts it, the last ends it, with ERROR if any entry was one."""
+    w = Window.partitionBy("trace_id").orderBy("moment", "entry")
+    last = F.lead("entry").over(w).isNull()
+    failed = F.max(F.col("level").isin("ERROR", "CRITICAL").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) == 1
+    phase = S.first_of((F.row_number().over(w) == 1, "INICIO"), (last, "FIN"), default="ACTIVA")
+    return log.withColumns({"fase": phase, "cierre": F.when(last, F.when(failed, "ERROR").otherwise("OK"))})
+
+
+def by_trace(log: DataFrame) -> DataFrame:
+    """Entries with their place in their trace."""
+    return log.withColumn("paso", F.row_number().over(Window.partitionBy("trace_id").orderBy("moment", "entry")))
+
+
 def changed_files(before: DataFrame, after: DataFrame, key: str, version: str) -> DataFrame:
     """Snapshot difference: NUEVO, MODIFICADO or BORRADO."""
     a, b = before.select(key, F.col(version).alias("old")), after.select(key, F.col(version).alias("new"))

@@ -82,17 +82,18 @@ def global_accuracy(outcomes: DataFrame) -> DataFrame:
 
 
 def profiles(spark) -> DataFrame:
-    """Threshold profiles: constants; stricter ones ask for more."""
-    rows = [(name, kind, round(v + shift, 2)) for name, shift in (("conservador", 0.05), ("balanceado", 0.0), ("permisivo", -0.10)) for kind, v in P.FIELD_THRESHOLDS.items()]
-    return spark.createDataFrame(rows, "perfil string, tipo string, umbral double").withColumn("umbral", F.col("umbral").cast("decimal(4,2)"))
+    """Threshold profiles, which are constants: of the router (grupo router) and of fields (grupo abstencion)."""
+    fields = P.FIELD_THRESHOLDS | {"default": P.DEFAULT_THRESHOLD}
+    rows = [(name, group, kind, float(v)) for name, router in P.ROUTER_PROFILES.items() for group, values in (("router", router), ("abstencion", fields)) for kind, v in values.items()]
+    return spark.createDataFrame(rows, "perfil string, grupo string, clave string, umbral double").withColumn("umbral", F.col("umbral").cast("decimal(6,2)"))
 
 
-def ordered_findings(findings: DataFrame, case: str = "sinad") -> DataFrame:
-    """Findings of each case by severity, then position, numbered from 1."""
+def ordered_findings(findings: DataFrame, case: str = "sinad", longest: tuple[int, int] = (200, 150)) -> DataFrame:
+    """Findings of each case by severity, then position, numbered from 1; descriptions and actions are cut to what a sheet shows."""
     order = S.first_of(*[(F.col("nivel") == k, i) for i, k in enumerate(P.SEVERITY)], default=len(P.SEVERITY))
     number = F.row_number().over(Window.partitionBy(case).orderBy("orden", "voucher", "regla"))
     out = findings.withColumn("orden", order).withColumn("nro", number)
-    return out.select(case, "nro", "voucher", "regla", C.severity_label(F.col("nivel")).alias("severidad"), C.finding_type(F.col("regla")).alias("tipo"))
+    return out.select(case, "nro", "voucher", "regla", C.severity_label(F.col("nivel")).alias("severidad"), C.finding_type(F.col("regla")).alias("tipo"), F.substring("descripcion", 1, longest[0]).alias("descripcion"), F.coalesce(F.substring("accion", 1, longest[1]), F.lit("")).alias("accion"))
 
 
 def severity_summary(findings: DataFrame) -> DataFrame:

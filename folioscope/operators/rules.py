@@ -11,6 +11,10 @@ from . import classify as C
 from . import extract as X
 
 
+#: The documents that an agreement must have.
+AGREEMENT_DOCUMENTS = ("convenio_vigente", "documento_cobranza", "detalle_consumo", "informe_tecnico", "certificacion_presupuestal", "derivacion_sinad")
+
+
 def bare(text: Column) -> Column:
     """Text of a model that marks places, without the marks."""
     return F.regexp_replace(text, P.POSITION_TOKEN, "")
@@ -81,10 +85,21 @@ def document_kinds(name: Column, text: Column, chars: int = 5000) -> Column:
     return S.flags(*[(S.any_of([S.matches(t, p) for p in ps]), kind) for kind, ps in P.DOCUMENT_KINDS.items()])
 
 
+def is_reference(name: Column, text: Column, chars: int = 2000) -> Column:
+    """A document that is terms of reference, by its name or the head of its text."""
+    t = F.concat_ws(" ", name, F.substring(text, 1, chars))
+    return S.any_of([S.matches(t, p) for p in P.REFERENCE_TERMS])
+
+
 def reference_document(documents: DataFrame, case: str, order: str, name: str, text: str) -> DataFrame:
     """The first document of each case that is its terms of reference."""
-    t = F.concat_ws(" ", F.col(name), F.substring(F.col(text), 1, 2000))
-    return documents.where(S.any_of([S.matches(t, p) for p in P.REFERENCE_TERMS])).groupBy(case).agg(F.min(order).alias(order))
+    return documents.where(is_reference(F.col(name), F.col(text))).groupBy(case).agg(F.min(order).alias(order))
+
+
+def agreement_ready(documents: dict[str, Column], coherent: Column) -> Column:
+    """struct(minimos, apto) of an agreement: all six documents are there; and its amounts are coherent."""
+    every = S.any_of([documents[name].isNull() for name in AGREEMENT_DOCUMENTS])
+    return F.struct((~every).alias("minimos"), (~every & coherent).alias("apto"))
 
 
 def unmet(requirements: DataFrame, present: DataFrame, case: str) -> DataFrame:

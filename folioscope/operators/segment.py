@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
+from ..functions import scalars as S
+
 
 def words_to_lines(words: DataFrame, page: str, block: str, line: str, order: str) -> DataFrame:
     """Lines of words: text in order, the box around them, mean confidence without unknown (-1) ones."""
@@ -32,11 +35,16 @@ def scored_regions(lines: DataFrame, page: str = "page", tie: str = "line", leas
     """Regions that look like vouchers, numbered in order per page."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y0", "x0", F.col(tie), "texto"))), lambda s: s["texto"]), "\n")
     found = regions(lines, page, tie).groupBy(page, "col", "reg").agg(text.alias("texto"), F.count("*").alias("lineas"))
-    score = F.when(F.rlike("texto", F.lit(r"(?i)\b[FBE]\d{3}\s*-\s*\d{3,9}\b")), 2).otherwise(0) + F.when(F.rlike("texto", F.lit(r"\d+[.,]\d{2}")), 1).otherwise(0)
-    kept = found.withColumn("score", score).where(F.col("score") >= least)
+    kept = found.withColumn("score", S.let(S.normal_key(F.col("texto")), lambda norm: region_score(F.col("texto"), norm))).where(F.col("score") >= least)
     return kept.withColumn("region", F.row_number().over(Window.partitionBy(page).orderBy("col", "reg")) - 1).select(page, "region", "lineas", "score")
 
 
+def region_score(text: Column, norm: Column) -> Column:
+    """Signs of a voucher: a series 2, a total or an amount 1, a tax id 1, three amounts or more 1. norm: the text's normal key."""
+    signs = ((S.matches(norm, P.VALID_SERIES), 2), (S.matches(norm, P.TOTAL_CONTEXT) | F.rlike(norm, F.lit(P.REGION_AMOUNT)), 1), (S.matches(text, P.RUC_MARK), 1), (F.regexp_count(norm, F.lit(P.REGION_AMOUNT)) >= 3, 1))
+    return sum((F.when(cond, n).otherwise(0) for cond, n in signs), F.lit(0))
+
+
 def read_order(lines: DataFrame, page: str = "page", tie: str = "line") -> DataFrame:
     """A page's lines from top to bottom and left to right, as one text."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y0", "x0", F.col(tie), "texto"))), lambda s: s["texto"]), "\n")
@@ -53,7 +61,9 @@ def roi(lines: DataFrame, width: int, height: int, page: str = "page", least: in
 
 def page_of_offset(pages: DataFrame, asked: DataFrame, doc: str = "doc", page: str = "page") -> DataFrame:
     """The page on which an offset of a document lies: the first whose running length reaches it, else the last."""
-    w = Window.partitionBy(doc).orderBy(page)
-    run = pages.select(doc, page, F.sum("length").over(w).alias("upto"))
-    both = asked.join(run, doc)
-    return both.groupBy(doc, "offset").agg(F.coalesce(F.min(F.when(F.col("offset") <= F.col("upto"), F.col(page))), F.max(page)).alias(page))
+    run = pages.select(doc, page, F.sum("length").over(Window.partitionBy(doc).orderBy(page)).alias("place"))
+    # Offsets and the ends of pages in one order: the next page's end is that of the offset's page.
+    both = asked.select(doc, F.col("offset").alias("place"), F.lit(None).cast(dict(pages.dtypes)[page]).alias(page)).unionByName(run)
+    w = Window.partitionBy(doc).orderBy("place", F.col(page).isNotNull(), page)
+    found = F.coalesce(F.first(page, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)), F.max(page).over(Window.partitionBy(doc)))
+    return both.withColumn("found", found).where(F.col(page).isNull() & F.col("found").isNotNull()).select(doc, F.col("place").alias("offset"), F.col("found").alias(page))

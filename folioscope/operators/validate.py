@@ -67,10 +67,33 @@ def arithmetic_findings(vouchers: DataFrame, *only: str) -> DataFrame:
 
 
 def model_verdicts(vouchers: DataFrame) -> DataFrame:
-    """The variant for model output: declared rate unrounded, no rounding of the total, nights against dates."""
-    sub, igv, total = F.col("subtotal"), F.col("igv"), F.col("total")
-    rate = F.lit(0.18).cast("decimal(4,2)")
-    return vouchers.select("voucher", (F.abs(F.col("items") - sub) <= amount(P.TOLERANCE)).alias("suma_ok"), (F.abs(igv - sub * rate) <= amount(P.TOLERANCE)).alias("igv_ok"), (F.abs(total - (sub + F.coalesce(igv, amount(0)))) <= amount(P.TOLERANCE)).alias("total_ok"))
+    """The variant for model output: the declared rate (18 % if none) unrounded, other amounts in the total, nights against dates.
+
+    Vouchers have besides: tasa (percent), otros, descuentos, exonerado, inafecto, entrada and salida.
+    """
+    sub, igv, total, none = F.col("subtotal"), F.col("igv"), F.col("total"), amount(0)
+    due = sub * F.coalesce("tasa", F.lit(18).cast("decimal(6,2)")) / F.lit(100).cast("decimal(6,2)")
+    added = sub + F.coalesce(igv, none) + F.coalesce("otros", none) - F.coalesce("descuentos", none) + F.coalesce("exonerado", none) + F.coalesce("inafecto", none)
+    near = lambda x: F.abs(x) <= amount(P.TOLERANCE)
+    return vouchers.select("voucher", near(F.col("items") - sub).alias("suma_ok"), near(due - igv).alias("igv_ok"), near(added - total).alias("total_ok"), (F.datediff("salida", "entrada") == F.col("noches")).alias("noches_ok"))
+
+
+def header_and_detail(vouchers: DataFrame, items: DataFrame) -> DataFrame:
+    """Each voucher with the sum and number of its items, and whether they make its subtotal."""
+    detail = items.groupBy("voucher").agg(F.sum("importe").cast(MONEY).alias("detalle"), F.count("*").alias("n"))
+    both = vouchers.select("voucher", "subtotal").join(detail, "voucher", "left")
+    return both.withColumn("cuadra", F.abs(F.col("detalle") - F.col("subtotal")) <= amount(P.TOLERANCE))
+
+
+def missing_documents(cases: DataFrame, declared: DataFrame, vouchers: DataFrame, key: str = "sinad") -> DataFrame:
+    """Cases without a declaration of expenses, and cases without vouchers: a finding for each."""
+    lacking = lambda there, rule: cases.select(key).join(there.select(key), key, "left_anti").select(key, F.lit(rule).alias("regla"), F.lit("MAYOR").alias("nivel"))
+    return lacking(declared, "VIAT_DOC_ANEXO3").unionByName(lacking(vouchers, "VIAT_DOC_COMPROBANTES"))
+
+
+def agent_result(findings: DataFrame, key: str = "sinad") -> DataFrame:
+    """A bundle of rules as a result for each case: it succeeds if no finding is critical."""
+    return findings.groupBy(key).agg((F.count_if(F.col("nivel") == "CRITICA") == 0).alias("exito"), F.count("*").alias("n"), F.count_if(F.col("nivel") == "CRITICA").alias("criticas"))
 
 
 def empty_cases(cases: DataFrame, vouchers: DataFrame, key: str = "sinad") -> DataFrame:

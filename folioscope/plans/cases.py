@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -12,7 +12,10 @@ from ..operators import custody as U
 from ..operators import evidence as E
 from ..operators import resolve as R
 from ..operators import segment as G
+from ..operators import sheets
 from ..operators import validate as V
+from ..sources import readers
+from .pages import m
 from .registry import Tables, query
 
 
@@ -32,9 +35,13 @@ TYPE_CASE = "CASE " + " ".join(f"WHEN starts_with(regla, '{k}') THEN '{v}'" for
 SEVERITY_CASE = "CASE nivel " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in P.SEVERITY.items()) + " END"
 
 
-@query("J-0", "SELECT c_custkey AS sinad, 'VAL_EXPEDIENTE_VACIO' AS regla, 'MAYOR' AS nivel FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+#: Cases are the customers; only their urgent orders count as vouchers here, so some cases have none.
+URGENT = "o_orderpriority = '1-URGENT'"
+
+
+@query("J-0", f"SELECT c_custkey AS sinad, 'VAL_EXPEDIENTE_VACIO' AS regla, 'MAYOR' AS nivel FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE {URGENT})")
 def _(t: Tables):
-    return V.empty_cases(t.customer.select(F.col("c_custkey").alias("sinad")), t.orders.select(F.col("o_custkey").alias("sinad")))
+    return V.empty_cases(t.customer.select(F.col("c_custkey").alias("sinad")), t.orders.where(URGENT).select(F.col("o_custkey").alias("sinad")))
 
 
 for _v, _rule, _level in V.ARITHMETIC:
@@ -44,9 +51,18 @@ for _v, _rule, _level in V.ARITHMETIC:
         return V.arithmetic_findings(t.vouchers, rule)
 
 
-@query("J-5", "SELECT voucher, abs(items - subtotal) <= 0.02 AS suma_ok, abs(igv - subtotal * 0.18) <= 0.02 AS igv_ok, abs(total - (subtotal + coalesce(igv, 0))) <= 0.02 AS total_ok FROM vouchers", "vouchers")
+MODEL = """modelled AS (SELECT *, CASE WHEN voucher % 3 = 0 THEN CAST(10 AS DECIMAL(6,2)) WHEN voucher % 3 = 1 THEN CAST(18 AS DECIMAL(6,2)) END AS tasa, CAST(CASE WHEN voucher % 9 = 0 THEN 2 END AS DECIMAL(18,2)) AS otros, CAST(CASE WHEN voucher % 18 = 0 THEN 1 END AS DECIMAL(18,2)) AS descuentos,
+    CAST(CASE WHEN voucher % 11 = 0 THEN 3 END AS DECIMAL(18,2)) AS exonerado, CAST(CASE WHEN voucher % 13 = 0 THEN 4 END AS DECIMAL(18,2)) AS inafecto, CASE WHEN voucher % 7 <> 0 THEN fecha END AS entrada, CASE WHEN voucher % 20 = 0 THEN noches + 1 ELSE noches END AS estancia FROM vouchers)"""
+
+
+@query("J-5", f""", {MODEL} SELECT voucher, abs(items - subtotal) <= 0.02 AS suma_ok, abs(subtotal * coalesce(tasa, 18) / 100.0 - igv) <= 0.02 AS igv_ok,
+    abs(subtotal + coalesce(igv, 0) + coalesce(otros, 0) - coalesce(descuentos, 0) + coalesce(exonerado, 0) + coalesce(inafecto, 0) - total) <= 0.02 AS total_ok, CASE WHEN entrada IS NOT NULL AND noches IS NOT NULL THEN estancia = noches END AS noches_ok FROM modelled""", "vouchers")
 def _(t: Tables):
-    return V.model_verdicts(t.vouchers)
+    k = F.col("voucher")
+    some = lambda n, x: F.when(k % n == 0, F.lit(x)).cast("decimal(18,2)")
+    stay = F.when(k % 20 == 0, F.col("noches") + 1).otherwise(F.col("noches"))
+    given = t.vouchers.withColumns({"tasa": F.when(k % 3 == 0, 10).when(k % 3 == 1, 18).cast("decimal(6,2)"), "otros": some(9, 2), "descuentos": some(18, 1), "exonerado": some(11, 3), "inafecto": some(13, 4), "entrada": F.when(k % 7 != 0, F.col("fecha")), "salida": F.date_add("fecha", stay)})
+    return V.model_verdicts(given)
 
 
 @query("J-6", f", {VERDICTS} SELECT voucher, coalesce(igv_ok, true) AND coalesce(total_ok, true) AND coalesce(suma_items_ok, true) AND coalesce(noches_ok, true) AS todo_ok FROM verdicts", "vouchers")
@@ -92,9 +108,10 @@ def _(t: Tables):
 TRIPS = "trips AS (SELECT sinad, min(fecha) AS salida, max(fecha) AS regreso, CAST(sum(total) AS DECIMAL(18,2)) AS gastado, count(DISTINCT fecha) AS dias_con_gasto, count(*) AS n, greatest(datediff('day', min(fecha), max(fecha)) + 1, 1) AS dias FROM vouchers GROUP BY sinad)"
 
 
-@query("V-1", "SELECT sinad, 'VIAT_DOC_ANEXO3' AS regla FROM (SELECT DISTINCT sinad FROM vouchers) WHERE sinad % 7 = 0", "vouchers")
+@query("V-1", f"SELECT c_custkey AS sinad, 'VIAT_DOC_ANEXO3' AS regla, 'MAYOR' AS nivel FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey % 7 <> 0) UNION ALL SELECT c_custkey, 'VIAT_DOC_COMPROBANTES', 'MAYOR' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE {URGENT})")
 def _(t: Tables):
-    return t.vouchers.select("sinad").distinct().join(_declared(t).select("sinad"), "sinad", "left_anti").select("sinad", F.lit("VIAT_DOC_ANEXO3").alias("regla"))
+    cases = t.customer.select(F.col("c_custkey").alias("sinad"))
+    return V.missing_documents(cases, _declared(t), t.orders.where(URGENT).select(F.col("o_custkey").alias("sinad")))
 
 
 @query("V-2", f", {TRIPS} SELECT sinad, CAST(dias AS INT) AS dias, gastado, CASE WHEN dias IS NULL OR gastado IS NULL THEN 'VIAT_TOPE_DIARIO_INFO' WHEN gastado > 320 * dias + 0.20 THEN 'VIAT_TOPE_DIARIO' ELSE 'OK' END AS regla FROM trips", "vouchers")
@@ -150,9 +167,13 @@ def _(t: Tables):
     return V.arithmetic_findings(t.vouchers).select("voucher", "regla", C.finding_type(F.col("regla")).alias("tipo"), C.severity_label(F.col("nivel")).alias("severidad"))
 
 
-@query("SRT-1", f", {FINDINGS} SELECT sinad, row_number() OVER (PARTITION BY sinad ORDER BY CASE nivel WHEN 'CRITICA' THEN 0 WHEN 'MAYOR' THEN 1 WHEN 'MENOR' THEN 2 ELSE 3 END, voucher, regla) AS nro, voucher, regla, {SEVERITY_CASE} AS severidad, {TYPE_CASE} AS tipo FROM findings", "vouchers")
+DESCRIBED = "regla || ': el comprobante ' || CAST(voucher AS VARCHAR(20)) || ' no cumple. ' || repeat('Revise el documento. ', CAST(voucher % 12 AS INT))"
+ACTION = "CASE WHEN voucher % 5 <> 0 THEN repeat('Corrija el importe. ', CAST(voucher % 10 AS INT)) END"
+
+
+@query("SRT-1", f", {FINDINGS} SELECT sinad, row_number() OVER (PARTITION BY sinad ORDER BY CASE nivel WHEN 'CRITICA' THEN 0 WHEN 'MAYOR' THEN 1 WHEN 'MENOR' THEN 2 ELSE 3 END, voucher, regla) AS nro, voucher, regla, {SEVERITY_CASE} AS severidad, {TYPE_CASE} AS tipo, substr({DESCRIBED}, 1, 200) AS descripcion, coalesce(substr({ACTION}, 1, 150), '') AS accion FROM findings", "vouchers")
 def _(t: Tables):
-    return R.ordered_findings(V.arithmetic_findings(t.vouchers))
+    return R.ordered_findings(V.arithmetic_findings(t.vouchers).withColumns({"descripcion": F.expr(DESCRIBED), "accion": F.expr(ACTION)}))
 
 
 @query("AGG-8", f", {FINDINGS} SELECT {SEVERITY_CASE} AS severidad, count(*) AS n FROM findings GROUP BY 1", "vouchers")
@@ -342,9 +363,10 @@ def _(t: Tables):
     return G.page_of_offset(pages, asked)
 
 
-@query("JN-8", "SELECT voucher, CAST(sum(importe) AS DECIMAL(18,2)) AS detalle, count(*) AS n FROM items GROUP BY voucher", "items")
+@query("JN-8", "SELECT v.voucher, v.subtotal, i.detalle, i.n, abs(i.detalle - v.subtotal) <= 0.02 AS cuadra FROM vouchers v LEFT JOIN (SELECT voucher, CAST(sum(importe) AS DECIMAL(18,2)) AS detalle, count(*) AS n FROM items WHERE line <> 2 GROUP BY voucher) i ON i.voucher = v.voucher", "vouchers", "items")
 def _(t: Tables):
-    return t.items.groupBy("voucher").agg(F.sum("importe").cast("decimal(18,2)").alias("detalle"), F.count("*").alias("n"))
+    """Headers with the totals of their details, of which some lack their second line."""
+    return V.header_and_detail(t.vouchers, t.items.where("line <> 2"))
 
 
 RANK = "CASE prioridad WHEN '1-URGENT' THEN 3 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 1 ELSE 0 END"
@@ -407,7 +429,10 @@ def _(t: Tables):
     return R.global_accuracy(t.outcomes)
 
 
-@query("AGG-3")
+PROFILES = " UNION ALL ".join(f"SELECT '{name}' AS perfil, unnest(map_keys(r)) AS clave, unnest(map_values(r)) AS umbral, '{group}' AS grupo FROM (SELECT MAP {{{', '.join(f"'{k}': CAST({v} AS DECIMAL(6,2))" for k, v in values.items())}}} AS r)" for name, router in P.ROUTER_PROFILES.items() for group, values in (("router", router), ("abstencion", P.FIELD_THRESHOLDS | {"default": P.DEFAULT_THRESHOLD})))
+
+
+@query("AGG-3", f"SELECT perfil, grupo, clave, umbral FROM ({PROFILES})")
 def _(t: Tables):
     return R.profiles(t._spark)
 
@@ -428,10 +453,14 @@ def _(t: Tables):
     return U.custody_stats(U.ingest(t.documents.select(F.col("doc_id").alias("file"), F.col("text").alias("content"))))
 
 
-@query("CUS-1", "SELECT doc_id AS file, CASE WHEN text IN (SELECT text FROM documents WHERE doc_id < 50) THEN 'YA_REGISTRADO' WHEN doc_id <> min(doc_id) OVER (PARTITION BY text) THEN 'DUPLICADO' ELSE 'INGRESADO' END AS estado FROM documents WHERE doc_id >= 50")
+@query("CUS-1", "SELECT doc_id AS file, CASE WHEN text IN (SELECT text FROM documents WHERE lang = 'es') THEN 'YA_REGISTRADO' WHEN doc_id <> min(doc_id) OVER (PARTITION BY text) THEN 'DUPLICADO' WHEN doc_id % 10 = 0 THEN 'COPIA_ALTERADA' ELSE 'INGRESADO' END AS estado, octet_length(encode(text)) AS bytes FROM documents")
 def _(t: Tables):
-    files = t.documents.select(F.col("doc_id").alias("file"), F.col("text").alias("content"))
-    return U.ingest(files.where("file >= 50"), U.ingest(files.where("file < 50"))).select("file", "estado")
+    """All documents arrive; those in Spanish are registered already. Copies of every tenth are damaged on the way."""
+    files = t.documents.select(F.col("doc_id").alias("file"), F.col("text").alias("content"), "lang")
+    arrivals = files.select("file", "content")
+    seen = U.ingest(arrivals, U.ingest(files.where("lang = 'es'").select("file", "content")))
+    copies = arrivals.select("file", F.when(F.col("file") % 10 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content")).alias("content"))
+    return U.with_copies(seen, copies).select("file", "estado", "bytes")
 
 
 @query("CUS-2", "SELECT doc_id AS file, CASE WHEN doc_id % 10 = 0 THEN 'NO_ENCONTRADO' WHEN doc_id % 10 = 1 THEN 'ALTERADO' WHEN doc_id % 10 = 2 THEN 'NO_REGISTRADO' ELSE 'OK' END AS estado FROM documents")
@@ -460,9 +489,11 @@ def _(t: Tables):
     return U.durations(t.trace).select("trace_id", "entradas", "segundos")
 
 
-@query("TRC-1", "SELECT entry, last_value(nullif(CASE WHEN level = 'INFO' THEN '' ELSE operation END, '') IGNORE NULLS) OVER (PARTITION BY trace_id ORDER BY moment, entry ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heredado FROM trace", "trace")
+@query("TRC-1", """SELECT entry, last_value(nullif(CASE WHEN level = 'INFO' THEN '' ELSE operation END, '') IGNORE NULLS) OVER w AS heredado, CASE WHEN row_number() OVER w = 1 THEN 'INICIO' WHEN lead(entry) OVER (PARTITION BY trace_id ORDER BY moment, entry) IS NULL THEN 'FIN' ELSE 'ACTIVA' END AS fase,
+    CASE WHEN lead(entry) OVER (PARTITION BY trace_id ORDER BY moment, entry) IS NULL THEN CASE WHEN max(CASE WHEN level IN ('ERROR', 'CRITICAL') THEN 1 ELSE 0 END) OVER w = 1 THEN 'ERROR' ELSE 'OK' END END AS cierre FROM trace WINDOW w AS (PARTITION BY trace_id ORDER BY moment, entry ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""", "trace")
 def _(t: Tables):
-    return U.inherited(t.trace.withColumn("op", F.when(F.col("level") == "INFO", "").otherwise(F.col("operation"))), "op").select("entry", "heredado")
+    own = U.inherited(t.trace.withColumn("op", F.when(F.col("level") == "INFO", "").otherwise(F.col("operation"))), "op")
+    return U.lifecycle(own).select("entry", "heredado", "fase", "cierre")
 
 
 @query("TRC-2", "SELECT level, " + "CASE level " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in P.LEVELS.items()) + " END AS peso, count(*) AS n FROM trace GROUP BY level", "trace")
@@ -470,9 +501,9 @@ def _(t: Tables):
     return t.trace.groupBy("level", U.weight(F.col("level")).alias("peso")).agg(F.count("*").alias("n"))
 
 
-@query("TRC-3", "SELECT entry, level, operation FROM trace WHERE trace_id = 7", "trace")
+@query("TRC-3", "SELECT trace_id, row_number() OVER (PARTITION BY trace_id ORDER BY moment, entry) AS paso, entry, level, operation FROM trace", "trace")
 def _(t: Tables):
-    return t.trace.where("trace_id = 7").select("entry", "level", "operation").orderBy("entry")
+    return U.by_trace(t.trace).select("trace_id", "paso", "entry", "level", "operation")
 
 
 @query("SRC-12", "SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.page') AS page FROM events")
@@ -497,7 +528,15 @@ def _(t: Tables):
     return G.regions(t.boxes).select("page", "line", "col", "reg")
 
 
-@query("WIN-2", f", {REGIONS} SELECT page, row_number() OVER (PARTITION BY page ORDER BY col, reg) - 1 AS region, n AS lineas, CAST(2 AS INT) AS score FROM (SELECT page, col, reg, count(*) AS n FROM regs GROUP BY page, col, reg)", "boxes")
+REGION_SCORE = f"""(CASE WHEN {m('n', P.VALID_SERIES)} THEN 2 ELSE 0 END + CASE WHEN {m('n', P.TOTAL_CONTEXT)} OR regexp_matches(n, '{P.REGION_AMOUNT}') THEN 1 ELSE 0 END + CASE WHEN {m('t', P.RUC_MARK)} THEN 1 ELSE 0 END + CASE WHEN len(regexp_extract_all(n, '{P.REGION_AMOUNT}')) >= 3 THEN 1 ELSE 0 END)"""
+
+
+@query(
+    "WIN-2",
+    f""", {REGIONS}, texts AS (SELECT page, col, reg, count(*) AS lineas, string_agg(texto, chr(10) ORDER BY y0, x0, line) AS t FROM regs GROUP BY page, col, reg), scored AS (SELECT page, col, reg, lineas, CAST({REGION_SCORE} AS INT) AS score FROM (SELECT *, trim(regexp_replace(lower(t), '\\s+', ' ', 'g')) AS n FROM texts))
+        SELECT page, row_number() OVER (PARTITION BY page ORDER BY col, reg) - 1 AS region, lineas, score FROM scored WHERE score >= 2""",
+    "boxes",
+)
 def _(t: Tables):
     return G.scored_regions(t.boxes)
 
@@ -521,16 +560,76 @@ def _(t: Tables):
 # -- sinks --------------------------------------------------------------------
 
 
-@query("SNK-4", "SELECT sinad, campo, valor FROM (SELECT sinad, 'salida' AS campo, CAST(min(fecha) AS VARCHAR) AS valor FROM vouchers GROUP BY sinad UNION ALL SELECT sinad, 'regreso', CAST(max(fecha) AS VARCHAR) FROM vouchers GROUP BY sinad UNION ALL SELECT sinad, 'gastado', CAST(CAST(sum(total) AS DECIMAL(18,2)) AS VARCHAR) FROM vouchers GROUP BY sinad)", "vouchers")
+HEADER_SQL = f"""header AS (SELECT sinad, CAST(sinad AS VARCHAR) AS c1, CASE WHEN sinad % 5 <> 0 THEN 'comisionado ' || CAST(sinad AS VARCHAR) END AS c2, lpad(CAST(sinad AS VARCHAR), 8, '0') AS c3, CASE WHEN sinad % 2 = 0 THEN 'Lima' END AS c4, CAST(salida AS VARCHAR) AS c5, CAST(regreso AS VARCHAR) AS c6,
+    CAST(CAST(320 * dias AS DECIMAL(18,2)) AS VARCHAR) AS c7, CAST(gastado AS VARCHAR) AS c8, CAST(CAST(320 * dias - gastado AS DECIMAL(18,2)) AS VARCHAR) AS c9 FROM trips)"""
+
+
+@query(
+    "SNK-4",
+    f""", {TRIPS}, {HEADER_SQL} SELECT sinad, 'cabecera' AS parte, CAST(i AS INT) AS fila, ['SINAD', 'Comisionado', 'DNI', 'Destino', 'Fecha salida', 'Fecha regreso', 'Viático otorgado', 'Total gastado', 'Devolución'][i] AS etiqueta, coalesce([c1, c2, c3, c4, c5, c6, c7, c8, c9][i], '') AS valor
+        FROM header, unnest(range(1, 10)) AS r(i)
+        UNION ALL SELECT sinad, 'item', CAST(row_number() OVER (PARTITION BY sinad ORDER BY fecha, voucher) AS INT), tipo, concat_ws(' | ', CAST(fecha AS VARCHAR), ruc, serie || '-' || numero, prioridad, coalesce(CAST(total AS VARCHAR), '')) FROM vouchers""",
+    "vouchers",
+)
+def _(t: Tables):
+    """The declaration's sheet: nine header rows and the items of each case."""
+    trip, text = V.trips(t.vouchers), lambda c: c.cast("string")
+    granted = (F.col("dias") * P.DAILY_CAP).cast("decimal(18,2)")
+    c = F.col
+    head = {
+        "SINAD": c("sinad"),
+        "Comisionado": F.when(c("sinad") % 5 != 0, F.concat(F.lit("comisionado "), c("sinad"))),
+        "DNI": F.lpad(text(c("sinad")), 8, "0"),
+        "Destino": F.when(c("sinad") % 2 == 0, F.lit("Lima")),
+        "Fecha salida": c("salida"),
+        "Fecha regreso": c("regreso"),
+        "Viático otorgado": granted,
+        "Total gastado": c("gastado"),
+        "Devolución": (granted - c("gastado")).cast("decimal(18,2)"),
+    }
+    number = F.row_number().over(Window.partitionBy("sinad").orderBy("fecha", "voucher"))
+    shown = F.concat_ws(" | ", text(F.col("fecha")), "ruc", F.concat_ws("-", "serie", "numero"), "prioridad", F.coalesce(text(F.col("total")), F.lit("")))
+    items = t.vouchers.select("sinad", F.lit("item").alias("parte"), number.alias("fila"), F.col("tipo").alias("etiqueta"), shown.alias("valor"))
+    return sheets.header_rows(trip, "sinad", head).unionByName(items)
+
+
+@query("SNK-5", "SELECT tipo AS \"Tipo\", serie AS \"Serie\", numero AS \"Número\", ruc AS \"RUC emisor\", CASE WHEN voucher % 3 = 0 THEN '' ELSE prioridad END AS \"Razón social\", fecha_texto AS \"Fecha emisión\", coalesce(CAST(total AS VARCHAR), '') AS \"Importe total\", coalesce(CAST(igv AS VARCHAR), '') AS \"IGV\", CASE WHEN voucher % 2 = 0 THEN 'ocr' ELSE '' END AS \"Motor\", CASE WHEN voucher % 12 = 0 THEN '' ELSE CAST(voucher % 12 AS VARCHAR) END AS \"Página\" FROM vouchers", "vouchers")
 def _(t: Tables):
-    return V.trips(t.vouchers).selectExpr("sinad", "stack(3, 'salida', cast(salida as string), 'regreso', cast(regreso as string), 'gastado', cast(gastado as string)) as (campo, valor)")
+    k = F.col("voucher")
+    return sheets.voucher_sheet(t.vouchers.withColumns({"razon_social": F.when(k % 3 != 0, F.col("prioridad")), "motor": F.when(k % 2 == 0, F.lit("ocr")), "pagina": k % 12, "fecha_emision": F.col("fecha_texto")}))
 
 
-@query("SNK-5", "SELECT voucher, tipo, serie, numero, coalesce(CAST(subtotal AS VARCHAR), '') AS subtotal, coalesce(CAST(igv AS VARCHAR), '') AS igv, coalesce(CAST(total AS VARCHAR), '') AS total FROM vouchers", "vouchers")
+@query("SNK-8", "SELECT CAST(sinad AS VARCHAR) AS expediente, CASE WHEN voucher % 4 = 0 THEN 'NULL' ELSE 'f' || CAST(voucher % 4 AS VARCHAR) || '.pdf' END AS archivo_pdf, CASE WHEN voucher % 12 = 0 THEN 'NULL' ELSE CAST(voucher % 12 AS VARCHAR) END AS pagina, 'NULL' AS region_id, ruc, CASE WHEN voucher % 3 = 0 THEN 'NULL' ELSE prioridad END AS proveedor, tipo AS tipo_comprobante, serie, numero, fecha_texto AS fecha, coalesce(CAST(total AS VARCHAR), 'NULL') AS total, CASE voucher % 3 WHEN 0 THEN 'alta' WHEN 1 THEN 'media' ELSE 'NULL' END AS confianza, CASE WHEN voucher % 5 = 0 THEN 'revisar' ELSE 'NULL' END AS observaciones FROM vouchers", "vouchers")
+def _(t: Tables):
+    k = F.col("voucher")
+    given = {"expediente": F.col("sinad"), "archivo_pdf": F.when(k % 4 != 0, F.concat(F.lit("f"), (k % 4).cast("string"), F.lit(".pdf"))), "pagina": F.when(k % 12 != 0, k % 12), "region_id": F.lit(None).cast("string"), "proveedor": F.when(k % 3 != 0, F.col("prioridad")), "tipo_comprobante": F.col("tipo")}
+    given |= {"fecha": F.col("fecha_texto"), "confianza": F.when(k % 3 == 0, "alta").when(k % 3 == 1, "media"), "observaciones": F.when(k % 5 == 0, "revisar")}
+    return sheets.summary_sheet(t.vouchers.withColumns(given))
+
+
+FIELD_SQL = "CASE WHEN valor IS NULL THEN '(abstención)' ELSE substr(valor, 1, 60) || CASE WHEN length(valor) > 60 THEN '...' ELSE '' END END"
+
+
+@query(
+    "SNK-3",
+    f""", {ROUTES}, shown AS (SELECT sinad, status, confianza, accion, razon, alertas FROM routes)
+        SELECT sinad, 'banner' AS seccion, 0 AS fila, status AS campo, confianza || ' | ' || accion AS valor FROM shown
+        UNION ALL SELECT sinad, 'secciones', 0, 'alertas', CASE WHEN len(a) = 0 THEN '' ELSE array_to_string(a[1:3], ', ') || CASE WHEN len(a) > 3 THEN ' ... +' || (len(a) - 3) || ' más' ELSE '' END END FROM (SELECT sinad, CASE WHEN alertas = '' THEN [] ELSE string_split(alertas, ',') END AS a FROM shown)
+        UNION ALL SELECT sinad, 'campos', CAST(row_number() OVER (PARTITION BY sinad ORDER BY voucher, campo) AS INT), campo, {FIELD_SQL} || ' | ' || CAST(CAST(confianza * 100 AS INT) AS VARCHAR) || '% | ' || status FROM judged WHERE razon IS NOT NULL
+        UNION ALL SELECT sinad, 'pie', 0, 'metricas', 'celdas: ' || total || ', abstenidas: ' || abstenidos FROM stats""",
+    "vouchers",
+    "cells",
+)
 def _(t: Tables):
-    return t.vouchers.select("voucher", "tipo", "serie", "numero", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("subtotal", "igv", "total")])
+    stats = _stats(t)
+    return sheets.diagnostic(E.routed(stats), E.judged(t.cells), stats)
 
 
-@query("SNK-8", "SELECT voucher, coalesce(CAST(igv AS VARCHAR), 'NULL') AS igv, coalesce(CAST(noches AS VARCHAR), 'NULL') AS noches FROM vouchers", "vouchers")
+@query("SNK-7", "SELECT CASE WHEN total IS NULL THEN 'bloques_descartados' ELSE 'comprobantes' END AS hoja, count(*) AS filas, CAST(sum(coalesce(total, 0)) AS DECIMAL(18,2)) AS total FROM vouchers GROUP BY 1", "vouchers")
 def _(t: Tables):
-    return t.vouchers.select("voucher", S.cell_text(F.col("igv")).alias("igv"), S.cell_text(F.col("noches")).alias("noches"))
+    """Both sheets of a workbook, written and read back."""
+    rows = t.vouchers.select("voucher", "ruc", "serie", "numero", "total")
+    folder = readers.work_folder(t._spark, "workbook")
+    readers.write_sheets({"comprobantes": rows.where("total is not null"), "bloques_descartados": rows.where("total is null")}, folder)
+    read = [t._spark.read.schema(rows.schema).parquet(f"{folder}/{name}.parquet").withColumn("hoja", F.lit(name)) for name in ("comprobantes", "bloques_descartados")]
+    return read[0].unionByName(read[1]).groupBy("hoja").agg(F.count("*").alias("filas"), F.sum(F.coalesce("total", F.lit(0))).cast("decimal(18,2)").alias("total"))

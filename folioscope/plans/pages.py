@@ -246,10 +246,11 @@ def _(t: Tables):
     return t.pages.select("page", F.when(F.length(F.trim("texto")) >= 100, "digital").otherwise("image").alias("capa"))
 
 
-@query("SRC-17", "SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'ESCANEADO_PROCESADO' WHEN 6 THEN 'NATIVO_DIGITAL' ELSE 'FALLO_OCR' END AS resultado FROM events")
+@query("SRC-17", "SELECT resultado, count(*) AS n FROM (SELECT CASE WHEN event_id % 9 = 8 THEN 'FALLO_OCR' WHEN (event_id * 3 + length(props)) % 8 = 0 THEN 'ESCANEADO_PROCESADO' WHEN (event_id * 3 + length(props)) % 8 = 6 THEN 'NATIVO_DIGITAL' ELSE 'FALLO_OCR' END AS resultado FROM events) GROUP BY resultado")
 def _(t: Tables):
-    code = F.col("event_id") % 8
-    return t.events.select("event_id", S.first_of((code == 0, "ESCANEADO_PROCESADO"), (code == 6, "NATIVO_DIGITAL"), default="FALLO_OCR").alias("resultado"))
+    """Exit codes (of a process that some never started) and what they mean."""
+    code = F.when(F.col("event_id") % 9 != 8, (F.col("event_id") * 3 + F.length("props")) % 8)
+    return t.events.groupBy(C.preprocessor_outcome(code).alias("resultado")).agg(F.count("*").alias("n"))
 
 
 # -- extraction ---------------------------------------------------------------
@@ -492,9 +493,14 @@ def _(t: Tables):
     return t.documents.select("doc_id", S.slug(F.concat_ws(" ", "source", F.concat("lang", F.lit("/x")))).alias("slug"), F.sha2("text", 256).alias("hash"), S.cell_text(F.nullif("source", F.lit("src0"))).alias("celda"))
 
 
-@query("SCL-15", "SELECT doc_id, sha256(text) AS hash FROM documents")
+ENDED = "CASE doc_id % 3 WHEN 0 THEN replace(text, chr(10), chr(13) || chr(10)) || chr(13) || chr(10) WHEN 1 THEN text || chr(13) ELSE text END"
+
+
+@query("SCL-15", f"SELECT doc_id, sha256(replace(t, chr(13) || chr(10), chr(10))) AS hash, contains(t, chr(13) || chr(10)) AS cambia FROM (SELECT doc_id, {ENDED} AS t FROM documents)")
 def _(t: Tables):
-    return t.documents.select("doc_id", F.sha2(F.replace(F.replace("text", F.lit("\n"), F.lit("\r\n")), F.lit("\r\n"), F.lit("\n")), 256).alias("hash"))
+    """Texts with line ends of both kinds; a carriage return by itself stays."""
+    ended = t.documents.select("doc_id", F.expr(ENDED).alias("t"))
+    return ended.select("doc_id", S.text_hash(F.col("t")).alias("hash"), (S.text_hash(F.col("t")) != F.sha2("t", 256)).alias("cambia"))
 
 
 @query("SCL-16", "SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN event_type ELSE 'MANUAL' END AS metodo FROM events")

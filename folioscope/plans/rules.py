@@ -14,8 +14,8 @@ from ..operators import rules as R
 from ..operators import validate as V
 from ..sources import readers
 from ..streaming import watch
-from .cases import FINDINGS
-from .pages import AMOUNT, SERIES_LIST, SERIES_SQL, TRIMMED, TYPE_SQL, block_rows, m, names, x
+from .cases import FINDINGS, PROFILES
+from .pages import AMOUNT, CELLS_SQL, SCORED, SERIES_LIST, SERIES_SQL, TRIMMED, TYPE_SQL, block_rows, m, names, x
 from .registry import Tables, query
 
 
@@ -64,15 +64,24 @@ def _(t: Tables):
     return block_rows(t).select("page", R.tags(F.col("texto"), F.col("r")).alias("observaciones"))
 
 
-@query("CLS-22", f"SELECT page, {names(*[(' OR '.join(m('texto', p) for p in ps), k) for k, ps in P.DOCUMENT_KINDS.items()])} AS tipos FROM pages", "pages")
+TITLE = "CASE doc_id % 6 WHEN 0 THEN 'Términos de referencia' WHEN 1 THEN 'TDR 5 y contrato N° 3' WHEN 2 THEN 'especificaciones técnicas, factura' WHEN 3 THEN 'currículo y diploma' ELSE 'nota' END"
+KINDS_OF_TEXT = names(*[(" OR ".join(m("t", p) for p in ps), k) for k, ps in P.DOCUMENT_KINDS.items()])
+
+
+@query("CLS-22", f"SELECT doc_id, {KINDS_OF_TEXT} AS tipos, {' OR '.join(m('head', p) for p in P.REFERENCE_TERMS)} AS es_tdr, doc_id = min(CASE WHEN {' OR '.join(m('head', p) for p in P.REFERENCE_TERMS)} THEN doc_id END) OVER (PARTITION BY source) AS primero FROM (SELECT doc_id, source, {TITLE} || ' ' || substr(text, 1, 5000) AS t, {TITLE} || ' ' || substr(text, 1, 2000) AS head FROM documents)")
 def _(t: Tables):
-    return t.pages.select("page", R.document_kinds(F.lit(None).cast("string"), F.col("texto")).alias("tipos"))
+    """Kinds of each document by its name and the head of its text, and the first terms of reference of each source."""
+    docs = t.documents.select("doc_id", "source", "text", F.expr(TITLE).alias("name"))
+    first = R.reference_document(docs, "source", "doc_id", "name", "text").select("source", F.col("doc_id").alias("first"))
+    return docs.join(first, "source", "left").select("doc_id", R.document_kinds(F.col("name"), F.col("text")).alias("tipos"), R.is_reference(F.col("name"), F.col("text")).alias("es_tdr"), (F.col("doc_id") == F.col("first")).alias("primero"))
 
 
-@query("CLS-23", "SELECT voucher, subtotal IS NOT NULL AND igv IS NOT NULL AND total IS NOT NULL AND noches IS NOT NULL AND n_items IS NOT NULL AS minimos FROM vouchers", "vouchers")
+@query("CLS-23", "SELECT voucher, minimos, minimos AND coherente AS apto FROM (SELECT voucher, subtotal IS NOT NULL AND igv IS NOT NULL AND total IS NOT NULL AND items IS NOT NULL AND fecha IS NOT NULL AND voucher % 7 <> 0 AS minimos, coalesce(abs(items - subtotal) <= 0.02, false) AS coherente FROM vouchers)", "vouchers")
 def _(t: Tables):
-    every = [F.col(c).isNotNull() for c in ("subtotal", "igv", "total", "noches", "n_items")]
-    return t.vouchers.select("voucher", F.forall(F.array(*every), lambda v: v).alias("minimos"))
+    """The six documents of an agreement, as columns of which some are null; coherent if the items make the subtotal."""
+    given = dict(zip(R.AGREEMENT_DOCUMENTS, (F.col("subtotal"), F.col("igv"), F.col("total"), F.col("items"), F.col("fecha"), F.when(F.col("voucher") % 7 != 0, F.lit("x"))), strict=True))
+    ready = R.agreement_ready(given, F.coalesce(F.abs(F.col("items") - F.col("subtotal")) <= 0.02, F.lit(False)))
+    return t.vouchers.select("voucher", ready.alias("a")).select("voucher", "a.*")
 
 
 @query("CLS-24", "SELECT voucher, 'NO_AUTORIZADO' AS monto_total, tipo AS categoria, 'NO_AUTORIZADO' AS el_ruc FROM vouchers", "vouchers")
@@ -86,7 +95,7 @@ def _(t: Tables):
     return t.cells.where((F.col("confianza") < 0.80) & F.col("valor").isNotNull()).select("voucher", "campo")
 
 
-@query("EXT-4")
+@query("EXT-4", f", {SCORED}, {CELLS_SQL} SELECT f.page, campo, valor FROM found f JOIN classed c ON c.page = f.page WHERE voucher_points >= 2 AND valor IS NOT NULL", "pages")
 def _(t: Tables):
     points = S.let(C.page_signs(F.col("texto")), lambda seen: C.voucher_score(seen)[0])
     return t.pages.select("page", F.explode(R.minimal_voucher(F.col("texto"), points)).alias("c")).select("page", "c.campo", "c.valor")
@@ -245,9 +254,13 @@ def _(t: Tables):
     return both.groupBy("regla", F.lit("MAYOR").alias("nivel")).agg(F.count("*").alias("n"))
 
 
-@query("V-10", f", {FINDINGS} SELECT sinad, NOT bool_or(nivel = 'CRITICA') AS exito, count(*) AS n FROM findings GROUP BY sinad", "vouchers")
+LEVELLED = "CASE WHEN regla = 'VAL_TOTAL_ARITMETICA' AND voucher % 3 = 0 THEN 'CRITICA' ELSE nivel END"
+
+
+@query("V-10", f", {FINDINGS} SELECT sinad, count_if({LEVELLED} = 'CRITICA') = 0 AS exito, count(*) AS n, CAST(count_if({LEVELLED} = 'CRITICA') AS BIGINT) AS criticas FROM findings GROUP BY sinad", "vouchers")
 def _(t: Tables):
-    return V.arithmetic_findings(t.vouchers).groupBy("sinad").agg((~F.bool_or(F.col("nivel") == "CRITICA")).alias("exito"), F.count("*").alias("n"))
+    """Some of the findings are critical here."""
+    return V.agent_result(V.arithmetic_findings(t.vouchers).withColumn("nivel", F.expr(LEVELLED)))
 
 
 @query("AGG-10", f"SELECT {TYPE_SQL} AS tipo, count(*) AS n FROM pages GROUP BY 1", "pages")
@@ -297,10 +310,16 @@ def _(t: Tables):
     return shown.select(F.from_json("j", kind).alias("c")).select("c.voucher", "c.sinad", "c.tipo", "c.total")
 
 
-@query("SRC-13", "SELECT tipo, count(*) AS n FROM vouchers GROUP BY tipo", "vouchers")
+VOUCHER_KINDS = '[{"tipo": "FACTURA", "codigo": "01", "tasa": 0.18}, {"tipo": "BOLETA DE VENTA", "codigo": "03", "tasa": 0.18}, {"tipo": "NOTA DE CREDITO", "codigo": "07", "tasa": 0.18}]'
+
+
+@query("SRC-13", "SELECT v.voucher, v.tipo, k.codigo, k.tasa FROM vouchers v LEFT JOIN (VALUES ('FACTURA', '01', CAST(0.18 AS DECIMAL(4,2))), ('BOLETA DE VENTA', '03', 0.18), ('NOTA DE CREDITO', '07', 0.18)) k(tipo, codigo, tasa) ON k.tipo = v.tipo", "vouchers")
 def _(t: Tables):
-    kinds = t.vouchers.select("tipo").distinct()
-    return t.vouchers.join(F.broadcast(kinds), "tipo").groupBy("tipo").agg(F.count("*").alias("n"))  # a handful of types
+    """A dimension from its JSON file; types that it hasn't stay without a code."""
+    folder = readers.work_folder(t._spark, "dimension")
+    t._spark.createDataFrame([(VOUCHER_KINDS,)], "value string").coalesce(1).write.text(folder)
+    kinds = readers.read_dimension(t._spark, folder, "tipo string, codigo string, tasa decimal(4,2)")
+    return t.vouchers.select("voucher", "tipo").join(kinds, "tipo", "left").select("voucher", "tipo", "codigo", "tasa")
 
 
 @query("SNK-2", "SELECT voucher, CASE WHEN voucher % 2 = 0 THEN 'verificado' END AS estado FROM vouchers", "vouchers")
@@ -319,13 +338,13 @@ def _(t: Tables):
     return V.arithmetic_findings(t.vouchers).groupBy("regla", "nivel").agg(F.count("*").alias("n"))
 
 
-@query("SNK-9", "SELECT 'balanceado' AS perfil, 'ruc' AS tipo, CAST(0.90 AS DECIMAL(4,2)) AS umbral")
+@query("SNK-9", f"SELECT perfil, grupo, clave, umbral FROM ({PROFILES})")
 def _(t: Tables):
-    """Thresholds through their JSON and back."""
+    """All thresholds through their JSON and back."""
     from ..operators.resolve import profiles
 
-    shown = profiles(t._spark).where("perfil = 'balanceado' and tipo = 'ruc'").select(F.to_json(F.struct("perfil", "tipo", "umbral")).alias("j"))
-    return shown.select(F.from_json("j", "perfil string, tipo string, umbral decimal(4,2)").alias("u")).select("u.*")
+    shown = profiles(t._spark).groupBy("perfil").agg(F.to_json(F.collect_list(F.struct("grupo", "clave", "umbral"))).alias("j"))
+    return shown.select("perfil", F.explode(F.from_json("j", "array<struct<grupo:string,clave:string,umbral:decimal(6,2)>>")).alias("u")).select("perfil", "u.*")
 
 
 @query("STR-1", "SELECT time_bucket(INTERVAL 6 HOUR, ts) AS desde, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -336,3 +355,77 @@ def _(t: Tables):
 @query("STR-2", "SELECT user_id, count(DISTINCT s) AS sesiones, count(*) AS n FROM (SELECT user_id, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 10 HOUR THEN 0 ELSE 1 END AS f FROM events)) GROUP BY user_id")
 def _(t: Tables):
     return watch.sessions(t.events, "ts", "user_id", "10 hours").groupBy("user_id").agg(F.count("*").alias("sesiones"), F.sum("n").alias("n"))
+
+
+# -- sources and sinks with plug-ins --------------------------------------------
+
+
+@query("SRC-1", "SELECT conv_id, count(*) AS paginas, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS texto, CAST(length(string_agg(coalesce(text, ''), chr(10) ORDER BY turn)) AS BIGINT) AS chars, CAST(len(list_filter(string_split_regex(string_agg(coalesce(text, ''), chr(10) ORDER BY turn), '\\s+'), lambda w: w <> '')) AS BIGINT) AS palabras FROM conversations GROUP BY conv_id")
+def _(t: Tables):
+    """Conversations as documents, their turns as pages."""
+    return readers.document_texts(t.conversations, "conv_id", "turn", "text")
+
+
+def _failing(image: dict) -> list:
+    if image["k"] % 3 == 0:
+        raise RuntimeError("no engine")
+    return [(image["texto"] + "!", 0.0, 0.0, 1.0, 1.0, 0.9)]
+
+
+def _fallback(image: dict) -> list:
+    if image["k"] % 6 == 0:
+        raise RuntimeError("no engine")
+    return [(line, 0.0, float(n), 1.0, n + 1.0, 0.5) for n, line in enumerate((image["texto"], "fin"))]
+
+
+ENGINES = {"primero": _failing, "segundo": _fallback}
+
+
+def _images(t: Tables):
+    """Turns of conversations as images that a made-up engine reads; some fail."""
+    return t.conversations.select(F.col("conv_id").alias("doc"), F.col("turn").alias("page"), (F.col("conv_id") * 7 + F.col("turn")).alias("k"), F.coalesce(F.left("text", F.lit(20)), F.lit("")).alias("texto"))
+
+
+READ = "images AS (SELECT CAST(conv_id AS VARCHAR) AS doc, CAST(turn AS INT) AS page, conv_id * 7 + turn AS k, coalesce(left(text, 20), '') AS t FROM conversations), read AS (SELECT doc, page, 0 AS line_no, CASE WHEN k % 3 <> 0 THEN t || '!' WHEN k % 6 <> 0 THEN t END AS texto, CASE WHEN k % 3 <> 0 THEN 0.9 WHEN k % 6 <> 0 THEN 0.5 ELSE 0.0 END AS confianza, CASE WHEN k % 3 <> 0 THEN 'primero' WHEN k % 6 <> 0 THEN 'segundo' END AS motor FROM images UNION ALL SELECT doc, page, 1, 'fin', 0.5, 'segundo' FROM images WHERE k % 3 = 0 AND k % 6 <> 0)"
+
+
+@query("SRC-7", f"WITH {READ} SELECT doc, page, CAST(line_no AS INT) AS line_no, texto, CAST(confianza AS DOUBLE) AS confianza, motor FROM read")
+def _(t: Tables):
+    return readers.ocr_lines(_images(t), ENGINES).select("doc", "page", "line_no", "texto", "confianza", "motor")
+
+
+@query("SRC-2", f"WITH {READ}, few AS (SELECT doc, page FROM (SELECT doc, page, row_number() OVER (PARTITION BY doc ORDER BY page) AS n FROM images) WHERE n <= 3) SELECT doc, coalesce(string_agg(texto, chr(10) ORDER BY page, line_no), '') AS texto, round(avg(CASE WHEN texto IS NOT NULL THEN CAST(confianza AS DOUBLE) END), 4) AS confianza, count(DISTINCT page) AS muestra FROM read JOIN few USING (doc, page) GROUP BY doc")
+def _(t: Tables):
+    """Each document's first pages; the sample is the operator's own rule."""
+    return readers.sampled_ocr(_images(t), ENGINES).select("doc", "texto", "confianza", "muestra")
+
+
+@query("SRC-14")
+def _(t: Tables):
+    """The tables' own files, in the order of their names."""
+    found = readers.scan_folder(t._spark, t._dir, "*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("archivo"), "bytes")
+    return found.orderBy("archivo")
+
+
+def _answer(prompt: str) -> str:
+    k = int(prompt)
+    if k % 4 == 0:
+        raise ConnectionError("refused")
+    return "no json" if k % 4 == 1 else f'{{"k": {k}}}'
+
+
+@query("SRC-18", "SELECT item_id AS id, CASE item_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'no json' ELSE '{\"k\": ' || item_id || '}' END AS answer, CASE item_id % 4 WHEN 0 THEN 'connection: refused' WHEN 1 THEN 'json corrupto' END AS error, CAST(CASE item_id % 4 WHEN 1 THEN 3 ELSE 1 END AS INT) AS tries FROM benchmark")
+def _(t: Tables):
+    """A made-up model: it refuses some prompts and answers others badly."""
+    asked = t.benchmark.select(F.col("item_id").alias("id"), F.col("item_id").cast("string").alias("prompt"))
+    return readers.model_answers(asked, _answer).select("id", "answer", "error", "tries")
+
+
+@query("SNK-1", "SELECT CAST(ts AS DATE) AS dia, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS suma FROM events GROUP BY 1")
+def _(t: Tables):
+    """The log, appended as JSON lines in two goes, and read back by day."""
+    folder, entries = readers.work_folder(t._spark, "log"), t.events.select("event_id", F.col("ts").alias("timestamp"), F.col("event_type").alias("operation"))
+    for half in (0, 1):
+        readers.append_log(entries.where(F.col("event_id") % 2 == half), folder)
+    back = readers.read_log(t._spark, folder, "event_id long, timestamp timestamp, operation string, date date")
+    return back.groupBy(F.col("date").alias("dia")).agg(F.count("*").alias("n"), F.sum("event_id").alias("suma"))

@@ -66,11 +66,11 @@ SQL["trace"] = """
            CAST(value AS DECIMAL(18,2)) AS duration_ms
     FROM {events}"""
 
-SQL["boxes"] = """
-    SELECT o_custkey AS page, o_orderkey AS line, concat('F001-', lpad(concat(o_orderkey), 6, '0')) AS texto,
+SQL["boxes"] = f"""
+    SELECT o_custkey AS page, o_orderkey AS line, CASE o_orderkey % 6 WHEN 0 THEN 'IMPORTE TOTAL 118.00' WHEN 1 THEN concat('R.U.C. ', {RUC}) WHEN 2 THEN '10.00 1.80 11.80' WHEN 3 THEN 'gracias' ELSE concat('F001-', lpad(concat(o_orderkey), 6, '0')) END AS texto,
            CAST((o_orderkey * 37) % 1000 AS INT) AS x0, CAST((o_orderkey * 91) % 1400 AS INT) AS y0, CAST((o_orderkey * 37) % 1000 + 20 + o_orderkey % 60 AS INT) AS x1,
            CAST((o_orderkey * 91) % 1400 + 12 AS INT) AS y1, CAST((20 + o_orderkey % 80) / 100.0 AS DECIMAL(4,2)) AS conf
-    FROM {orders}"""
+    FROM {{orders}}"""
 
 SQL["outcomes"] = """
     SELECT l.doc_id, CASE l.doc_id % 4 WHEN 0 THEN 'ruc' WHEN 1 THEN 'total' WHEN 2 THEN 'fecha' ELSE 'serie_numero' END AS campo,

@@ -6,10 +6,12 @@ batch to a pandas batch, given by the caller, run by mapInPandas.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -20,6 +22,16 @@ TRACE = "timestamp timestamp, trace_id string, level string, logger string, mess
 OCR_LINE = "doc string, page int, line_no int, texto string, x0 double, y0 double, x1 double, y1 double, confianza double, motor string"
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir; a temporary one only on a single machine."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="folioscope-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def scan_folder(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
     """Files of a folder in name order."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
@@ -36,22 +48,52 @@ def page_texts(files: DataFrame, parse: Callable[[pd.DataFrame], pd.DataFrame],
     return files.select("path", "content").mapInPandas(run, schema)
 
 
-def ocr_lines(images: DataFrame, engines: list[Callable[[pd.DataFrame], pd.DataFrame]]) -> DataFrame:
-    """Lines of images by the first engine that doesn't fail; engines take and give whole batches."""
+def document_texts(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:
+    """Each document's pages as one text, with its characters and words."""
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(page), F.coalesce(F.col(text), F.lit("")).alias("t")))), lambda p: p["t"]), "\n")
+    words = F.size(F.filter(F.split("texto", r"\s+"), lambda w: w != ""))
+    return pages.groupBy(doc).agg(whole.alias("texto"), F.count("*").alias("paginas")).select(doc, "paginas", "texto", F.length("texto").cast("long").alias("chars"), words.cast("long").alias("palabras"))
+
+
+Engine = Callable[[dict], list[tuple[str, float, float, float, float, float]]]
+
+
+def ocr_lines(images: DataFrame, engines: dict[str, Engine]) -> DataFrame:
+    """Lines of images (doc, page and what the engines need) by the first engine that doesn't fail.
+
+    An engine takes an image's row and gives (texto, x0, y0, x1, y1, confianza) tuples. An image that
+    none can read has one row, without a text and an engine.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [c.split()[0] for c in OCR_LINE.split(", ")]
         for batch in batches:
-            for k, engine in enumerate(engines):
-                try:
-                    yield engine(batch)
-                    break
-                except RuntimeError:
-                    if k == len(engines) - 1:
-                        raise
+            rows: list[tuple] = []
+            for image in batch.to_dict("records"):
+                here = (str(image["doc"]), int(image["page"]))
+                for name, engine in engines.items():
+                    try:
+                        rows += [(*here, n, *line, name) for n, line in enumerate(engine(image))]
+                        break
+                    except RuntimeError:
+                        continue
+                else:
+                    rows.append((*here, 0, None, None, None, None, None, 0.0, None))
+            yield pd.DataFrame(rows, columns=columns)
 
     return images.mapInPandas(run, OCR_LINE)
 
 
+def sampled_ocr(images: DataFrame, engines: dict[str, Engine], pages: int = 3, angle: str | None = None) -> DataFrame:
+    """Text, words and mean confidence of each document's first pages; angle: a column by which the engines turn an image first."""
+    place = F.row_number().over(Window.partitionBy("doc").orderBy("page"))
+    few = images.withColumn("place", place).where(F.col("place") <= pages).drop("place")
+    lines = ocr_lines(few if angle is None else few.withColumn("angulo", F.coalesce(F.col(angle), F.lit(0))), engines)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("texto").isNotNull(), F.struct("page", "line_no", "texto")))), lambda x: x["texto"]), "\n")
+    found = lines.groupBy("doc").agg(text.alias("texto"), F.round(F.avg(F.when(F.col("texto").isNotNull(), F.col("confianza"))), 4).alias("confianza"), F.count_distinct("page").alias("muestra"))
+    return found.withColumn("palabras", F.size(F.filter(F.split("texto", r"\s+"), lambda w: w != "")).cast("long"))
+
+
 def read_cases(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """Case files as JSON: unknown keys are dropped, missing ones are null, broken files are kept apart by _corrupt_record."""
     return spark.read.schema(schema).option("multiLine", "true").option("mode", "PERMISSIVE").json(path)

@@ -161,6 +161,77 @@ def test_blocks_of_text(spark):
     assert cut(False) == two and cut(True) == two | {(3, 0): "corto", (4, 0): ""}
 
 
+def test_recovery_and_visibility(spark):
+    texts = ["S/ 12.50 gracias", "RUC 20131370998 y 9.90", "uno\ndos 3.00\nPAGO", "uno 3.00", "CONSULTA RUC S/ 1.00", None]
+    assert values(spark, lambda x: rules.recoverable(x, F.lit(None).cast("string")), texts)[:5] == [True, True, True, False, False]
+    row = lambda x: F.struct(F.lit(None).cast("string").alias("serie_numero"), F.lit(None).cast("string").alias("ruc"), F.lit(None).cast("string").alias("monto_total"), F.lit(None).cast("string").alias("fecha"))
+    seen = values(spark, lambda x: rules.visibility(x, F.lit("pymupdf"), row(x)), ["F001-1234", "nada", "RUC: 12345678", "1/2/24"])
+    assert [tuple(v) for v in seen] == [(True, True), (False, False), (True, True), (True, True)]
+    assert values(spark, lambda x: rules.tags(x, row(x)), ["RUC 20131370998 S/ 1.00 F001-1234 F002-1234", "x"]) == ["RUC_VISIBLE_NO_EXTRAIDO | MONTO_VISIBLE_NO_EXTRAIDO | VARIAS_SERIES", ""]
+
+
+def test_canonical_hash(spark):
+    import hashlib
+
+    df = spark.createDataFrame([(1, None, "x")], "b int, a string, c string")
+    want = hashlib.sha256(b'{"a":null,"b":"1","c":"x"}').hexdigest()
+    assert [df.select(rules.canonical_hash(list(cols)).alias("h")).first().h for cols in ("abc", "cba")] == [want, want]
+
+
+def test_pages_of_offsets(spark):
+    pages = spark.createDataFrame([("d", 1, 10), ("d", 2, 5), ("d", 3, 5), ("e", 1, 4)], "doc string, page int, length int")
+    asked = spark.createDataFrame([("d", 0), ("d", 10), ("d", 11), ("d", 15), ("d", 99), ("e", 4), ("f", 1)], "doc string, offset int")
+    got = {(r.doc, r.offset): r.page for r in segment.page_of_offset(pages, asked).collect()}
+    assert got == {("d", 0): 1, ("d", 10): 1, ("d", 11): 2, ("d", 15): 2, ("d", 99): 3, ("e", 4): 1}
+
+
+def test_region_scores(spark):
+    texts = ["F001-00123", "F001-00123\nRUC 20131370998\n1.00 2.00\n3.00", "IMPORTE TOTAL", "1.00 2.00", "1.00 2.00 3.00", "gracias"]
+    assert values(spark, lambda x: segment.region_score(x, S.normal_key(x)), texts) == [2, 5, 1, 1, 2, 0]
+
+
+def test_model_verdicts_take_all_amounts(spark):
+    rows = [(1, 10.0, 10.0, 1.0, 15.0, 10, 2.0, 1.0, 3.0, None, "2024-01-01", "2024-01-03", 2), (2, 10.0, 10.0, 1.8, 11.8, None, None, None, None, None, None, "2024-01-03", 2), (3, 9.0, 10.0, 1.8, 12.0, 18, None, None, None, None, "2024-01-01", "2024-01-03", 3)]
+    df = spark.createDataFrame(rows, "voucher int, items double, subtotal double, igv double, total double, tasa int, otros double, descuentos double, exonerado double, inafecto double, entrada string, salida string, noches int")
+    df = df.select("voucher", "noches", *[F.col(c).cast("decimal(18,2)").alias(c) for c in ("items", "subtotal", "igv", "total", "otros", "descuentos", "exonerado", "inafecto")], F.col("tasa").cast("decimal(6,2)").alias("tasa"), *[F.col(c).cast("date").alias(c) for c in ("entrada", "salida")])
+    got = {r.voucher: tuple(r)[1:] for r in validate.model_verdicts(df).collect()}
+    assert got == {1: (True, True, True, True), 2: (True, True, True, None), 3: (False, True, False, False)}
+
+
+def test_ocr_falls_back_image_by_image(spark):
+    def first(image):
+        if image["page"] != 2:
+            raise RuntimeError("x")
+        return [("a", 0.0, 0.0, 1.0, 1.0, 0.9), ("b", 0.0, 1.0, 1.0, 2.0, 0.8)]
+
+    def second(image):
+        if image["page"] == 3:
+            raise RuntimeError("y")
+        return [("c d", 0.0, 0.0, 1.0, 1.0, 0.4)]
+
+    df = spark.createDataFrame([("d", 1), ("d", 2), ("d", 3), ("d", 4)], "doc string, page int")
+    got = sorted(((r.page, r.line_no, r.texto, r.motor) for r in readers.ocr_lines(df, {"uno": first, "dos": second}).collect()), key=str)
+    assert got == [(1, 0, "c d", "dos"), (2, 0, "a", "uno"), (2, 1, "b", "uno"), (3, 0, None, None), (4, 0, "c d", "dos")]
+    r = readers.sampled_ocr(df, {"uno": first, "dos": second}).first()
+    assert (r.texto, r.confianza, r.muestra, r.palabras) == ("c d\na\nb", 0.7, 3, 4)
+
+
+def test_copies_and_traces(spark):
+    files = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b")], "file int, content string")
+    copies = spark.createDataFrame([(1, "a"), (3, "b")], "file int, content string")
+    got = {r.file: r.estado for r in custody.with_copies(custody.ingest(files), copies).collect()}
+    assert got == {1: "INGRESADO", 2: "COPIA_ALTERADA", 3: "DUPLICADO"}
+    log = spark.createDataFrame([("t", 1, 1, "INFO"), ("t", 2, 2, "ERROR"), ("t", 3, 3, "INFO"), ("u", 4, 1, "INFO")], "trace_id string, entry int, moment int, level string")
+    assert {r.entry: (r.fase, r.cierre) for r in custody.lifecycle(log).collect()} == {1: ("INICIO", None), 2: ("ACTIVA", None), 3: ("FIN", "ERROR"), 4: ("INICIO", "OK")}
+
+
+def test_profiles_differ_in_the_router_only(spark):
+    got = {(r.perfil, r.grupo, r.clave): float(r.umbral) for r in resolve.profiles(spark).collect()}
+    assert len(got) == 54 and got["conservador", "router", "max_campos_abstencion_critical_pct"] == 0.40
+    assert got["permisivo", "router", "completitud_problemas_critical"] == 5 and got["balanceado", "router", "min_campos_por_comprobante"] == 3
+    assert {got[p, "abstencion", "ruc"] for p in P.ROUTER_PROFILES} == {0.90} and got["permisivo", "abstencion", "default"] == 0.75
+
+
 def test_withholding_hits(spark):
     text = "Sujeto a Detracción. cuenta de detracciones 00-123-456789-012; cuenta de detracciones. Cuenta BN 1"
     got = values(spark, hits.spot_hits, [text, "nada", None])
