@@ -19,17 +19,22 @@ def _inverse(a: int) -> int:
 
 
 class Powers:
-    """base**i and base**-i modulo 2**64, extended on demand."""
+    """base**i and base**-i modulo 2**64, kept as far as blocks of short texts need them; longer ones are made anew."""
 
     def __init__(self) -> None:
         self.up = self.down = np.ones(1, np.uint64)
 
+    @staticmethod
+    def _made(n: int) -> tuple[np.ndarray, np.ndarray]:
+        up, down = np.full(n, BASE), np.full(n, np.uint64(_inverse(int(BASE))))
+        up[0] = down[0] = 1
+        return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > BLOCK_BYTES + 1:
+            return self._made(n)
         if len(self.up) < n:
-            n = max(n, BLOCK_BYTES + 1)
-            up, down = np.full(n, BASE), np.full(n, np.uint64(_inverse(int(BASE))))
-            up[0] = down[0] = 1
-            self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+            self.up, self.down = self._made(BLOCK_BYTES + 1)
         return self.up[:n], self.down[:n]
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import lattice
 from .pieces import model_path, text_blocks
-from .store import materialize, scratch, trim, tune, unused
+from .store import claim, materialize, scratch, trim, tune, unused
 
 #: Documents learned from for each language, at most: those whose ids and texts hash lowest.
 SAMPLE = 250
@@ -226,6 +226,7 @@ def identify(documents: DataFrame, model: Model, text: str = "text", lang: str =
 
     @F.pandas_udf("struct<lang:string,score:double>")
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        claim("languages", model._forget)
         for batch in batches:
             names, scores = model.predict(batch.tolist())
             yield pd.DataFrame({"lang": pd.Series(names, dtype=object), "score": pd.Series(scores, dtype="float64")})

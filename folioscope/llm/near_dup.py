@@ -43,7 +43,7 @@ from pyspark.sql.types import LongType
 
 from . import bytes_np
 from .graph import components, joined
-from .store import FileStore, integer_key, materialize, release, scratch, trim, tune
+from .store import FileStore, claim, integer_key, materialize, release, scratch, trim, tune
 
 BANDS, ROWS, SEED = 48, 6, 20240229
 UNIVERSE = 1 << 22
@@ -93,6 +93,7 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
 
 def _sign(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("signatures", _tables.clear)
         for batch in batches:
             ids, n, prints, keys = batch["id"].tolist(), [], [], []
             for s in bytes_np.shingles(batch["text"].tolist(), width):

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lattice
-from .store import trim, tune, unused
+from .store import claim, trim, tune, unused
 
 #: A line feed; spaces with the word after them; a word without a space before it.
 WORDS = re.compile(r"\n| +[^ \n]*|[^ \n]+")
@@ -46,8 +46,8 @@ HIDDEN = "\U0010ffff"
 N_BEST = 4
 #: Distinct words remembered by a worker.
 CACHE = 1 << 18
-#: Ids remembered by a worker, and characters of a word that isn't solved together with others.
-CACHE_IDS, LONG = 1 << 23, 1024
+#: Ids and searched words remembered by a worker, and characters of a word that isn't solved together with others.
+CACHE_IDS, CACHE_LISTED, LONG = 1 << 22, 1 << 13, 1024
 BLOCK_CHARS = 1 << 18
 
 
@@ -198,6 +198,8 @@ class Encoder:
         """How far the word's n best segmentations are behind its best, and their ids, all of which decode to the word."""
         if (word, n) not in self.listed:
             found = a_star(self.vocab, word, n)
+            if len(self.listed) > CACHE_LISTED:
+                self.listed.clear()
             best, raw = self.ids(np.array([self.slot[word]])), word.encode("utf-8", "surrogatepass")
             others = [(max(0.0, found[0][0] - s), np.array(ids, np.int32)) for s, ids in found if ids != best.tolist()]
             self.listed[word, n] = [(0.0, best), *others[: n - 1]]  # of those that score the same, that of best_paths comes first
@@ -238,13 +240,13 @@ class Encoder:
         top = float(self.best[slots].sum())
         return [top - s for s, _ in self.nearest(words, slots, n)]
 
-    def rows(self, texts: list[str], n: int, with_ids: bool) -> Iterator[tuple]:
-        """For each text n_pieces, ids_crc32, n_best_scores, n_best_pieces, n_best_crc32, round_trip and, if asked for, ids and n_best_ids."""
+    def rows(self, texts: list[str], n: int, with_ids: bool) -> Iterator[list[tuple]]:
+        """Some texts at a time; for each n_pieces, ids_crc32, n_best_scores, n_best_pieces, n_best_crc32, round_trip and, if asked for, ids and n_best_ids."""
         for some in text_blocks(texts):
             words, flat, at = self.slots(some)
             sizes, all_ids = self.size[flat], self.ids(flat)
             ends = np.concatenate(([0], np.cumsum(sizes)))
-            raw, place = self._bytes(all_ids), 0
+            raw, place, out = self._bytes(all_ids), 0, []
             for k, t in enumerate(some):
                 a, b = int(at[k]), int(at[k + 1])
                 best, own_ends, own = all_ids[ends[a] : ends[b]], ends[a + 1 : b + 1] - ends[a], b" " + t.encode("utf-8", "surrogatepass")
@@ -262,7 +264,8 @@ class Encoder:
                     if with_ids:
                         lists.append(np.concatenate(parts))
                 row = (counts[0], sums[0], scores, counts, sums, same)
-                yield (*row, best, lists) if with_ids else row
+                out.append((*row, best, lists) if with_ids else row)
+            yield out
 
     def _bytes(self, ids: np.ndarray) -> bytes:
         v = self.vocab
@@ -311,9 +314,11 @@ def encode_documents(documents: DataFrame, model: str | None = None, text: str =
 
     @F.pandas_udf(f"struct<{kind.replace(' ', ':').replace(',:', ',')}>")
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        claim("pieces", _encoders.clear)
         own = encoder(path)
         for batch in batches:
-            yield pd.DataFrame(own.rows([t or "" for t in batch.tolist()], n, with_ids), columns=names)
+            for rows in own.rows([t or "" for t in batch.tolist()], n, with_ids):
+                yield pd.DataFrame(rows, columns=names)
             trim()
 
     name = unused(documents, "encoded")

@@ -11,6 +11,7 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +36,19 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def claim(name: str, forget: Callable[[], None]) -> None:
+    """In a worker: this operator works now, so what others remember goes. Workers outlive the stages that they serve."""
+    others = [k for k in _held if k != name]
+    for k in others:
+        _held.pop(k)()
+    _held[name] = forget
+    if others:
+        trim()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -42,7 +42,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import integer_key, materialize, scratch, trim, tune
+from .store import claim, integer_key, materialize, scratch, trim, tune
 
 MAGIC, BLOCK, NO_ID = b"FSTK0001", 4096, -(2**63)
 FOOTER = struct.Struct("<4Q8s")
@@ -358,6 +358,7 @@ def write_tokens(documents: DataFrame, tokenizer: str, folder: str, key: str = "
             yield pa.Table.from_batches(held).combine_chunks()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("tokens", _encoders.clear)
         own, writer, uri, part = encoder(tokenizer), None, "", 0
         for rows in joined(batches):
             if writer is None:
