@@ -4,12 +4,13 @@ import hashlib
 import itertools
 import os
 import random
+import time
 import zlib
 
 import numpy as np
 import pytest
 
-from folioscope.llm import html_extract, langid, lattice, media_avi, pieces, quality, token_store
+from folioscope.llm import html_extract, langid, lattice, media_avi, near_dup, pieces, quality, token_store
 
 TEXTS = [None, "", " ", "\n", "a", "Hello  world\n\n é 😀 ▁x", "日本 語\t" * 7, "x" * 5000, "tail \n", "\u0000\u0001", "ﬁ ß İ", "Hello  world\n\n é 😀 ▁x"]
 
@@ -88,6 +89,52 @@ def test_what_is_set_apart_is_read_where_nothing_else_is():
     assert html_extract.main_text(page(f"<p>Lead <span class=comment>{MUCH}</span></p>")) == f"Lead {MUCH}"
 
 
+NEUTRAL = [
+    f"<div class=c1><a href=/>One</a> <a href=/>Two</a></div><div class=c2><h1>T</h1><p>{MUCH}</p><p>Short.</p><p>{MUCH}</p></div><div class=c3><p>Buy now, it is cheap.</p></div>" + "<div class=c4><div class=c5><p>Nice read, thanks!</p></div></div>" * 5,
+    f"<div class=x1>Sale ends today</div><div class=x2><div class=x3><h2>T</h2><p>{MUCH}</p></div><div class=x3><p>Short.</p><p>{MUCH}</p></div></div><ul class=x4><li>First<li>Second<li>Third</ul><div class=x5>Call us</div>",
+    f"<table><tr><td class=k1><a href=/>Home</a><br><a href=/>News</a></td></tr></table><h1>T</h1><p>{MUCH}</p><div class=k2><p>Short.</p></div><p>{MUCH}</p><div class=k3>All rights</div>",
+]
+
+
+@pytest.mark.parametrize("body", NEUTRAL)
+def test_path_ratios_select_the_content(body, monkeypatch):
+    """Noise with names that say nothing; with constant scores it comes along."""
+    assert html_extract.main_text(page(body)) == f"T\n{MUCH}\nShort.\n{MUCH}"
+    monkeypatch.setattr(html_extract, "path_scores", lambda blocks: np.ones(len(blocks)))
+    assert html_extract.main_text(page(body)) != f"T\n{MUCH}\nShort.\n{MUCH}"
+
+
+def test_path_scores_are_those_of_the_definition():
+    blocks = [html_extract.Block(0, p, text=t, linked=n, weight=w) for p, t, n, w in ((1, "ab.", 0, 1.0), (2, "abcd", 2, 0.5), (1, "a,b,c", 0, 1.0), (3, "abcdef", 0, 1.5))]
+    fused = {1: np.log1p(4) * (1 + min(2, 20 * 3 / 8)), 2: np.log1p(4) * 0.5, 3: np.log1p(6)}
+    raw = [fused[b.path] for b in blocks]
+    for k, got in enumerate(html_extract.path_scores(blocks)):
+        near = [(html_extract.KERNEL[2 + j - k], raw[j]) for j in range(4) if abs(j - k) <= 2]
+        assert np.isclose(got, sum(a * b for a, b in near) / sum(a for a, _ in near) * blocks[k].weight)
+
+
+@pytest.mark.parametrize("tag", ["title-bar", "select-x", "object-y", "canvas-wrap", "style-guide", "script-font", "svg-icon"])
+def test_custom_elements_are_not_raw(tag):
+    assert html_extract.main_text(f"<body><{tag}>Head</{tag}><article><h1>T</h1><p>{MUCH}</p></article>") == f"T\n{MUCH}"
+    assert html_extract.main_text(f"<body><article><{tag}><h1>T</h1><p>{MUCH}</p></{tag}></article>") == f"T\n{MUCH}"
+    name = tag.split("-")[0]
+    if name not in ("style", "script"):  # those run to the end of the page
+        assert MUCH in html_extract.main_text(f"<body><div><{name}>x</div><article><p>{MUCH}</p></article>")
+
+
+def test_an_article_paragraph_in_a_named_element_stays():
+    got = html_extract.main_text(page(f"<article><h1>T</h1><p>{MUCH}</p><div class='related social'><p>{MUCH}</p></div><p>{MUCH}</p><div class=share>Share this</div></article>"))
+    assert got == f"T\n{MUCH}\n{MUCH}\n{MUCH}"
+
+
+def test_large_and_deep_pages_take_linear_time():
+    for make in (lambda n: "<div class=x>a, b" * n, lambda n: "<b>" * n + "<p>x</p>" * n, lambda n: '<a title="x' * n, lambda n: "<title>" * n, lambda n: "<b><div>" * n + "</b>" * n, lambda n: "<!--" * n, lambda n: "<li>" * n + "x", lambda n: f"<p>{'x ' * 10 * n}</p>"):
+        began = time.perf_counter()
+        html_extract.main_text("<html><body>" + make(100_000))
+        assert time.perf_counter() - began < 10
+    assert html_extract.main_text("<div>" * 100_000 + LONG) == LONG
+
+
 def test_pages_that_end_anywhere():
     whole = page(f"<nav>x</nav><article><h1>T</h1><p>{LONG}</p><p title=\"a>b\">{LONG} &am</p></article>")
     for n in range(0, len(whole), 7):
@@ -97,6 +144,9 @@ def test_pages_that_end_anywhere():
 def test_extract_pages(spark):
     df = spark.createDataFrame([(1, "u", f"<p>{LONG}</p>", "old"), (2, None, None, "old")], "page_id long, url string, html string, text string")
     assert sorted(tuple(r) for r in html_extract.extract_pages(df).select("page_id", "text", "n_chars").collect()) == [(1, LONG, len(LONG)), (2, "", 0)]
+    assert html_extract.extract_pages(df.limit(0)).collect() == []
+    twice = html_extract.extract_pages(df.unionByName(df).withColumn("n_chars", df.page_id)).collect()
+    assert len(twice) == 4 and len(set(twice)) == 2
 
 
 # -- quality ----------------------------------------------------------------
@@ -118,6 +168,57 @@ def test_quality_learns_and_scores_held_out_texts(spark):
     held = [i for i in range(3, 240, 2)]
     assert np.mean([(scored[i] >= 0.5) == (i % 3 == 0) for i in held]) > 0.95
     assert quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int")).scores(["a", None]).tolist() == [0.5, 0.5]
+    assert quality.fit(docs.limit(0), docs.selectExpr("doc_id", "1 as quality")).scores(["a"]).tolist() == [0.5]
+    odd = docs.selectExpr("doc_id", "text", "'z' as id", "1 as label", "2 as h", "3 as other")
+    again = quality.fit(odd.unionByName(odd.selectExpr("doc_id", "concat(text, ' z') as text", "id", "label", "h", "other")), spark.createDataFrame(labels, "doc_id long, quality int, text int"), usable=quality.F.col("doc_id") % 2 == 0)
+    assert (again.weight == model.weight).all()  # a repeated id: the least of its texts; names that clash
+
+
+def test_features_are_those_of_plain_python():
+    texts = ["ab cab ab", "a", "", "é ab", "ab ab"]
+    found = [sorted(f.tolist()) for f in quality.features(texts)]
+    words = {w: next(iter(quality.features([w])))[0] for w in ("ab", "cab", "a", "é")}
+    for text, feats in zip(texts, found, strict=True):
+        w = text.split()
+        grams = sum(max(0, len(f" {x} ".encode()) - n + 1) for x in w for n in quality.GRAMS)
+        assert len(feats) == len(w) + 2 * max(0, len(w) - 1) + grams
+        assert feats.count(quality.SAME) == sum(x == y for x, y in itertools.pairwise(w))
+        assert all(feats.count(words[x]) >= w.count(x) for x in w)
+    assert list(map(sorted, quality.features(["ab cab", "ab cab"])))[0] == list(map(sorted, quality.features(["cab ab", "ab cab"])))[1]
+
+
+def test_training_is_that_of_plain_sgd():
+    """The learned numbers, recomputed feature by feature."""
+    rng = random.Random(8)
+    texts, labels = [noisy(rng, k % 2) for k in range(12)], [1 - k % 2 for k in range(12)]
+    model = quality.train(texts, labels, epochs=2)
+    order = np.random.default_rng(quality.SEED)
+    start = (order.random((quality.BUCKETS, quality.DIM), np.float32) - 0.5) / quality.DIM
+    vector = {}
+    layer, bias = [[0.0, 0.0] for _ in range(quality.DIM)], [0.0, 0.0]
+    bags = [f.tolist() for f in quality.features(texts)]
+    for epoch in range(2):
+        step = quality.RATE * (1 - epoch / 2)
+        for k in order.permutation(12):
+            share = {f: bags[k].count(f) / len(bags[k]) for f in set(bags[k])}
+            for f in share:
+                vector.setdefault(f, [float(x) for x in start[f]])
+            hidden = [sum(share[f] * vector[f][d] for f in share) for d in range(quality.DIM)]
+            z = [sum(hidden[d] * layer[d][c] for d in range(quality.DIM)) + bias[c] for c in (0, 1)]
+            p = [np.exp(x - max(z)) for x in z]
+            p = [x / sum(p) for x in p]
+            p[labels[k]] -= 1
+            back = [sum(layer[d][c] * p[c] for c in (0, 1)) for d in range(quality.DIM)]
+            for c in (0, 1):
+                for d in range(quality.DIM):
+                    layer[d][c] -= step * hidden[d] * p[c]
+                bias[c] -= 0.05 * step * p[c]
+            for f in share:
+                for d in range(quality.DIM):
+                    vector[f][d] -= step * min(len(share), 200) * share[f] * back[d]
+    for f in vector:
+        assert abs(model.weight[f] - sum(vector[f][d] * (layer[d][1] - layer[d][0]) for d in range(quality.DIM))) < 1e-3
+    assert abs(model.bias - (bias[1] - bias[0])) < 1e-4
 
 
 def test_score_is_the_mean_over_features():
@@ -153,8 +254,57 @@ def test_tokens_round_trip(spark):
     assert token_store.token_table(table(spark).limit(0), tokenizer_path()).collect() == []
 
 
-@pytest.mark.parametrize("bits", [1, 7, 13, 16, 17, 32])
+#: Letters, marks and signs that the tokenizer normalises, cuts or takes for tokens of its own.
+ODD = ["a", "B", "é", "É", "ß", "×", "÷", "Þ", "ÿ", "'", "'s", "'S", "’", "\u0301", "\u030c", "J", "I", "İ", "Σ", "ς", "ﬁ", "日", "1", "²", "½", ".", ",", "!", "*", "|", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", " ", "  ", "\n", "\t", "\r", "\xa0", "\u3000", "\x85", "😀", "\0", "ª", "º", "µ", "Ā", "A\u030a", "K", "n't", "'ll", "-", "_", "#", "$", "%", "&", "\u200b", "q", "Z"]
+
+
+def test_ids_are_those_of_the_library(monkeypatch):
+    import pyarrow as pa
+
+    own, whole, rng = token_store.WordEncoder(tokenizer_path()), token_store.TextEncoder(tokenizer_path()), random.Random(5)
+    monkeypatch.setattr(token_store, "CACHE", 3000)  # words are forgotten on the way
+    texts = ["".join(rng.choices(ODD, k=rng.randrange(0, 14))) for _ in range(20_000)] + TEXTS[1:] + ["ab " * 400_000]
+    for at in range(0, len(texts), 700):
+        block = pa.array(["left out", *texts[at : at + 700]], pa.string()).slice(1)
+        for got, want in zip(own.encode(block, 2), whole.encode(block, 2), strict=True):
+            assert got.tolist() == want.tolist()
+    assert own.words <= 3000 + 700 * 14
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    import json
+
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    assert token_store.WordEncoder.fits(tokenizer_path())
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    assert not token_store.WordEncoder.fits(other) and type(token_store.encoder(other)) is token_store.TextEncoder
+    made = json.loads(open(tokenizer_path(), encoding="utf-8").read())
+    made["normalizer"]["normalizers"].pop()  # without lower-casing
+    (tmp_path / "cased.json").write_text(json.dumps(made))
+    for path in (other, str(tmp_path / "cased.json")):
+        library = Tokenizer.from_file(path)
+        sizes, ids = token_store.encoder(path).encode(pa.array(["Hello, World's", "", "É é"]), 2)
+        want = [[*library.encode(t, add_special_tokens=False).ids, 2] for t in ("Hello, World's", "", "É é")]
+        assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+
+
+def test_ids_must_be_integers(spark):
+    df = spark.createDataFrame([("a", "x")], "doc_id string, text string")
+    for refuse in (lambda: token_store.token_table(df, tokenizer_path()), lambda: near_dup.near_duplicates(df)):
+        with pytest.raises(TypeError):
+            refuse()
+
+
+@pytest.mark.parametrize("bits", [1, 3, 7, 8, 13, 16, 17, 25, 32])
 def test_packing(bits):
+    for n in (0, 1, 7, 8, 9):
+        few = np.random.default_rng(n).integers(0, 2**bits, n).astype(np.uint32)
+        data = token_store.pack(few, bits)
+        assert len(data) == -(-n * bits // 8) and int.from_bytes(data, "little") == sum(int(v) << k * bits for k, v in enumerate(few))
+        assert token_store.unpack(data, bits, n).tolist() == few.tolist()
     ids = np.random.default_rng(bits).integers(0, 2**bits, 1001).astype(np.uint32)
     assert (token_store.unpack(token_store.pack(ids, bits), bits, len(ids)) == ids).all()
 
@@ -207,6 +357,28 @@ def test_n_best_is_that_of_all_segmentations():
         assert np.allclose(own.n_best(words[0], slots, 4), sums[:4])
 
 
+def test_long_words_are_searched_in_proportion(monkeypatch):
+    own = pieces.Encoder(pieces.model_path())
+    for word, most in ((" " * 10_000, 4), (" " + "ab" * 5000, 4), (" " + "日" * 3000, 1)):
+        began = time.perf_counter()
+        found = pieces.a_star(own.vocab, word, 4)
+        assert time.perf_counter() - began < 1 and len({tuple(ids) for _, ids in found}) == most
+        assert all(own.decode(np.array(ids)) == word.encode()[1:] for _, ids in found)
+        assert [s for s, _ in found] == sorted((s for s, _ in found), reverse=True)
+    texts = [" " * 12, "ab" * 9, "x" * 14, "\n" * 3 + "日本語" * 4]
+    short = []
+    for t in texts:
+        words, slots, _ = own.slots([t])
+        short.append([(s, len(i)) for s, i in own.segmentations(words[0], slots, 5)])
+        assert np.allclose([s for s, _ in pieces.a_star(own.vocab, t, 5)], every_segmentation(own.vocab, t)[:5])
+    monkeypatch.setattr(pieces, "LONG", 3)
+    again = pieces.Encoder(pieces.model_path())
+    for t, want in zip(texts, short, strict=True):
+        words, slots, _ = again.slots([t])
+        found = again.segmentations(words[0], slots, 5)
+        assert np.allclose([s for s, _ in found], [s for s, _ in want]) and all(again.decode(i) == t.encode() for _, i in found)
+
+
 def test_n_best_ids_are_those_of_the_best_segmentations(spark):
     texts = [*[t for t in TEXTS if len(t or "") < 1000], "the cat", "ab\ncd", "Größe hello hello", "日本x the"]
     own = pieces.Encoder(pieces.model_path())
@@ -270,10 +442,40 @@ def test_languages(spark):
     assert all(r.lang_pred == r.lang and 0.5 < r.score <= 1 for r in got if r.doc_id < 80)
     assert [(r.lang_pred, r.score) for r in got if r.doc_id in (90, 91)] == [("und", 0.0)] * 2
     assert [r.lang_pred for r in got if r.doc_id == 92] == ["xx", "xx"]
+    odd = docs.selectExpr("doc_id", "text", "lang", "7 as h", "8 as n", "'u' as p")
+    again = langid.fit(odd.unionByName(odd), usable=langid.F.col("doc_id") % 5 != 0)  # repeated rows are learned from once
+    assert again.languages == model.languages and np.allclose(again.p, model.p, rtol=0.5)
     empty = langid.fit(docs.limit(0))
     assert {r.lang_pred for r in langid.identify(docs, empty).collect()} == {"und"}
 
 
+def test_long_words_and_many_languages(monkeypatch):
+    rng = random.Random(6)
+    names = [f"l{k:03d}" for k in range(70)]  # more than are scored at once
+    model = langid.train({n: [" ".join("".join(rng.choices("abcdefgh"[k % 5 :], k=5)) for _ in range(20))] for k, n in enumerate(names)}, pieces.model_path())
+    assert model.languages == names and np.allclose(model.p.sum(axis=0), 1)
+    word = "".join(rng.choices("abcdefgh", k=150))
+    short = model.log_words([word, "ab"])
+    monkeypatch.setattr(langid, "REACH", 7)
+    assert np.allclose(model.log_long(word), short[0])
+    monkeypatch.setattr(langid, "LONG", 10)
+    assert np.allclose(model.log_words([word, "ab"]), short)
+    huge = "".join(rng.choices("abcdefgh", k=20_000))
+    assert np.isfinite(model.log_long(huge)).all()
+    assert langid.words_of(huge + "1" + word) == [huge, word]
+    whole = langid.train({"aa": ["x " + "q" * 1000, None]}, pieces.model_path())
+    assert whole.predict(["x", "q" * 1000, None, "1"]) == (["aa", "aa", "und", "und"], [1.0, 1.0, 0.0, 0.0])
+
+
+def test_sample_is_bounded_for_each_language(spark):
+    rows = [(k, f"t{k}", "aa") for k in range(900)] + [(None, "same", "bb")] * 500 + [(None, f"n{k}", "bb") for k in range(300)] + [(k, f"r{k}", "cc") for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.sampled(docs, "doc_id", "text", "lang", langid.F.lit(True), 50).groupBy("lang").count().collect()
+    got = dict(map(tuple, got))
+    assert (got["aa"], got["cc"]) == (50, 5) and 20 < got["bb"] <= 50  # where rows repeat, fewer are below the bound
+    assert langid.sampled(docs.where("lang = 'cc'"), "doc_id", "text", "lang", langid.F.lit(True), 50).count() == 5
+
+
 # -- media --------------------------------------------------------------------
 
 
@@ -286,7 +488,28 @@ def test_media_round_trip(spark):
         r = got[i if i != 4 else None]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
         assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        # What is stored is AVI by the letter of RIFF, and each frame decodes bit by bit to the payload.
+        at, chunks = media.index(b"movi") + 4, []
+        while media[at : at + 4] == b"00dc":
+            size = int.from_bytes(media[at + 4 : at + 8], "little")
+            chunks.append(media[at + 8 : at + 8 + size])
+            at += 8 + size + size % 2
+        assert media[at : at + 4] == b"idx1" and len(media) == 8 + int.from_bytes(media[4:8], "little")
+        slow = np.concatenate([media_avi.decode_frame(f).ravel() for f in chunks[:9]])
+        assert bytes(int(v) if v > 0 else int(v) + 255 for v in slow) == payload[: len(slow)]
     assert got[5].feature == got[11].feature
+    assert media_avi.media_digests(table(spark).limit(0)).collect() == []
+
+
+def test_long_payloads_are_read_in_steps(monkeypatch):
+    rng = np.random.default_rng(3)
+    payload = np.concatenate([rng.integers(lo, lo + 40, 576 * 40, dtype=np.uint8) for lo in (0, 128, 32, 215)]).tobytes()
+    assert media_avi.cuts(payload) == [40, 80, 120]
+    payload = payload[: 576 * 130] + b"a\xff" * 288 + payload[576 * 130 :]  # a frame with units 255
+    media, found = media_avi.write_avi(media_avi.encode_frames(payload)), media_avi.cuts(payload)
+    monkeypatch.setattr(media_avi, "STEP", 7)
+    assert media_avi.write_avi(media_avi.encode_frames(payload)) == media and b"".join(media_avi.payload_steps(media)) == payload
+    assert [c[1] for c in media_avi.clips_of(media)] == [0, *found]
 
 
 def test_frames_decode_like_any_baseline_frame():
@@ -294,7 +517,7 @@ def test_frames_decode_like_any_baseline_frame():
     frames = list(media_avi.encode_frames(payload))
     slow = np.concatenate([media_avi.decode_frame(f).ravel() for f in frames])
     assert bytes(int(v) if v > 0 else int(v) + 255 for v in slow) == payload == media_avi.decode_frames(frames)
-    odd = [frames[0].replace(media_avi._segment(0xC4, b"\0" + media_avi.ZERO_CODE), media_avi._segment(0xC4, b"\0\x01\x01" + b"\0" * 14 + b"\x08\x07"))]
+    odd = [frames[0].replace(media_avi._segment(0xC4, b"\0" + media_avi.ZERO_CODE), media_avi._segment(0xC4, b"\0" + b"\0" * 7 + b"\x02" + b"\0" * 8 + b"\x08\x07"))]
     assert media_avi.decode_frames(odd) == payload[:576]
 
 
