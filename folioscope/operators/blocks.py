@@ -150,12 +150,15 @@ def supplier(text: Column, ruc: Column) -> Column:
         return first_some(F.transform(F.slice(every, 1, 45), of_line))
 
     def labelled_name(every: Column) -> Column:
-        def of_line(line: Column, i: Column) -> Column:
-            value, after = F.trim(S.extract(line, P.NAME_LABEL + r"\s*:\s*(.+)$", 2)), F.get(every, i + 1)
+        def here(value: Column) -> Column:
             plain = (F.length(value) > 3) & ~_found(value, P.STREET, P.NUMBERS_APART)
-            here = F.when(value.isNotNull() & ~F.rlike(value, F.lit(r"^\d{11}$")) & (is_supplier_name(value) | plain), value)
+            return F.when(value.isNotNull() & ~F.rlike(value, F.lit(r"^\d{11}$")) & (is_supplier_name(value) | plain), value)
+
+        def of_line(line: Column, i: Column) -> Column:
+            after = F.get(every, i + 1)
+            value = S.let(F.trim(S.extract(line, P.NAME_LABEL + r"\s*:\s*(.+)$", 2)), here)
             below = F.when(S.matches(line, P.NAME_LABEL + r"\s*:?\s*$") & (F.length(after) > 2) & ~F.startswith(F.upper(after), F.lit("RUC")) & ~S.matches(after, P.P2_SERIES) & is_supplier_name(after), after)
-            return F.substring(F.coalesce(here, below), 1, 300)
+            return F.when(S.matches(line, P.NAME_LABEL), F.substring(F.coalesce(value, below), 1, 300))
 
         return first_some(F.transform(F.slice(every, 1, 45), of_line))
 
@@ -192,11 +195,11 @@ def middle_lines(text: Column) -> Column:
     return S.let(F.split(text, r"\r?\n"), cut)
 
 
-def expense(text: Column, classed: Callable[[Column], Column]) -> Column:
+def expense_of(items: Column, text: Column, classed: Callable[[Column], Column]) -> Column:
     """struct(tipo_gasto, alcohol), from the items; without items the type is that of the text's middle. classed: of a text."""
+    kind = S.let(F.coalesce(items, middle_lines(text)), classed)
+    return F.struct(kind.alias("tipo_gasto"), (items.isNotNull() & S.matches(items, P.P2_ALCOHOL)).alias("alcohol"))
 
-    def of_items(items: Column) -> Column:
-        kind = S.let(F.coalesce(items, middle_lines(text)), classed)
-        return F.struct(kind.alias("tipo_gasto"), (items.isNotNull() & S.matches(items, P.P2_ALCOHOL)).alias("alcohol"))
 
-    return S.let(item_block(text).items, of_items)
+def expense(text: Column, classed: Callable[[Column], Column]) -> Column:
+    return S.let(item_block(text).items, lambda items: expense_of(items, text, classed))

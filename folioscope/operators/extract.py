@@ -97,7 +97,8 @@ def inferred_currency(text: Column) -> Column:
 def block_row(text: Column, source: Column, date: Column) -> Column:
     """All that the block extractor takes from a block, with its state and confidence. date: its issue_date."""
 
-    def fields_of(ruc: Column) -> Column:
+    def fields_of(known: Column) -> Column:
+        ruc, detail = known.ruc, known.detail
         return F.struct(
             ruc.alias("ruc"),
             C.series_number(text).alias("serie_numero"),
@@ -106,18 +107,18 @@ def block_row(text: Column, source: Column, date: Column) -> Column:
             inferred_type(text).alias("tipo"),
             inferred_currency(text).alias("moneda"),
             B.supplier(text, ruc).alias("proveedor"),
-            B.item_block(text).alias("detalle"),
+            detail.alias("detalle"),
             B.sale_value_and_tax(text).alias("montos"),
             B.extra_charges(text).alias("cargos"),
             B.payment_method(text).alias("forma_pago"),
-            B.expense(text, C.expense_kind).alias("gasto"),
+            B.expense_of(detail.items, text, C.expense_kind).alias("gasto"),
         )
 
     def judged(r: Column) -> Column:
         state = C.row_state(r.ruc, r.serie_numero, r.monto_total, r.fecha, source)
         return S.let(state, lambda e: F.struct(*[r[c].alias(c) for c in ROW_FIELDS], e.alias("estado"), C.row_confidence(r.ruc, r.serie_numero, r.monto_total, r.fecha, source, e).alias("confianza")))
 
-    return S.let(S.let(header_ruc(text), fields_of), judged)
+    return S.let(S.let(F.struct(header_ruc(text).alias("ruc"), B.item_block(text).alias("detail")), fields_of), judged)
 
 
 def json_of_answer(answer: Column) -> Column:

@@ -180,7 +180,10 @@ def _(t: Tables):
     return t.cells.groupBy("voucher").agg(F.coalesce(F.min_by(F.when(kept, F.col("snippet")), F.when(kept, F.col("campo"))), F.lit("")).alias("archivo"))
 
 
-@query("SCL-14")
+CANONICAL = "'{' || " + " || ',' || ".join(f"""'"{c}":' || coalesce('"' || CAST({c} AS VARCHAR) || '"', 'null')""" for c in ("igv", "ruc", "sinad", "total")) + " || '}'"
+
+
+@query("SCL-14", f"SELECT voucher, sha256({CANONICAL}) AS hash FROM vouchers", "vouchers")
 def _(t: Tables):
     return t.vouchers.select("voucher", R.canonical_hash(["sinad", "ruc", "total", "igv"]).alias("hash"))
 
