@@ -58,6 +58,11 @@ SHARE = 1000
 _tables: dict[int, np.ndarray] = {}
 
 
+def _forget() -> None:
+    """A function of the module, so that a worker runs it on its own memory and no closure carries the driver's."""
+    _tables.clear()
+
+
 def _pi(coordinates: int) -> np.ndarray:
     """Row p: the values of one shingle at place p for all coordinates. A view, not a copy."""
     if coordinates not in _tables:
@@ -93,7 +98,7 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
 
 def _sign(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        claim("signatures", _tables.clear)
+        claim("signatures", _forget)
         for batch in batches:
             ids, n, prints, keys = batch["id"].tolist(), [], [], []
             for s in bytes_np.shingles(batch["text"].tolist(), width):

@@ -285,6 +285,11 @@ def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 _encoders: dict[str, Encoder] = {}
 
 
+def _forget() -> None:
+    """A function of the module, so that a worker runs it on its own memory and no closure carries the driver's."""
+    _encoders.clear()
+
+
 def encoder(model: str) -> Encoder:
     if model not in _encoders:
         _encoders[model] = Encoder(model)
@@ -314,7 +319,7 @@ def encode_documents(documents: DataFrame, model: str | None = None, text: str =
 
     @F.pandas_udf(f"struct<{kind.replace(' ', ':').replace(',:', ',')}>")
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        claim("pieces", _encoders.clear)
+        claim("pieces", _forget)
         own = encoder(path)
         for batch in batches:
             for rows in own.rows([t or "" for t in batch.tolist()], n, with_ids):

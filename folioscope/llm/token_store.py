@@ -333,6 +333,11 @@ class WordEncoder(TextEncoder):
 _encoders: dict[str, TextEncoder] = {}
 
 
+def _forget() -> None:
+    """A function of the module, so that a worker runs it on its own memory and no closure carries the driver's."""
+    _encoders.clear()
+
+
 def encoder(path: str) -> TextEncoder:
     if path not in _encoders:
         _encoders[path] = (WordEncoder if WordEncoder.fits(path) else TextEncoder)(path)
@@ -358,7 +363,7 @@ def write_tokens(documents: DataFrame, tokenizer: str, folder: str, key: str = "
             yield pa.Table.from_batches(held).combine_chunks()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("tokens", _encoders.clear)
+        claim("tokens", _forget)
         own, writer, uri, part = encoder(tokenizer), None, "", 0
         for rows in joined(batches):
             if writer is None:
