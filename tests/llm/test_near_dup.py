@@ -82,6 +82,13 @@ def test_signature_estimates_similarity():
     assert (near_dup.signature(bytes_np.mix(a)[::-1]) == x).all()
 
 
+def test_closures_carry_no_tables():
+    from pyspark import cloudpickle
+
+    near_dup.signature(bytes_np.mix(np.arange(5, dtype=np.uint64)))  # the driver has used the tables itself
+    assert near_dup._tables and all(len(cloudpickle.dumps(f)) < 100_000 for f in (near_dup._sign(5), near_dup._sets(5), near_dup._compare(80)))
+
+
 def test_long_and_short_texts_hash_alike():
     texts = ["a b c", "x " * 1_200_000 + "y", "a b c", "", None, "a"]
     found = list(bytes_np.shingles(texts, 2))
