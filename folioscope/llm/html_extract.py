@@ -2,8 +2,8 @@
 
 A page is cut into blocks of text; the path of a block is that of its tags and
 classes from the root. For each path the characters, the punctuation and the
-characters in links of its blocks are added up; the mean length of a block, the
-punctuation density and the share of links are fused into one score of the path.
+characters in links of its blocks are added up; the mean length of a block, its
+mean number of signs and the share of links are fused into one score of the path.
 Scores are smoothed over the blocks in page order, and a threshold from their
 spread selects the blocks that make up the content.
 
@@ -48,7 +48,7 @@ DEVIATIONS, SLACK = 0.5, 0.25
 #: Weights: of text in an article or main element; of a noise word that is a whole class or id, or a part of one.
 ARTICLE, WHOLE, PART = 1.5, 0.4, 0.6
 #: Weights of a block and its neighbours in page order.
-KERNEL = np.array([0.06, 0.24, 0.40, 0.24, 0.06])
+KERNEL = np.array([0.04, 0.16, 0.60, 0.16, 0.04])
 
 # Names from the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -258,7 +258,7 @@ def path_scores(blocks: list[Block]) -> np.ndarray:
     signs = np.array([len(PUNCTUATION.findall(b.text)) for b in blocks], float)
     linked = np.minimum([b.linked for b in blocks], chars)
     number, chars, signs, linked = (np.bincount(of, x, len(paths)) for x in (np.ones(len(blocks)), chars, signs, linked))
-    fused = np.log1p(chars / number) * (1 + np.minimum(2.0, 20 * signs / chars)) * (1 - linked / chars)
+    fused = np.log1p(chars / number) * (1 + np.log1p(signs / number) / 2) * (1 - linked / chars)
     weight = np.convolve(np.ones(len(blocks)), KERNEL)[2 : 2 + len(blocks)]
     return np.convolve(fused[of], KERNEL)[2 : 2 + len(blocks)] / weight * [b.weight for b in blocks]
 
@@ -276,6 +276,9 @@ def main_text(text: str | None) -> str:
     chosen = scores >= least
     if not chosen.any():
         chosen[:] = True
+    noisy = np.array([b.noisy for b in blocks])
+    if (chosen & ~noisy).any():  # of selected blocks, those with a noise word must score as well as the others do
+        chosen &= ~noisy | (scores >= scores[chosen & ~noisy].mean())
     first, last = int(chosen.argmax()), len(blocks) - 1 - int(chosen[::-1].argmax())
     for k in range(first - 1, -1, -1):  # the heading over the first selected block is of the content
         if blocks[k].linked >= size[k] or blocks[k].noisy > blocks[first].noisy:

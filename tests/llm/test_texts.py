@@ -106,7 +106,7 @@ def test_path_ratios_select_the_content(body, monkeypatch):
 
 def test_path_scores_are_those_of_the_definition():
     blocks = [html_extract.Block(0, p, text=t, linked=n, weight=w) for p, t, n, w in ((1, "ab.", 0, 1.0), (2, "abcd", 2, 0.5), (1, "a,b,c", 0, 1.0), (3, "abcdef", 0, 1.5))]
-    fused = {1: np.log1p(4) * (1 + min(2, 20 * 3 / 8)), 2: np.log1p(4) * 0.5, 3: np.log1p(6)}
+    fused = {1: np.log1p(4) * (1 + np.log1p(1.5) / 2), 2: np.log1p(4) * 0.5, 3: np.log1p(6)}
     raw = [fused[b.path] for b in blocks]
     for k, got in enumerate(html_extract.path_scores(blocks)):
         near = [(html_extract.KERNEL[2 + j - k], raw[j]) for j in range(4) if abs(j - k) <= 2]
