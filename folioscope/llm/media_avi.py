@@ -6,8 +6,9 @@ payload goes: byte b is the coefficient b if b > 127, else b - 255. These 256
 values are just the ones of magnitude category 8, whose eight extra bits are then
 the byte itself; the Huffman table gives this category a code of eight zeros, so
 all lies on whole bytes. Restart markers after each block keep DC predictions at
-zero. Frames are ordinary baseline JPEG, and `decode_frame` also reads baseline
-frames with other Huffman tables.
+zero. Frames are ordinary baseline JPEG, and every one is read as such: its tables
+come from its own header, and its coefficients from the Huffman codes of its scan,
+whatever these tables are; the payload is what the coefficients say.
 
 Media are stored as a column of a parquet table in the shared folder; digests,
 features and clips come from the bytes that are read back from it.
@@ -17,7 +18,7 @@ that is the largest of its neighbours and above the mean of those around it by
 several deviations. Clips are the runs of frames between cuts, with times.
 
 Frames are coded, decoded and counted in steps, so a long text costs its media
-bytes a few times over, and no more.
+bytes a few times over, and no more; the frames of short texts are decoded together.
 
 Defined cases: null counts as the empty text, which is one frame of padding; equal
 texts give equal media and features; repeated rows give repeated results; an empty
@@ -26,11 +27,14 @@ table gives an empty one; other columns are not looked at.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -48,6 +52,8 @@ BINS, AROUND, DEVIATIONS, LEAST = 16, 8, 2.5, 0.10
 ZERO_CODE = b"\0" * 7 + b"\x01" + b"\0" * 8 + b"\x08"  # one code of eight bits, for category 8
 RESTARTS = [b"\xff" + bytes([0xD0 + k % 8]) for k in range(BLOCKS - 1)] + [b""]
 CUT = re.compile(rb"\xff[\xd0-\xd7]")
+#: What is added to the extra bits of a value of each category if their first is 0.
+LOWEST = np.array([1 - (1 << size) for size in range(16)])
 
 
 def _segment(marker: int, body: bytes) -> bytes:
@@ -79,7 +85,6 @@ def _scan(payload: bytes) -> list[bytes]:
 #: A frame without a unit 255 (which is followed by a zero in a scan), and the places of its units.
 PLAIN = np.frombuffer(HEADER + b"".join(b"\0" * 128 + r for r in RESTARTS) + END, np.uint8)
 UNITS = len(HEADER) + np.concatenate([130 * j + np.arange(1, 128, 2) for j in range(BLOCKS)])
-FIXED = np.setdiff1d(np.arange(len(PLAIN)), UNITS)
 
 
 def encode_frames(payload: bytes) -> Iterator[bytes]:
@@ -96,41 +101,32 @@ def encode_frames(payload: bytes) -> Iterator[bytes]:
                 yield data[k * len(PLAIN) : (k + 1) * len(PLAIN)]
 
 
-def _units(frame: bytes) -> bytes:
-    """The units of one frame."""
-    if not (frame.startswith(HEADER) and frame.endswith(END)):
-        return bytes(int(v) & 255 if v > 0 else int(v) + 255 & 255 for v in decode_frame(frame).ravel())
-    blocks = [b.replace(b"\xff\0", b"\xff") for b in CUT.split(frame[len(HEADER) : -2])]
-    if len(blocks) != BLOCKS or any(len(b) != 128 for b in blocks):
-        raise ValueError("a scan has another number of blocks or bits than its frame")
-    if any(any(b[::2]) for b in blocks):
-        raise ValueError("a scan has a code that its table hasn't")
-    return b"".join(b[1::2] for b in blocks)
+def _head(frame: bytes) -> bytes:
+    """A frame up to the end of its scan's header."""
+    at, marker = 2, 0
+    while marker != 0xDA:
+        if frame[:2] != b"\xff\xd8" or at + 4 > len(frame) or frame[at] != 0xFF:
+            raise ValueError("no JPEG frame with a scan")
+        marker = frame[at + 1]
+        at += 2 + int.from_bytes(frame[at + 2 : at + 4], "big")
+    return frame[:at]
 
 
-def decode_frames(frames: list[bytes]) -> bytes:
-    """The units of all frames. Plain frames of this module are decoded together."""
-    out = []
-    for at in range(0, len(frames), STEP):
-        some = frames[at : at + STEP]
-        plain = [k for k, f in enumerate(some) if len(f) == len(PLAIN)]
-        laid = np.frombuffer(b"".join(some[k] for k in plain), np.uint8).reshape(-1, len(PLAIN))
-        fits = (laid[:, FIXED] == PLAIN[FIXED]).all(axis=1) & ~(laid[:, UNITS] == 255).any(axis=1)
-        units = laid[:, UNITS]
-        fast = dict(zip((k for k, f in zip(plain, fits.tolist(), strict=True) if f), units[fits], strict=True))
-        if len(fast) == len(some):
-            out.append(units.tobytes())
-        else:
-            out += [fast[k].tobytes() if k in fast else _units(f) for k, f in enumerate(some)]
-    return b"".join(out)
+class Layout(NamedTuple):
+    """What a frame's header says: its blocks, the blocks of a restart interval, and the codes, as (bits, code) -> symbol."""
 
+    blocks: int
+    interval: int
+    dc: dict[tuple[int, int], int]
+    ac: dict[tuple[int, int], int]
 
-def decode_frame(frame: bytes) -> np.ndarray:
-    """Quantised coefficients, blocks x 64 in zigzag order, of a baseline grey JPEG with any Huffman tables."""
-    at, tables, restart, size, scan = 2, {}, 0, (0, 0), b""
-    while not scan:
-        marker, length = frame[at + 1], struct.unpack(">H", frame[at + 2 : at + 4])[0]
-        body = frame[at + 4 : at + 2 + length]
+
+@functools.lru_cache(maxsize=32)
+def _layout(head: bytes) -> Layout:
+    at, tables, restart, size = 2, {}, 0, (0, 0)
+    while True:
+        marker, length = head[at + 1], struct.unpack(">H", head[at + 2 : at + 4])[0]
+        body = head[at + 4 : at + 2 + length]
         at += 2 + length
         if marker == 0xC4:
             while body:
@@ -150,12 +146,122 @@ def decode_frame(frame: bytes) -> np.ndarray:
                 raise ValueError("only grey frames of 8 bits are decoded")
             size = struct.unpack(">HH", body[1:5])
         elif marker == 0xDA:
-            dc, ac = tables[body[2] >> 4], tables[0x10 | body[2] & 15]
-            scan = frame[at : frame.rindex(END)]
-    number = -(-size[0] // 8) * -(-size[1] // 8)
+            blocks = -(-size[0] // 8) * -(-size[1] // 8)
+            return Layout(blocks, min(restart or blocks, blocks), tables[body[2] >> 4], tables[0x10 | body[2] & 15])
+
+
+@functools.lru_cache(maxsize=32)
+def _lookups(head: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The codes for DC and AC by the next 16 bits: bits of the code * 256 + symbol, 0 where there is no code."""
+    found = []
+    for codes in _layout(head)[2:]:
+        table = np.zeros(1 << 16, np.uint16)
+        for (bits, code), symbol in codes.items():
+            table[code << 16 - bits : code + 1 << 16 - bits] = bits << 8 | symbol
+        found.append(table)
+    return found[0], found[1]
+
+
+def _segments(scans: bytes, marks: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes without stuffing and markers, their number at the end of each segment) of scans that end with END each and
+    hold the same marks."""
+    raw = np.frombuffer(scans, np.uint8)
+    high, after = raw[:-1] == 255, raw[1:]
+    ends = np.flatnonzero(high & (after != 0) & (after != 255))
+    if len(ends) % len(marks) or (raw[ends + 1].reshape(-1, len(marks)) != marks).any():
+        raise ValueError("a scan has another number of blocks or bits than its frame")
+    keep = np.ones(len(raw), bool)
+    keep[1:][high & (after == 0)] = False  # stuffing
+    keep[:-1][high & (after != 0)] = False  # markers, and bytes 255 that fill up before them
+    keep[ends + 1] = False
+    return raw[keep], np.cumsum(keep)[ends]
+
+
+def _read(window: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, values after them, places after these) at places in bits; window holds the 64 bits from each byte on."""
+    seen = window[at >> 3] << (at & 7).view(np.uint64)
+    found = table[seen >> np.uint64(48)]
+    if not found.all():
+        raise ValueError("a scan has a code that its table hasn't")
+    bits, size = found >> 8, found & 15
+    seen <<= bits.astype(np.uint64)
+    value = (seen >> np.uint64(1) >> (63 - size).astype(np.uint64)).view(np.int64)
+    value += LOWEST[size] * (seen >> np.uint64(63) == 0)
+    return found & 255, value, at + (bits + size)
+
+
+def coefficients(frames: list[bytes]) -> np.ndarray:
+    """Quantised coefficients, frames x blocks x 64 in zigzag order, of baseline grey frames with the same header.
+
+    All restart intervals are decoded side by side, code by code: Huffman codes, the values' extra bits, runs of
+    zeros, ends of blocks, DC predictions."""
+    head = _head(frames[0])
+    blocks, interval, _, _ = _layout(head)
+    dc, ac = _lookups(head)
+    parts = -(-blocks // interval)
+    scans = b"".join(f[len(head) : f.rindex(END)] + END for f in frames)
+    data, ends = _segments(scans, [0xD0 + k % 8 for k in range(parts - 1)] + [0xD9])
+    if len(ends) != parts * len(frames):
+        raise ValueError("a scan has another number of blocks or bits than its frame")
+    padded = np.concatenate([data, np.zeros(64 * 4 + 16, np.uint8)])  # a block takes 64 * 31 bits at most
+    window = np.ndarray(len(padded) - 7, ">u8", padded, strides=(1,)).astype(np.uint64)
+    place, stop = 8 * np.concatenate([[0], ends[:-1]]), 8 * ends
+    lane = np.arange(len(ends))
+    first = lane // parts * blocks + lane % parts * interval
+    number = np.minimum(interval, blocks - lane % parts * interval)
+    out, before = np.zeros(len(frames) * blocks * 64, np.int32), np.zeros(len(ends), np.int64)
+    for j in range(interval):
+        who = np.flatnonzero(number > j)
+        _, value, at = _read(window, place[who], dc)
+        before[who] += value
+        cell = (first[who] + j) * 64  # that was filled last
+        last = cell + 63
+        out[cell] = before[who]
+        while len(who):
+            symbol, value, at = _read(window, at, ac)
+            cell = cell + (symbol >> 4) + 1
+            if (cell > last).any():
+                raise ValueError("a block has more than 64 coefficients")
+            out[cell] = value
+            done = (cell == last) | (symbol == 0)
+            if done.any():
+                place[who[done]] = at[done]
+                left = ~done
+                who, at, cell, last = who[left], at[left], cell[left], last[left]
+        if (place > stop).any():
+            raise ValueError("a scan has another number of blocks or bits than its frame")
+    if (stop - place > 7).any():
+        raise ValueError("a scan has another number of blocks or bits than its frame")
+    return out.reshape(len(frames), blocks, 64)
+
+
+def frame_units(frames: list[bytes]) -> list[bytes]:
+    """The units of each frame, from its decoded coefficients; STEP frames are decoded at once."""
+    out = [b""] * len(frames)
+    for at in range(0, len(frames), STEP):
+        alike: dict[bytes, list[int]] = {}
+        for k in range(at, min(at + STEP, len(frames))):
+            alike.setdefault(_head(frames[k]), []).append(k)
+        for places in alike.values():
+            found = coefficients([frames[k] for k in places])
+            units = (found + 255 * (found <= 0)).astype(np.uint8)
+            for k, own in zip(places, units, strict=True):
+                out[k] = own.tobytes()
+    return out
+
+
+def decode_frames(frames: list[bytes]) -> bytes:
+    """The units of all frames."""
+    return b"".join(frame_units(frames))
+
+
+def decode_frame(frame: bytes) -> np.ndarray:
+    """As coefficients, for one frame and bit by bit: blocks x 64."""
+    head = _head(frame)
+    number, interval, dc, ac = _layout(head)
     out = np.zeros((number, 64), np.int64)
     done = 0
-    for part in CUT.split(scan):
+    for part in CUT.split(frame[len(head) : frame.rindex(END)]):
         bits = "".join(f"{b:08b}" for b in part.replace(b"\xff\0", b"\xff"))
         place, before = 0, 0
 
@@ -173,7 +279,7 @@ def decode_frame(frame: bytes) -> np.ndarray:
             place += n
             return raw if not n or raw >> (n - 1) else raw - (1 << n) + 1
 
-        for _ in range(min(restart or number, number - done)):
+        for _ in range(min(interval, number - done)):
             before += value(symbol(dc))
             out[done, 0] = before
             k = 1
@@ -242,11 +348,24 @@ def read_avi(media: bytes) -> tuple[int, list[bytes]]:
     return fps, [media[a : a + n] for a, n in found]
 
 
+def payload_parts(media: Iterable[bytes]) -> Iterator[tuple[int, bytes]]:
+    """(number of the media, some of its payload), in order. STEP frames are decoded at a time, of as many media as they are."""
+
+    def frames() -> Iterator[tuple[int, bytes]]:
+        for i, m in enumerate(media):
+            for a, n in index_of(m)[1]:
+                yield i, m[a : a + n]
+
+    left = frames()
+    while some := list(itertools.islice(left, STEP)):
+        units = iter(frame_units([f for _, f in some]))
+        for i, own in itertools.groupby(i for i, _ in some):
+            yield i, b"".join(next(units) for _ in own)
+
+
 def payload_steps(media: bytes) -> Iterator[bytes]:
     """The payload, some frames at a time."""
-    found = index_of(media)[1]
-    for k in range(0, len(found), STEP):
-        yield decode_frames([media[a : a + n] for a, n in found[k : k + STEP]])
+    return (part for _, part in payload_parts([media]))
 
 
 # -- payloads and shots -----------------------------------------------------
@@ -331,17 +450,18 @@ def media_digests(documents: DataFrame, key: str = "doc_id", text: str = "text")
     @F.pandas_udf("struct<payload_bytes:long,payload_sha256:string,tail_crc32:long,media_bytes:long,media_sha256:string,feature:string>")
     def described(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            media = batch.tolist()
+            sizes, shas, tails, counts = [0] * len(media), [hashlib.sha256() for _ in media], [b""] * len(media), [[] for _ in media]
+            for i, part in payload_parts(media):
+                sizes[i] += len(part)
+                shas[i].update(part)
+                tails[i] = part[-32:]
+                counts[i].append(histograms(part))
             rows = []
-            for media in batch.tolist():
-                size, sha, tail, counts = 0, hashlib.sha256(), b"", []
-                for part in payload_steps(media):
-                    size += len(part)
-                    sha.update(part)
-                    tail = part[-32:]
-                    counts.append(histograms(part))
-                found = shots(np.concatenate(counts))
+            for m, size, sha, tail, own in zip(media, sizes, shas, tails, counts, strict=True):
+                found = shots(np.concatenate(own))
                 feature = f"frames={size // FRAME};clips={len(found) + 1};cuts={','.join(map(str, found))}"
-                rows.append((size, sha.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), feature))
+                rows.append((size, sha.hexdigest(), zlib.crc32(tail), len(m), hashlib.sha256(m).hexdigest(), feature))
             yield pd.DataFrame(rows, columns=names)
             trim()
 

@@ -521,6 +521,76 @@ def test_frames_decode_like_any_baseline_frame():
     assert media_avi.decode_frames(odd) == payload[:576]
 
 
+def coded(blocks, interval, ac_codes, dc_codes, dht):
+    """A baseline frame of 24 x 24 from quantised coefficients, by the letter of the standard, with bytes 255 before markers."""
+    parts = []
+    for a in range(0, 9, interval):
+        bits, before = "", 0
+
+        def put(v, codes, run=0):
+            size = abs(int(v)).bit_length()
+            return codes[run << 4 | size] + (format(int(v) if v > 0 else int(v) + (1 << size) - 1, f"0{size}b") if size else "")
+
+        for block in blocks[a : a + interval]:
+            bits += put(int(block[0]) - before, dc_codes)
+            before, run = int(block[0]), 0
+            for k in range(1, 64):
+                if block[k] == 0:
+                    run += 1
+                    continue
+                while run > 15:
+                    bits, run = bits + ac_codes[0xF0], run - 16
+                bits, run = bits + put(block[k], ac_codes, run), 0
+            bits += ac_codes[0] if run else ""
+        bits += "1" * (-len(bits) % 8)
+        parts.append(int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0"))
+    head = media_avi.HEADER[: media_avi.HEADER.index(b"\xff\xc4")] + dht + media_avi._segment(0xDD, interval.to_bytes(2, "big"))
+    scan = b"".join(p + (b"\xff\xff" + bytes([0xD0 + k % 8]) if k < len(parts) - 1 else b"") for k, p in enumerate(parts))
+    return head + media_avi._segment(0xDA, bytes([1, 1, 0, 0, 63, 0])) + scan + media_avi.END
+
+
+def test_frames_of_other_coders():
+    rng = np.random.default_rng(5)
+    ac = [0, 0xF0] + [r << 4 | s for r in range(16) for s in range(1, 11)]
+    lengths = {2: [1], 3: [0], 4: [2, 3], 8: ac[:40], 12: ac[40:]}  # codes of 8 and 12 bits for AC, of 2 to 11 for DC
+
+    def table(symbols_by_length):
+        codes, code, counts, symbols = {}, 0, [], []
+        for n in range(1, 17):
+            own = symbols_by_length.get(n, [])
+            for symbol in own:
+                codes[symbol] = format(code, f"0{n}b")
+                code += 1
+            code <<= 1
+            counts.append(len(own))
+            symbols += own
+        return codes, bytes(counts) + bytes(symbols)
+
+    ac_codes, ac_table = table({n: s for n, s in lengths.items() if n >= 8})
+    dc_codes, dc_table = table({n: s for n, s in lengths.items() if n < 8} | {5: [4, 5], 11: list(range(6, 12))})
+    dht = media_avi._segment(0xC4, b"\0" + dc_table) + media_avi._segment(0xC4, b"\x10" + ac_table)
+    for interval in (9, 4, 1):
+        want = rng.integers(-400, 401, (20, 9, 64)) * (rng.random((20, 9, 64)) < rng.choice([0.02, 0.3, 1], (20, 9, 1)))
+        frames = [coded(f, interval, ac_codes, dc_codes, dht) for f in want]
+        assert (media_avi.coefficients(frames) == want).all()
+        mixed = [frames[0], *media_avi.encode_frames(bytes(range(192)) * 3), frames[1]]
+        assert media_avi.frame_units(mixed)[1] == bytes(range(192)) * 3 and len(media_avi.decode_frames(mixed)) == 3 * 576
+        for wrong in (frames[0][:-4] + media_avi.END, frames[0][:-2] + b"\0\0\0" + media_avi.END):
+            with pytest.raises(ValueError):
+                media_avi.decode_frames([frames[1], wrong])
+
+
+def test_every_unit_is_read_through_its_code(monkeypatch):
+    texts, read, real = ["a" * 3000, "", "né" * 900], [], media_avi._read
+    media = [media_avi.write_avi(media_avi.encode_frames(media_avi.payload_of(t.encode()))) for t in texts]
+    monkeypatch.setattr(media_avi, "_read", lambda window, at, table: read.append(len(at)) or real(window, at, table))
+    monkeypatch.setattr(media_avi, "STEP", 4)
+    got = [b""] * len(media)
+    for i, part in media_avi.payload_parts(media):
+        got[i] += part
+    assert got == [media_avi.payload_of(t.encode()) for t in texts] and sum(read) == sum(map(len, got))
+
+
 def test_shots_and_clips(spark):
     def scene(level, n):
         return bytes(np.random.default_rng(level).integers(level, level + 40, 576 * n, dtype=np.uint8))
